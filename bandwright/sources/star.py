@@ -1,0 +1,243 @@
+"""Goals and actuals derived from the star-schema tables.
+
+unit = supplier, region = its nation, category = part type, period = ship year.
+Goals come from the base year, actuals from the year after it.
+"""
+
+from __future__ import annotations
+
+import posixpath
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from bandwright.config import EXEMPT_GOAL, EXEMPT_TIER, Measure
+from bandwright.functions import label_of, round_half_up
+from bandwright.operators.models import apply_goal_rule
+from bandwright.operators.observe import ACTUAL_COLUMNS
+from bandwright.plans.pipeline import RubricRun
+from bandwright.sources.workspace import Workspace
+
+BASE_YEAR, ACTUAL_YEAR = 1996, 1997
+TIERS = 4
+
+# Category ids in alphabetical order; the last has the id that one measure drops.
+CATEGORY_IDS = {
+    "ECONOMY": -1,
+    "LARGE": 0,
+    "MEDIUM": 1,
+    "PROMO": 2,
+    "SMALL": 3,
+    "STANDARD": 12,
+}
+STAR_MEASURES = (
+    Measure("RET", "Lines Not Returned", 100.0, (12,)),
+    Measure("PRI", "Lines Not Urgent"),
+)
+
+# Unit ids per chunk when a rank is looked up within one base rate.
+CHUNK_IDS = 1_000_000
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(posixpath.join(folder, f"{name}.parquet"))
+
+
+def lines_of(spark: SparkSession, folder: str, year: int) -> DataFrame:
+    """Line items shipped in a year; the range is pushed to the scan."""
+    lines = table(spark, folder, "lineitem")
+    kind = lines.schema["l_shipdate"].dataType
+    first, after = (F.lit(f"{y}-01-01").cast(kind) for y in (year, year + 1))
+    return lines.filter((F.col("l_shipdate") >= first) & (F.col("l_shipdate") < after))
+
+
+def base_units(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts of the base year per unit, of units with a balance not below zero."""
+    counts = (
+        lines_of(spark, folder, BASE_YEAR)
+        .groupBy(F.col("l_suppkey").alias("unit"))
+        .agg(
+            F.count(F.lit(1)).alias("n_total"),
+            F.count_if(F.col("l_returnflag") == "R").alias("n_leavers"),
+        )
+    )
+    suppliers = table(spark, folder, "supplier").filter(F.col("s_acctbal") >= 0)
+    nations = table(spark, folder, "nation")
+    return (
+        suppliers.join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
+        .join(counts, F.col("s_suppkey") == F.col("unit"))
+        .select(F.col("n_name").alias("region"), "unit", "n_total", "n_leavers")
+        .withColumn("rate_cents", base_rate_cents())
+    )
+
+
+def base_rate_cents():
+    rate = round_half_up((1 - F.col("n_leavers") / F.col("n_total")) * 100, 2)
+    return F.floor(rate * 100 + F.lit(0.5)).cast("int")
+
+
+def tiered(units: DataFrame, tiers: int = TIERS) -> DataFrame:
+    """``ntile`` over (base rate, unit) without sorting all units in one task.
+
+    Units are counted per base rate, of which there are at most 10 001. That
+    gives the tier of a whole rate, except where a tier starts inside it; there
+    the first unit of the tier is looked up, on chunks of unit ids, and units
+    from that one on are a tier higher.
+    """
+    rates = ranked_rates(units, tiers)
+    first_units = tier_starts(units, rates)
+    rates = rates.select("rate_cents", "rate_tier").join(
+        first_units.groupBy("rate_cents").agg(F.collect_list("first_unit").alias("first_units")),
+        "rate_cents",
+        "left",
+    )
+    passed = F.filter("first_units", lambda first: first <= F.col("unit"))
+    # At most 10 001 rates, each with at most one entry per tier.
+    return (
+        units.join(F.broadcast(rates), "rate_cents")
+        .withColumn("tier", F.col("rate_tier") + F.coalesce(F.size(passed), F.lit(0)))
+        .drop("rate_tier", "first_units")
+    )
+
+
+def ranked_rates(units: DataFrame, tiers: int) -> DataFrame:
+    """Per base rate: units before it, its tier, and the tiers starting inside."""
+    counts = units.groupBy("rate_cents").agg(F.count(F.lit(1)).alias("n"))
+    everything = Window.partitionBy(F.lit(0))
+    up_to = everything.orderBy("rate_cents").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    counted = counts.withColumns(
+        {
+            "total": F.sum("n").over(everything),
+            "before": F.sum("n").over(up_to) - F.col("n"),
+        }
+    )
+    # Ranks before tier t: t-1 tiers of equal size, the first ones one larger.
+    ranks_before = F.array(
+        *(
+            F.expr(f"{t} * (total div {tiers}) + least({t}, total % {tiers})")
+            for t in range(1, tiers)
+        )
+    )
+    return (
+        counted.withColumn("ranks_before", ranks_before)
+        .withColumn(
+            "rate_tier",
+            F.size(F.filter("ranks_before", lambda r: r <= F.col("before"))) + 1,
+        )
+        .withColumn(
+            "starts",
+            F.transform(
+                F.filter(
+                    "ranks_before",
+                    lambda r: (r > F.col("before")) & (r < F.col("before") + F.col("n")),
+                ),
+                lambda r: r - F.col("before") + 1,
+            ),
+        )
+        .select("rate_cents", "rate_tier", "starts")
+    )
+
+
+def tier_starts(units: DataFrame, rates: DataFrame) -> DataFrame:
+    """First unit of every tier that starts inside a base rate."""
+    starts = rates.select("rate_cents", F.explode("starts").alias("place"))
+    # One row per tier at most.
+    inside = units.join(F.broadcast(starts), "rate_cents").select(
+        "rate_cents", "place", "unit", F.expr(f"unit div {CHUNK_IDS}").alias("chunk")
+    )
+    per_place = Window.partitionBy("rate_cents", "place")
+    up_to = per_place.orderBy("chunk").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    chunks = (
+        inside.groupBy("rate_cents", "place", "chunk")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("before", F.sum("n").over(up_to) - F.col("n"))
+        .filter(
+            (F.col("place") > F.col("before")) & (F.col("place") <= F.col("before") + F.col("n"))
+        )
+        .select("rate_cents", "place", "chunk", "before")
+    )
+    in_chunk = Window.partitionBy("rate_cents", "place", "chunk").orderBy("unit")
+    return (
+        inside.join(F.broadcast(chunks), ["rate_cents", "place", "chunk"])
+        .withColumn("rank", F.col("before") + F.row_number().over(in_chunk))
+        .filter(F.col("rank") == F.col("place"))
+        .select("rate_cents", F.col("unit").alias("first_unit"))
+    )
+
+
+def goals(spark: SparkSession, folder: str, workspace: Workspace) -> DataFrame:
+    units = workspace.save(base_units(spark, folder), "base_units")
+    exempt = F.col("rate_cents") >= int(EXEMPT_GOAL * 100)
+    tier = F.when(exempt, F.lit(EXEMPT_TIER)).otherwise(F.col("tier").cast("string"))
+    ruled = apply_goal_rule(tiered(units).withColumn("tier", tier))
+    return ruled.select(
+        F.lit(str(BASE_YEAR)).alias("period"),
+        "region",
+        "unit",
+        F.lit("Supplier").alias("unit_type"),
+        "n_total",
+        "n_leavers",
+        "base_rate",
+        "tier",
+        "growth_target",
+        "goal",
+    )
+
+
+def cell_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of the actual year per unit and category, for both measures at once.
+
+    The order side is reduced to its key and a flag before it is shuffled.
+    """
+    urgent = table(spark, folder, "orders").select(
+        "o_orderkey", F.col("o_orderpriority").startswith("1-").alias("urgent")
+    )
+    parts = table(spark, folder, "part").select("p_partkey", "p_type")
+    lines = lines_of(spark, folder, ACTUAL_YEAR).select(
+        "l_orderkey", "l_partkey", "l_suppkey", (F.col("l_returnflag") == "R").alias("returned")
+    )
+    return (
+        lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
+        .join(urgent, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+        .groupBy(F.col("l_suppkey").alias("unit"), F.col("p_type").alias("category"))
+        .agg(
+            F.count("returned").alias("flagged_lines"),
+            F.count_if(~F.col("returned")).alias("kept_lines"),
+            F.count("urgent").alias("ordered_lines"),
+            F.count_if(~F.col("urgent")).alias("calm_lines"),
+        )
+    )
+
+
+def actuals(spark: SparkSession, folder: str) -> DataFrame:
+    """Both measures as rows; RET is a fraction, PRI is in percent."""
+    cells = cell_counts(spark, folder)
+    kept = F.try_divide("kept_lines", "flagged_lines")
+    calm = F.try_divide("calm_lines", "ordered_lines") * 100
+    rows = F.explode(
+        F.array(
+            F.struct(F.lit("RET").alias("measure_type"), kept.alias("result")),
+            F.struct(F.lit("PRI").alias("measure_type"), calm.alias("result")),
+        )
+    )
+    return (
+        cells.select("unit", "category", rows.alias("measured"))
+        .select(
+            F.lit(str(ACTUAL_YEAR)).alias("period"),
+            "measured.measure_type",
+            "unit",
+            "category",
+            label_of(F.col("category"), CATEGORY_IDS).cast("int").alias("category_id"),
+            "measured.result",
+        )
+        .select(*ACTUAL_COLUMNS)
+    )
+
+
+def star_run(spark: SparkSession, folder: str) -> RubricRun:
+    workspace = Workspace(spark)
+    return RubricRun(
+        goals(spark, folder, workspace), actuals(spark, folder), STAR_MEASURES, workspace
+    )

@@ -1,0 +1 @@
+"""Empty on purpose: the blueprint lists no streaming operator."""
