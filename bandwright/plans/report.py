@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bandwright.config import BANDS, GRAINS, LEVELS
+from bandwright.config import BANDS, CATEGORY_ORDER, GRAINS, LEVELS
 from bandwright.functions import category_rank, parse_grain_label, percent_text, round_half_up
 from bandwright.functions.names import title_headers
 
@@ -70,13 +70,15 @@ def percent_display(titled: DataFrame, digits: int = 0) -> DataFrame:
     )
 
 
-def level_histogram(scored: DataFrame) -> DataFrame:
+def level_histogram(scored: DataFrame, order: Sequence[str] = CATEGORY_ORDER) -> DataFrame:
     """Observations per category and level, with the category's display place.
 
     Rows without a level are not drawn. Categories outside the display order
     share one panel, whose place is null.
     """
-    drawn = scored.filter(F.col("level").isNotNull()).withColumn("panel", category_rank(F.col("grade")))
+    drawn = scored.filter(F.col("level").isNotNull()).withColumn(
+        "panel", category_rank(F.col("grade"), order)
+    )
     return drawn.groupBy("panel", "grade", "level").agg(F.count(F.lit(1)).alias("rows"))
 
 

@@ -8,13 +8,13 @@ from __future__ import annotations
 
 import posixpath
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bandwright.config import EXEMPT_GOAL, EXEMPT_TIER, Measure
-from bandwright.functions import label_of, round_half_up
+from bandwright.functions import round_half_up
 from bandwright.operators.models import apply_goal_rule
-from bandwright.operators.observe import ACTUAL_COLUMNS
+from bandwright.operators.observe import ACTUAL_COLUMNS, observations
 from bandwright.plans.pipeline import RubricRun
 from bandwright.sources.workspace import Workspace
 
@@ -35,6 +35,16 @@ STAR_MEASURES = (
     Measure("PRI", "Lines Not Urgent"),
 )
 
+CATEGORY_PANELS = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL")
+INDICATORS = {
+    "ECONOMY": "Persistence PK",
+    "LARGE": "Persistence K",
+    "MEDIUM": "Persistence 1",
+    "PROMO": "Persistence 2",
+    "SMALL": "Persistence 3",
+    "STANDARD": "All Persistence",
+}
+
 # Unit ids per chunk when a rank is looked up within one base rate.
 CHUNK_IDS = 1_000_000
 
@@ -71,7 +81,7 @@ def base_units(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def base_rate_cents():
+def base_rate_cents() -> Column:
     rate = round_half_up((1 - F.col("n_leavers") / F.col("n_total")) * 100, 2)
     return F.floor(rate * 100 + F.lit(0.5)).cast("int")
 
@@ -211,28 +221,89 @@ def cell_counts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def returned_share() -> Column:
+    return F.try_divide("kept_lines", "flagged_lines")
+
+
+def calm_percent() -> Column:
+    return F.try_divide("calm_lines", "ordered_lines") * 100
+
+
+def category_id() -> Column:
+    return F.create_map(*(F.lit(x) for pair in CATEGORY_IDS.items() for x in pair))[
+        F.col("category")
+    ]
+
+
 def actuals(spark: SparkSession, folder: str) -> DataFrame:
-    """Both measures as rows; RET is a fraction, PRI is in percent."""
-    cells = cell_counts(spark, folder)
-    kept = F.try_divide("kept_lines", "flagged_lines")
-    calm = F.try_divide("calm_lines", "ordered_lines") * 100
-    rows = F.explode(
+    """Both measures from one pass; RET is a fraction, PRI is in percent."""
+    measured = F.explode(
         F.array(
-            F.struct(F.lit("RET").alias("measure_type"), kept.alias("result")),
-            F.struct(F.lit("PRI").alias("measure_type"), calm.alias("result")),
+            F.struct(F.lit("RET").alias("measure_type"), returned_share().alias("result")),
+            F.struct(F.lit("PRI").alias("measure_type"), calm_percent().alias("result")),
         )
     )
     return (
-        cells.select("unit", "category", rows.alias("measured"))
+        cell_counts(spark, folder)
+        .select("unit", "category", measured.alias("measured"))
+        .select("unit", "category", "measured.*")
+        .withColumns({"period": F.lit(str(ACTUAL_YEAR)), "category_id": category_id()})
+        .select(*ACTUAL_COLUMNS)
+    )
+
+
+def returned_results(cells: DataFrame) -> DataFrame:
+    return one_result(cells, returned_share())
+
+
+def urgent_results(cells: DataFrame) -> DataFrame:
+    return one_result(cells, calm_percent())
+
+
+def one_result(cells: DataFrame, result: Column) -> DataFrame:
+    """One measure's results as a table of their own."""
+    return cells.select(
+        F.lit(str(ACTUAL_YEAR)).alias("period"),
+        "unit",
+        "category",
+        category_id().alias("category_id"),
+        result.alias("result"),
+    )
+
+
+def metric_tables(
+    spark: SparkSession, folder: str
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Results, metrics and schools the way a relational source keeps them."""
+    indicator = F.create_map(*(F.lit(x) for pair in INDICATORS.items() for x in pair))
+    results = (
+        actuals(spark, folder)
+        .filter(F.col("measure_type") == "PRI")
         .select(
-            F.lit(str(ACTUAL_YEAR)).alias("period"),
-            "measured.measure_type",
-            "unit",
-            "category",
-            label_of(F.col("category"), CATEGORY_IDS).cast("int").alias("category_id"),
-            "measured.result",
+            F.col("period").alias("AcademicYear"),
+            F.col("category").alias("MetricID"),
+            F.col("unit").alias("SchoolID"),
+            F.col("result").alias("Results"),
         )
-        .select(*ACTUAL_COLUMNS)
+    )
+    metrics = (
+        table(spark, folder, "part")
+        .select(
+            F.col("p_type").alias("MetricID"),
+            F.lit("Persistence").alias("Source"),
+            indicator[F.col("p_type")].alias("Indicator"),
+        )
+        .distinct()
+    )
+    schools = table(spark, folder, "supplier").select(
+        F.col("s_suppkey").alias("ID"), F.col("s_name").alias("DisplayName")
+    )
+    return results, metrics, schools
+
+
+def star_observations(spark: SparkSession, folder: str, workspace: Workspace) -> DataFrame:
+    return observations(
+        goals(spark, folder, workspace), actuals(spark, folder), STAR_MEASURES
     )
 
 
