@@ -28,8 +28,8 @@ def group_by_grain(
     sets = [[F.col(k) for k in (*grain.keys, *extra_keys)] for grain in grains]
     columns = [F.col(k) for k in (*KEYS, *extra_keys)]
     grain_id = reduce(Column.__add__, (F.grouping(k).cast("int") * bit for k, bit in GRAIN_BITS))
-    grouped = df.groupingSets(sets, *columns).agg(grain_id.alias("grain_id"), *aggregates)
-    return grouped.filter(F.col("period").isNotNull())
+    dated = df.filter(F.col("period").isNotNull())
+    return dated.groupingSets(sets, *columns).agg(grain_id.alias("grain_id"), *aggregates)
 
 
 def basic_stats(observations: DataFrame, grains: Sequence[Grain] = GRAINS) -> DataFrame:
@@ -58,5 +58,5 @@ def join_on_keys(
 ) -> DataFrame:
     """Equi-join where null matches null; the keys come from the left side."""
     renamed = right.withColumnsRenamed({k: f"right_{k}" for k in keys})
-    same = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"right_{k}")) for k in keys))
+    same = F.expr(" AND ".join(f"{k} <=> right_{k}" for k in keys))
     return left.join(renamed, same, how).drop(*(f"right_{k}" for k in keys))

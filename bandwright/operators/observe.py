@@ -89,7 +89,8 @@ def allowed_category(measures: Sequence[Measure]) -> Column:
 
 
 def goals_without_actuals(goals: DataFrame, actuals: DataFrame) -> DataFrame:
-    return goals.join(actuals.select("unit"), "unit", "left_anti")
+    """Distinct units first: a unit with many results is one row in the join."""
+    return goals.join(actuals.select("unit").distinct(), "unit", "left_anti")
 
 
 def actuals_without_goals(goals: DataFrame, actuals: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from bandwright.config import GRAINS, KEYS, LEVELS, Grain
 from bandwright.functions import first_level, ticks
-from bandwright.operators.grains import grain_label, join_on_keys
+from bandwright.operators.grains import grain_label
 
 CUTS = tuple(f"cut_{level}" for level in LEVELS[1:])
 GROUP_PREFIX = "group_"
@@ -30,30 +30,33 @@ def match_groups(
     row per observation, where a hot key is split at run time. Both inputs are
     read once per grain, so pass written tables.
     """
-    values = observations.withColumn("value_ticks", ticks(F.col("value")))
-    groups = thresholds.withColumns(
-        {cut: ticks(F.col(level)) for cut, level in zip(CUTS, LEVELS[1:])}
-    )
-    return reduce(
-        DataFrame.unionByName,
-        (match_grain(values, groups, carried, grain) for grain in grains),
+    values = observations.select(*KEYS, "value", ticks(F.col("value")).alias("value_ticks"))
+    groups = thresholds.select(
+        "grain_id",
+        *(F.col(key).alias(f"right_{key}") for key in KEYS),
+        *carried,
+        *(ticks(F.col(level)).alias(cut) for cut, level in zip(CUTS, LEVELS[1:])),
     )
+    types = {field.name: field.dataType.simpleString() for field in values.schema}
+    matches = (match_grain(values, groups, carried, grain, types) for grain in grains)
+    return reduce(DataFrame.unionByName, matches)
 
 
 def match_grain(
-    values: DataFrame, groups: DataFrame, carried: Sequence[str], grain: Grain
+    values: DataFrame,
+    groups: DataFrame,
+    carried: Sequence[str],
+    grain: Grain,
+    types: Mapping[str, str],
 ) -> DataFrame:
-    own = groups.filter(F.col("grain_id") == grain.id).select(
-        "grain_id", *grain.keys, *carried, *CUTS
-    )
-    matched = join_on_keys(values.drop("goal"), own, grain.keys)
-    return matched.withColumns(
-        {
-            f"{GROUP_PREFIX}{key}": F.col(key)
-            if key in grain.keys
-            else F.lit(None).cast(values.schema[key].dataType)
-            for key in KEYS
-        }
+    """``group_`` columns hold the group's own keys, null where it has none."""
+    same = " AND ".join(f"{key} <=> right_{key}" for key in grain.keys)
+    own_keys = [
+        f"{key if key in grain.keys else 'NULL'} :: {types[key]} AS {GROUP_PREFIX}{key}"
+        for key in KEYS
+    ]
+    return values.join(groups.filter(f"grain_id = {grain.id}"), F.expr(same)).selectExpr(
+        *KEYS, "value", "value_ticks", "grain_id", *own_keys, *carried, *CUTS
     )
 
 

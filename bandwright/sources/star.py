@@ -86,7 +86,7 @@ def base_rate_cents() -> Column:
     return F.floor(rate * 100 + F.lit(0.5)).cast("int")
 
 
-def tiered(units: DataFrame, tiers: int = TIERS) -> DataFrame:
+def tiered(units: DataFrame, tiers: int = TIERS, chunk_ids: int = CHUNK_IDS) -> DataFrame:
     """``ntile`` over (base rate, unit) without sorting all units in one task.
 
     Units are counted per base rate, of which there are at most 10 001. That
@@ -95,7 +95,7 @@ def tiered(units: DataFrame, tiers: int = TIERS) -> DataFrame:
     from that one on are a tier higher.
     """
     rates = ranked_rates(units, tiers)
-    first_units = tier_starts(units, rates)
+    first_units = tier_starts(units, rates, chunk_ids)
     rates = rates.select("rate_cents", "rate_tier").join(
         first_units.groupBy("rate_cents").agg(F.collect_list("first_unit").alias("first_units")),
         "rate_cents",
@@ -150,12 +150,12 @@ def ranked_rates(units: DataFrame, tiers: int) -> DataFrame:
     )
 
 
-def tier_starts(units: DataFrame, rates: DataFrame) -> DataFrame:
+def tier_starts(units: DataFrame, rates: DataFrame, chunk_ids: int) -> DataFrame:
     """First unit of every tier that starts inside a base rate."""
     starts = rates.select("rate_cents", F.explode("starts").alias("place"))
     # One row per tier at most.
     inside = units.join(F.broadcast(starts), "rate_cents").select(
-        "rate_cents", "place", "unit", F.expr(f"unit div {CHUNK_IDS}").alias("chunk")
+        "rate_cents", "place", "unit", F.expr(f"unit div {chunk_ids}").alias("chunk")
     )
     per_place = Window.partitionBy("rate_cents", "place")
     up_to = per_place.orderBy("chunk").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -33,6 +33,11 @@ class Workspace:
         df.write.partitionBy(*partition_by).parquet(self.path(name))
         return self.load(name, df)
 
+    def remove(self) -> None:
+        """Delete the folder once nothing reads its tables any more."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def load(self, name: str, like: DataFrame) -> DataFrame:
         return self.spark.read.schema(like.schema).parquet(self.path(name)).select(*like.columns)
 
