@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -60,3 +60,7 @@ def join_on_keys(
     renamed = right.withColumnsRenamed({k: f"right_{k}" for k in keys})
     same = F.expr(" AND ".join(f"{k} <=> right_{k}" for k in keys))
     return left.join(renamed, same, how).drop(*(f"right_{k}" for k in keys))
+
+
+def stack(frames: Iterable[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames)

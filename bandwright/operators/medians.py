@@ -1,9 +1,10 @@
 """Exact median per group, also where one group holds most of the rows.
 
 ``F.median`` keeps a group's distinct values in one buffer. That is the best
-plan while groups are small. For larger groups the rows are counted per value,
-spread over the cluster by value, and the middle is located on ever finer bins
-of the percentage scale: only the bins that hold it go on to the next step.
+plan for small groups, which are many. The groups beyond the buffer size are
+few, by their size; their middle is located on ever finer bins of the
+percentage scale. Bins are counted before the shuffle, and each step reads on
+only in the bins that hold the middle.
 """
 
 from __future__ import annotations
@@ -13,14 +14,22 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bandwright.config import Grain
-from bandwright.operators.grains import GROUP_KEYS, group_by_grain, join_on_keys
+from bandwright.config import GRAINS, KEYS, Grain
+from bandwright.operators.grains import (
+    GROUP_KEYS,
+    group_by_grain,
+    join_on_keys,
+    stack,
+)
 
 # Largest group whose distinct values may sit in one aggregation buffer.
-BUFFER_ROWS = 1_000_000
+BUFFER_ROWS = 100_000
 
-# Bins per percentage point, coarse to fine. At most 10 001 bins per group on
-# the first step and 10 001 per chosen bin on the next.
+# Most keys of large groups that are broadcast; beyond it they are shuffled.
+BROADCAST_GROUPS = 100_000
+
+# Bins per percentage point, coarse to fine. A group has at most 10 001 bins on
+# the first step, and as many in a chosen bin on the next.
 BIN_SCALES = (1e2, 1e6)
 
 
@@ -37,37 +46,46 @@ def approximate_median(
 
 def located_median(
     observations: DataFrame,
-    grains: Sequence[Grain],
+    grain: Grain,
     scales: Sequence[float] = BIN_SCALES,
+    few: bool = False,
 ) -> DataFrame:
-    """Exact median without ever holding or sorting a whole group in one task."""
-    rows = group_by_grain(
-        observations.filter(F.col("value").isNotNull()),
-        [F.count(F.lit(1)).alias("n")],
-        grains,
-        extra_keys=["value"],
-    )
-    inside = list(GROUP_KEYS)
+    """Exact median of every group of a grain, without a task holding a group.
+
+    ``few`` states that the groups are few enough to broadcast their bins.
+    """
+    hint = F.broadcast if few else lambda df: df
+    rows = observations.dropna(subset=["period", "value"]).select(*grain.keys, "value")
+    inside = list(grain.keys)
     ranks: list[str] = []
     for step, scale in enumerate(scales):
         rows = rows.withColumn(f"bin_{step}", F.floor(F.col("value") * F.lit(scale)))
         bins = [*inside, f"bin_{step}"]
-        counts = rows.groupBy(*bins, *ranks).agg(F.sum("n").alias("n"))
+        counts = rows.groupBy(*bins, *ranks).agg(F.count(F.lit(1)).alias("n"))
         if not ranks:
-            counts = with_middle_ranks(counts)
+            counts = with_middle_ranks(counts, grain.keys)
             ranks = ["low", "high"]
-        chosen = holding_middle(counts, inside, f"bin_{step}")
-        rows = join_on_keys(rows.drop(*ranks), chosen.select(*bins, *ranks), bins)
+        chosen = holding_middle(counts, inside, f"bin_{step}").select(*bins, *ranks)
+        rows = join_on_keys(rows.drop(*ranks), hint(chosen), bins)
         inside = bins
-    middle = holding_middle(rows, inside, "value")
-    return middle.groupBy(*GROUP_KEYS).agg(
-        ((F.min("value") + F.max("value")) / 2).alias("median")
-    )
+    values = rows.groupBy(*inside, *ranks, "value").agg(F.count(F.lit(1)).alias("n"))
+    middle = holding_middle(values, inside, "value")
+    median = ((F.min("value") + F.max("value")) / 2).alias("median")
+    return with_all_keys(middle.groupBy(*grain.keys).agg(median), grain, observations)
 
 
-def with_middle_ranks(counts: DataFrame) -> DataFrame:
+def with_all_keys(medians: DataFrame, grain: Grain, like: DataFrame) -> DataFrame:
+    """Grain id and every group key, null where the grain does not use it."""
+    keys = [
+        F.col(key) if key in grain.keys else F.lit(None).cast(like.schema[key].dataType).alias(key)
+        for key in KEYS
+    ]
+    return medians.select(F.lit(grain.id).alias("grain_id"), *keys, "median")
+
+
+def with_middle_ranks(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Ranks of the middle row, or of the middle two when the group is even."""
-    total = F.sum("n").over(Window.partitionBy(*GROUP_KEYS))
+    total = F.sum("n").over(Window.partitionBy(*keys))
     return (
         counts.withColumn("total", total)
         .withColumn("low", F.expr("(total + 1) div 2"))
@@ -93,16 +111,28 @@ def holding_middle(counts: DataFrame, inside: Sequence[str], by: str) -> DataFra
 
 def median_by_grain(
     observations: DataFrame,
-    largest_group: dict[int, int],
-    grains: Sequence[Grain],
+    stats: DataFrame,
+    grains: Sequence[Grain] = GRAINS,
     buffer_rows: int = BUFFER_ROWS,
 ) -> DataFrame:
-    """Exact medians, each grain by the way its largest group allows."""
-    small = [g for g in grains if largest_group.get(g.id, 0) <= buffer_rows]
-    large = [g for g in grains if g not in small]
-    parts = []
-    if small:
-        parts.append(buffered_median(observations, small))
-    if large:
-        parts.append(located_median(observations, large))
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    """Exact medians, each group by the way its row count in ``stats`` allows."""
+    large = F.col("count") > buffer_rows
+    sizes = stats.groupBy("grain_id").agg(
+        F.count(F.lit(1)).alias("groups"), F.count_if(large).alias("large_groups")
+    )
+    found = {row.grain_id: row for row in sizes.collect()}  # a row per grain
+    plain = [g for g in grains if g.id not in found or not found[g.id].large_groups]
+    parts = [buffered_median(observations, plain)] if plain else []
+    for grain in grains:
+        if grain in plain:
+            continue
+        groups, large_groups = found[grain.id].groups, found[grain.id].large_groups
+        few = large_groups <= BROADCAST_GROUPS
+        keys = stats.filter(large & (F.col("grain_id") == grain.id)).select(*grain.keys)
+        keys = F.broadcast(keys) if few else keys
+        held = join_on_keys(observations, keys, grain.keys, "left_semi")
+        parts.append(located_median(held, grain, few=few))
+        if large_groups < groups:
+            rest = join_on_keys(observations, keys, grain.keys, "left_anti")
+            parts.append(buffered_median(rest, [grain]))
+    return stack(parts).select(*GROUP_KEYS, "median")

@@ -7,7 +7,6 @@ actuals    period, measure_type, unit, category, category_id, result
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,10 +33,6 @@ def tag_measure(results: DataFrame, measure: Measure) -> DataFrame:
     return tagged.select(*ACTUAL_COLUMNS)
 
 
-def stack_measures(frames: Sequence[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
-
-
 def observations(
     goals: DataFrame,
     actuals: DataFrame,

@@ -3,59 +3,65 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bandwright.config import GRAINS, KEYS, LEVELS, Grain
 from bandwright.functions import first_level, ticks
-from bandwright.operators.grains import grain_label
+from bandwright.operators.grains import grain_label, stack
 
 CUTS = tuple(f"cut_{level}" for level in LEVELS[1:])
 GROUP_PREFIX = "group_"
 
 
+def split_by_grain(
+    thresholds: DataFrame, grains: Sequence[Grain] = GRAINS
+) -> dict[int, DataFrame]:
+    return {grain.id: thresholds.filter(F.col("grain_id") == grain.id) for grain in grains}
+
+
 def match_groups(
     observations: DataFrame,
-    thresholds: DataFrame,
+    thresholds: Mapping[int, DataFrame],
     carried: Sequence[str] = LEVELS,
     grains: Sequence[Grain] = GRAINS,
 ) -> DataFrame:
     """One row per observation and grain, with its group's thresholds.
 
-    Each grain is an equi-join of its own. The few groups of a coarse grain are
-    broadcast once their measured size allows it; a grain with a group per unit
-    may be as large as the units are many and is then shuffled by its keys, one
-    row per observation, where a hot key is split at run time. Both inputs are
-    read once per grain, so pass written tables.
+    Each grain is an equi-join of its own against its own thresholds. The few
+    groups of a coarse grain are broadcast where their measured size allows it;
+    a grain with a group per unit may be as large as the units are many and is
+    then shuffled by its keys, one row per observation, where a hot key is split
+    at run time. Observations are read once per grain, so pass a written table.
     """
     values = observations.select(*KEYS, "value", ticks(F.col("value")).alias("value_ticks"))
-    groups = thresholds.select(
-        "grain_id",
-        *(F.col(key).alias(f"right_{key}") for key in KEYS),
-        *carried,
-        *(ticks(F.col(level)).alias(cut) for cut, level in zip(CUTS, LEVELS[1:])),
-    )
     types = {field.name: field.dataType.simpleString() for field in values.schema}
-    matches = (match_grain(values, groups, carried, grain, types) for grain in grains)
-    return reduce(DataFrame.unionByName, matches)
+    return stack(
+        match_grain(values, thresholds[grain.id], carried, grain, types) for grain in grains
+    )
 
 
 def match_grain(
     values: DataFrame,
-    groups: DataFrame,
+    thresholds: DataFrame,
     carried: Sequence[str],
     grain: Grain,
     types: Mapping[str, str],
 ) -> DataFrame:
     """``group_`` columns hold the group's own keys, null where it has none."""
+    groups = thresholds.select(
+        "grain_id",
+        *(F.col(key).alias(f"right_{key}") for key in grain.keys),
+        *carried,
+        *(ticks(F.col(level)).alias(cut) for cut, level in zip(CUTS, LEVELS[1:])),
+    )
     same = " AND ".join(f"{key} <=> right_{key}" for key in grain.keys)
     own_keys = [
         f"{key if key in grain.keys else 'NULL'} :: {types[key]} AS {GROUP_PREFIX}{key}"
         for key in KEYS
     ]
-    return values.join(groups.filter(f"grain_id = {grain.id}"), F.expr(same)).selectExpr(
+    return values.join(groups, F.expr(same)).selectExpr(
         *KEYS, "value", "value_ticks", "grain_id", *own_keys, *carried, *CUTS
     )
 

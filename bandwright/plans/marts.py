@@ -17,7 +17,7 @@ from bandwright.config import (
     Measure,
 )
 from bandwright.functions import label_of
-from bandwright.operators.observe import stack_measures
+from bandwright.operators.grains import stack
 from bandwright.operators.score import scored_rows
 from bandwright.operators.summary import model_rollup
 from bandwright.plans.pipeline import RubricRun
@@ -80,7 +80,7 @@ def published(df: DataFrame) -> DataFrame:
 
 
 def summaries_mart(run: RubricRun, models: Iterable[str] = (MODEL_GOAL_SD,)) -> DataFrame:
-    return stack_measures(
+    return stack(
         [
             labelled(run.summary(model), model, run.measures).select(*SUMMARY_COLUMNS)
             for model in models
@@ -89,7 +89,7 @@ def summaries_mart(run: RubricRun, models: Iterable[str] = (MODEL_GOAL_SD,)) ->
 
 
 def scored_mart(run: RubricRun, models: Iterable[str] = (MODEL_GOAL_SD,)) -> DataFrame:
-    return stack_measures(
+    return stack(
         [
             labelled(scored_rows(run.matched(model)), model, run.measures).select(*SCORED_COLUMNS)
             for model in models

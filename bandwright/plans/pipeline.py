@@ -6,7 +6,6 @@ from collections.abc import Sequence
 from functools import cached_property
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from bandwright.config import (
     GRAINS,
@@ -63,11 +62,9 @@ class RubricRun:
     @cached_property
     def exact_stats(self) -> DataFrame:
         """Statistics with the exact median, located as group sizes allow."""
-        sizes = self.stats.groupBy("grain_id").agg(F.max("count").alias("rows"))
-        largest = {row.grain_id: row.rows for row in sizes.collect()}  # a row per grain
-        medians = median_by_grain(self.observations, largest, GRAINS)
+        medians = median_by_grain(self.observations, self.stats)
         return self.workspace.save(
-            join_on_keys(self.stats, medians, GROUP_KEYS),
+            join_on_keys(self.stats, medians, GROUP_KEYS, "left"),
             "exact_stats",
             partition_by=["grain_id"],
         )
@@ -75,12 +72,7 @@ class RubricRun:
     def approximate_stats(self, accuracy: int = 10_000) -> DataFrame:
         """Opt-in: the median within 1/accuracy of its rank, in one pass."""
         medians = approximate_median(self.observations, GRAINS, accuracy)
-        return join_on_keys(self.stats, medians, GROUP_KEYS)
-
-    def thresholds(self, model: str, with_median: bool = False) -> DataFrame:
-        if model == MODEL_KMEANS:
-            return self.kmeans
-        return SD_RULES[model](self.exact_stats if with_median else self.stats)
+        return join_on_keys(self.stats, medians, GROUP_KEYS, "left")
 
     @cached_property
     def kmeans(self) -> DataFrame:
@@ -89,6 +81,17 @@ class RubricRun:
             kmeans_thresholds(*halves), "kmeans", partition_by=["grain_id"]
         )
 
+    def thresholds(self, model: str, with_median: bool = False) -> dict[int, DataFrame]:
+        """Thresholds of a model per grain id, each grain a table of its own size."""
+        if model == MODEL_KMEANS:
+            return self.by_grain("kmeans")
+        stats = self.by_grain("exact_stats" if with_median else "stats")
+        return {grain_id: SD_RULES[model](table) for grain_id, table in stats.items()}
+
+    def by_grain(self, table: str) -> dict[int, DataFrame]:
+        saved = getattr(self, table)
+        return self.workspace.parts(table, saved, "grain_id", [grain.id for grain in GRAINS])
+
     def matched(self, model: str, kind: str = "levels") -> DataFrame:
         return match_groups(
             self.observations,

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from bandwright.config import GRAINS, MODEL_GOAL_SD, MODEL_KMEANS, MODEL_MEAN_SD
 from bandwright.functions import round_half_up
 from bandwright.functions.names import normalise_headers
-from bandwright.operators.grains import grain_label
+from bandwright.operators.grains import grain_label, stack
 from bandwright.operators.medians import located_median
 from bandwright.operators.models import (
     above_goal_summary,
@@ -23,7 +23,6 @@ from bandwright.operators.models import (
 from bandwright.operators.observe import (
     actuals_without_goals,
     goals_without_actuals,
-    stack_measures,
     tag_measure,
 )
 from bandwright.operators.score import scored_rows
@@ -55,7 +54,7 @@ def measure_union(spark: SparkSession, folder: str) -> DataFrame:
     cells = Workspace(spark).save(star.cell_counts(spark, folder), "cells")
     returned, urgent = star.STAR_MEASURES
     return rounded(
-        stack_measures(
+        stack(
             [
                 tag_measure(star.returned_results(cells), returned),
                 tag_measure(star.urgent_results(cells), urgent),
@@ -98,7 +97,8 @@ def grain_stats(spark: SparkSession, folder: str) -> DataFrame:
 
 def grain_median_located(spark: SparkSession, folder: str) -> DataFrame:
     """The median the way groups beyond one buffer are handled."""
-    return with_grain(located_median(star.star_run(spark, folder).observations, GRAINS))
+    seen = star.star_run(spark, folder).observations
+    return with_grain(stack(located_median(seen, grain) for grain in GRAINS))
 
 
 def thresholds_sd(spark: SparkSession, folder: str) -> DataFrame:
@@ -225,7 +225,7 @@ def delimited_load(spark: SparkSession, folder: str) -> DataFrame:
     schemas = dict.fromkeys(names, suppliers.schema)
     loaded = delimited.load_folder(spark, workspace.root, schemas)
     return rounded(
-        stack_measures([df.withColumn("dataset", F.lit(name)) for name, df in loaded.items()])
+        stack([df.withColumn("dataset", F.lit(name)) for name, df in loaded.items()])
     )
 
 

@@ -2,8 +2,8 @@
 
 A written table cuts the lineage, so a lost executor costs a re-read and not a
 rebuild. It is columnar, so later steps read only the columns they use, and its
-file sizes are known to the optimizer: whether a join side may be broadcast is
-then decided from its measured size, per partition directory.
+file sizes are known to the optimizer, which decides from them whether a join
+side may be broadcast.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 import posixpath
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,14 +33,37 @@ class Workspace:
         df.write.partitionBy(*partition_by).parquet(self.path(name))
         return self.load(name, df)
 
+    def load(self, name: str, like: DataFrame) -> DataFrame:
+        return self.spark.read.schema(like.schema).parquet(self.path(name)).select(*like.columns)
+
+    def parts(
+        self, name: str, like: DataFrame, column: str, values: Iterable[int]
+    ) -> dict[int, DataFrame]:
+        """A table saved by ``column`` as one frame per value.
+
+        Each frame lists its own directory only. A filter on the whole table
+        reads the same files, but counts as large as the table when the
+        optimizer looks for sides to broadcast.
+        """
+        found = {}
+        for value in values:
+            folder = self.path(f"{name}/{column}={value}")
+            if self.exists(folder):
+                reader = self.spark.read.schema(like.schema).option("basePath", self.path(name))
+                found[value] = reader.parquet(folder).select(*like.columns)
+            else:
+                found[value] = like.limit(0)
+        return found
+
+    def exists(self, path: str) -> bool:
+        location = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return location.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(location)
+
     def remove(self) -> None:
         """Delete the folder once nothing reads its tables any more."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
-    def load(self, name: str, like: DataFrame) -> DataFrame:
-        return self.spark.read.schema(like.schema).parquet(self.path(name)).select(*like.columns)
-
 
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; a temporary one only in local mode."""

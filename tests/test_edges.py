@@ -15,16 +15,15 @@ from bandwright.functions import (
     round_half_up,
     ticks,
 )
-from bandwright.operators.grains import basic_stats
+from bandwright.operators.grains import basic_stats, stack
 from bandwright.operators.models import apply_goal_rule, goal_sd_thresholds, mean_sd_thresholds
 from bandwright.operators.observe import (
     actuals_without_goals,
     goals_without_actuals,
     observations,
-    stack_measures,
     tag_measure,
 )
-from bandwright.operators.score import match_groups, scored_rows
+from bandwright.operators.score import match_groups, scored_rows, split_by_grain
 from bandwright.operators.summary import band_summary
 from bandwright.sources.relational import category_results
 
@@ -85,7 +84,7 @@ def test_measures_are_stacked(spark):
         [("2022", "A", "1", 1, 0.7)],
         "period string, unit string, category string, category_id int, result double",
     )
-    both = stack_measures([tag_measure(raw, FIRST), tag_measure(raw, LAST)])
+    both = stack([tag_measure(raw, FIRST), tag_measure(raw, LAST)])
     assert sorted(r.measure_type for r in both.collect()) == ["FDOP", "LDOS"]
 
 
@@ -124,7 +123,7 @@ def test_single_row_group_is_scored_null_and_not_summarised(spark):
     single = thresholds.filter("region = 'S' AND unit = 'B'").first()
     assert (single.sd, single.level_2, single.level_4, single.level_5) == (None,) * 4
     assert single.level_3 == 75.0
-    matched = match_groups(seen, thresholds, ("count", *(f"level_{i}" for i in range(1, 6))))
+    matched = match_groups(seen, split_by_grain(thresholds), ("count", *(f"level_{i}" for i in range(1, 6))))
     scored = scored_rows(matched).filter(F.col("grain") == GRAINS[0].label)
     assert {r.unit: r.level for r in scored.collect() if r.unit == "B"} == {"B": None}
     assert scored.count() == 3
@@ -140,7 +139,7 @@ def test_equal_values_give_level_five_or_one(spark):
     )
     thresholds = goal_sd_thresholds(basic_stats(seen))
     assert {r.sd for r in thresholds.filter("unit IS NOT NULL").collect()} == {0.0}
-    scored = scored_rows(match_groups(seen, thresholds)).filter(F.col("grain") == GRAINS[0].label)
+    scored = scored_rows(match_groups(seen, split_by_grain(thresholds))).filter(F.col("grain") == GRAINS[0].label)
     assert {(r.unit, r.level) for r in scored.collect()} == {("A", 5), ("B", 1)}
 
 
@@ -153,7 +152,7 @@ def test_null_region_is_a_group_of_its_own(spark):
     regions = {r.region: r["count"] for r in stats.filter("grain_id = 3").collect()}
     assert regions == {None: 2, "R": 1}
     assert stats.filter("grain_id = 7").count() == 1
-    matched = match_groups(seen, goal_sd_thresholds(stats))
+    matched = match_groups(seen, split_by_grain(goal_sd_thresholds(stats)))
     assert scored_rows(matched).count() == 15
 
 
@@ -171,7 +170,7 @@ def test_mean_model_bands_overlap_and_are_flagged(spark):
     thresholds = mean_sd_thresholds(basic_stats(seen))
     unit = thresholds.filter("unit IS NOT NULL").first()
     assert unit.level_4 < unit.level_3 and unit.monotone is False
-    matched = match_groups(seen, thresholds, ("count", *(f"level_{i}" for i in range(1, 6))))
+    matched = match_groups(seen, split_by_grain(thresholds), ("count", *(f"level_{i}" for i in range(1, 6))))
     summary = band_summary(matched, "levels").filter("unit IS NOT NULL").first()
     assert sum(summary[f"count_level_{b}"] for b in range(1, 6)) > summary["count"]
     top = scored_rows(matched).filter("value = 88").filter(F.col("grain") == GRAINS[0].label)
@@ -184,7 +183,7 @@ def test_bands_partition_every_group_of_the_goal_model(spark):
     values = [("R" if i % 3 else "S", f"U{i % 5}", str(i % 4), 50.0 + i * 7 % 50, 75.0 + i % 5) for i in range(90)]
     seen = seen_of(spark, values)
     thresholds = goal_sd_thresholds(basic_stats(seen))
-    matched = match_groups(seen, thresholds, ("count", *(f"level_{i}" for i in range(1, 6))))
+    matched = match_groups(seen, split_by_grain(thresholds), ("count", *(f"level_{i}" for i in range(1, 6))))
     for row in band_summary(matched, "levels").collect():
         assert sum(row[f"count_level_{b}"] for b in range(1, 6)) == row["count"]
         assert sum(row[f"percent_level_{b}"] for b in range(1, 6)) == pytest.approx(1.0)

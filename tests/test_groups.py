@@ -10,12 +10,8 @@ from pyspark.sql import functions as F
 
 from bandwright.config import GRAINS
 from bandwright.operators.clusters import best_centres, cluster_centres
-from bandwright.operators.medians import (
-    approximate_median,
-    buffered_median,
-    located_median,
-    median_by_grain,
-)
+from bandwright.operators.grains import basic_stats, stack
+from bandwright.operators.medians import approximate_median, located_median, median_by_grain
 from bandwright.operators.models import above_goal_summary, below_goal_summary, kmeans_thresholds
 from bandwright.sources.star import tiered
 from test_edges import seen_of
@@ -57,21 +53,26 @@ def expected_by_group(rows, function):
     return {key: function(values) for key, values in groups.items()}
 
 
-def test_medians_agree_with_brute_force(skewed):
+def located(seen, grains, **options):
+    return stack(located_median(seen, grain, **options) for grain in grains)
+
+
+@pytest.mark.parametrize("options", [{}, {"few": True}, {"scales": (0.01,)}])
+def test_located_median_agrees_with_brute_force(skewed, options):
     rows, seen = skewed
     expected = expected_by_group(rows, statistics.median)
-    assert by_group(buffered_median(seen, GRAINS), "median") == expected
-    assert by_group(located_median(seen, GRAINS), "median") == pytest.approx(expected, abs=1e-12)
-    coarse = located_median(seen, GRAINS, scales=(0.01,))
-    assert by_group(coarse, "median") == pytest.approx(expected, abs=1e-12)
+    found = by_group(located(seen, GRAINS, **options), "median")
+    assert found == pytest.approx(expected, abs=1e-12)
 
 
-def test_median_route_depends_on_the_largest_group(skewed):
+# From all groups small, over the hot unit and all coarse groups large, to all large.
+@pytest.mark.parametrize("buffer_rows", [10**9, 500, 100, 0])
+def test_median_route_depends_on_the_group(skewed, buffer_rows):
     rows, seen = skewed
     expected = expected_by_group(rows, statistics.median)
-    largest = {UNIT_GRAIN.id: 5, REGION.id: 5, CATEGORY.id: 50, ALL.id: 50}
-    mixed = median_by_grain(seen, largest, GRAINS, buffer_rows=10)
-    assert by_group(mixed, "median") == pytest.approx(expected, abs=1e-12)
+    medians = median_by_grain(seen, basic_stats(seen), buffer_rows=buffer_rows)
+    assert medians.count() == len(expected)
+    assert by_group(medians, "median") == pytest.approx(expected, abs=1e-12)
 
 
 def test_small_medians(spark):
@@ -80,7 +81,7 @@ def test_small_medians(spark):
         [("R", "A", str(i), v, 1.0) for i, v in enumerate((1.0, 2.0, 3.0, 10.0))]
         + [("R", "B", "1", 7.0, 1.0)],
     )
-    found = by_group(located_median(seen, [UNIT_GRAIN]), "median")
+    found = by_group(located_median(seen, UNIT_GRAIN), "median")
     assert found == {(1, "R", "A", None): 2.5, (1, "R", "B", None): 7.0}
 
 
