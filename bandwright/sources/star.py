@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import posixpath
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bandwright.config import EXEMPT_GOAL, EXEMPT_TIER, Measure
@@ -86,95 +86,58 @@ def base_rate_cents() -> Column:
     return F.floor(rate * 100 + F.lit(0.5)).cast("int")
 
 
-def tiered(units: DataFrame, tiers: int = TIERS, chunk_ids: int = CHUNK_IDS) -> DataFrame:
-    """``ntile`` over (base rate, unit) without sorting all units in one task.
-
-    Units are counted per base rate, of which there are at most 10 001. That
-    gives the tier of a whole rate, except where a tier starts inside it; there
-    the first unit of the tier is looked up, on chunks of unit ids, and units
-    from that one on are a tier higher.
-    """
-    rates = ranked_rates(units, tiers)
-    first_units = tier_starts(units, rates, chunk_ids)
-    rates = rates.select("rate_cents", "rate_tier").join(
-        first_units.groupBy("rate_cents").agg(F.collect_list("first_unit").alias("first_units")),
-        "rate_cents",
-        "left",
-    )
-    passed = F.filter("first_units", lambda first: first <= F.col("unit"))
-    # At most 10 001 rates, each with at most one entry per tier.
-    return (
-        units.join(F.broadcast(rates), "rate_cents")
-        .withColumn("tier", F.col("rate_tier") + F.coalesce(F.size(passed), F.lit(0)))
-        .drop("rate_tier", "first_units")
-    )
-
-
-def ranked_rates(units: DataFrame, tiers: int) -> DataFrame:
-    """Per base rate: units before it, its tier, and the tiers starting inside."""
-    counts = units.groupBy("rate_cents").agg(F.count(F.lit(1)).alias("n"))
-    everything = Window.partitionBy(F.lit(0))
-    up_to = everything.orderBy("rate_cents").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    counted = counts.withColumns(
-        {
-            "total": F.sum("n").over(everything),
-            "before": F.sum("n").over(up_to) - F.col("n"),
-        }
-    )
-    # Ranks before tier t: t-1 tiers of equal size, the first ones one larger.
-    ranks_before = F.array(
-        *(
-            F.expr(f"{t} * (total div {tiers}) + least({t}, total % {tiers})")
-            for t in range(1, tiers)
-        )
-    )
-    return (
-        counted.withColumn("ranks_before", ranks_before)
-        .withColumn(
-            "rate_tier",
-            F.size(F.filter("ranks_before", lambda r: r <= F.col("before"))) + 1,
-        )
-        .withColumn(
-            "starts",
-            F.transform(
-                F.filter(
-                    "ranks_before",
-                    lambda r: (r > F.col("before")) & (r < F.col("before") + F.col("n")),
-                ),
-                lambda r: r - F.col("before") + 1,
-            ),
-        )
-        .select("rate_cents", "rate_tier", "starts")
-    )
+# Units are counted per base rate, of which there are at most 10 001. That gives
+# the tier of a whole rate, except where a tier starts inside it. There the first
+# unit of the tier is looked up: by counts per chunk of unit ids, then within the
+# one chunk that holds it. Broadcast are only rates and the tiers' own rows.
+TIER_QUERY = """
+WITH counted AS (
+  SELECT rate_cents, n, total,
+         sum(n) OVER (ORDER BY rate_cents ROWS UNBOUNDED PRECEDING) - n AS before
+  FROM (SELECT *, sum(n) OVER () AS total
+        FROM (SELECT rate_cents, count(*) AS n FROM {units} GROUP BY rate_cents))
+), rates AS (
+  SELECT rate_cents, n, before,
+         transform(sequence(1, {tiers} - 1),
+                   t -> t * (total div {tiers}) + least(t, total % {tiers})) AS ranks_before
+  FROM counted
+), starts AS (
+  SELECT rate_cents, rank_before - before + 1 AS place
+  FROM rates LATERAL VIEW explode(ranks_before) AS rank_before
+  WHERE rank_before > before AND rank_before < before + n
+), chunks AS (
+  SELECT /*+ BROADCAST(s) */ s.rate_cents, s.place, u.unit div {chunk_ids} AS chunk, count(*) AS n
+  FROM {units} u JOIN starts s ON u.rate_cents = s.rate_cents
+  GROUP BY s.rate_cents, s.place, u.unit div {chunk_ids}
+), reached AS (
+  SELECT rate_cents, chunk, place - before AS place
+  FROM (SELECT *, sum(n) OVER (PARTITION BY rate_cents, place ORDER BY chunk
+                               ROWS UNBOUNDED PRECEDING) - n AS before
+        FROM chunks)
+  WHERE place > before AND place <= before + n
+), first_units AS (
+  SELECT rate_cents, collect_list(unit) AS first_units
+  FROM (SELECT /*+ BROADCAST(r) */ r.rate_cents, r.place, u.unit,
+               row_number() OVER (PARTITION BY r.rate_cents, r.chunk, r.place
+                                  ORDER BY u.unit) AS found
+        FROM {units} u
+        JOIN reached r ON u.rate_cents = r.rate_cents AND u.unit div {chunk_ids} = r.chunk)
+  WHERE found = place
+  GROUP BY rate_cents
+), rate_tiers AS (
+  SELECT r.rate_cents, first_units,
+         1 + size(filter(ranks_before, rank -> rank <= before)) AS rate_tier
+  FROM rates r LEFT JOIN first_units f ON r.rate_cents = f.rate_cents
+)
+SELECT /*+ BROADCAST(t) */ u.*,
+       rate_tier + coalesce(size(filter(first_units, first -> first <= unit)), 0) AS tier
+FROM {units} u JOIN rate_tiers t ON u.rate_cents = t.rate_cents
+"""
 
 
-def tier_starts(units: DataFrame, rates: DataFrame, chunk_ids: int) -> DataFrame:
-    """First unit of every tier that starts inside a base rate."""
-    starts = rates.select("rate_cents", F.explode("starts").alias("place"))
-    # One row per tier at most.
-    inside = units.join(F.broadcast(starts), "rate_cents").select(
-        "rate_cents", "place", "unit", F.expr(f"unit div {chunk_ids}").alias("chunk")
-    )
-    per_place = Window.partitionBy("rate_cents", "place")
-    up_to = per_place.orderBy("chunk").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    chunks = (
-        inside.groupBy("rate_cents", "place", "chunk")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("before", F.sum("n").over(up_to) - F.col("n"))
-        .filter(
-            (F.col("place") > F.col("before")) & (F.col("place") <= F.col("before") + F.col("n"))
-        )
-        .select("rate_cents", "place", "chunk", "before")
-    )
-    in_chunk = Window.partitionBy("rate_cents", "place", "chunk").orderBy("unit")
-    return (
-        inside.join(F.broadcast(chunks), ["rate_cents", "place", "chunk"])
-        .withColumn("rank", F.col("before") + F.row_number().over(in_chunk))
-        .filter(F.col("rank") == F.col("place"))
-        .select("rate_cents", F.col("unit").alias("first_unit"))
-    )
+def tiered(units: DataFrame, tiers: int = TIERS, chunk_ids: int = CHUNK_IDS) -> DataFrame:
+    """``ntile`` over (base rate, unit) without sorting all units in one task."""
+    return units.sparkSession.sql(TIER_QUERY, units=units, tiers=tiers, chunk_ids=chunk_ids)
 
 
 def goals(spark: SparkSession, folder: str, workspace: Workspace) -> DataFrame:
