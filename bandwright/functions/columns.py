@@ -42,10 +42,12 @@ def band_flags(value: Column, cuts: list[Column]) -> list[Column]:
 
 def first_level(value: Column, cuts: list[Column]) -> Column:
     """Number of the first band that holds the value; null without cuts."""
-    chain = F
-    for number, flag in enumerate(band_flags(value, cuts), start=1):
-        chain = chain.when(flag, F.lit(number))
-    return chain
+    return F.coalesce(
+        *(
+            F.when(flag, F.lit(number))
+            for number, flag in enumerate(band_flags(value, cuts), start=1)
+        )
+    )
 
 
 def label_of(column: Column, labels: Mapping[object, str]) -> Column:

@@ -71,14 +71,14 @@ def best_centres(k: int):
                 score = np.where(weight > 0, total**2 / weight, -np.inf)
             starts = []
             for runs in range(2, k + 1):
+                first = runs - 1
                 longer = np.full(size + 1, -np.inf)
                 start = np.zeros(size + 1, dtype="int64")
                 for end in range(runs, size + 1) if runs < k else [size]:
-                    cut = np.arange(runs - 1, end)
-                    last = (total[end] - total[cut]) ** 2 / (weight[end] - weight[cut])
-                    options = score[cut] + last
-                    best = int(np.argmax(options))
-                    longer[end], start[end] = options[best], cut[best]
+                    rest = total[end] - total[first:end]
+                    options = score[first:end] + rest * rest / (weight[end] - weight[first:end])
+                    best = int(options.argmax())
+                    longer[end], start[end] = options[best], first + best
                 score = longer
                 starts.append(start)
             edges = [size]

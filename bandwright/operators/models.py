@@ -95,13 +95,11 @@ def apply_goal_rule(units: DataFrame) -> DataFrame:
     The target is text, as exempt units carry a word in its place.
     """
     kept_share = (1 - F.col("n_leavers") / F.col("n_total")) * 100
-    return (
-        units.withColumn("base_rate", round_half_up(kept_share, 2))
-        .withColumn("growth_target", label_of(F.col("tier"), GROWTH_TARGETS))
-        .withColumn(
-            "goal",
-            F.when(F.col("tier") == EXEMPT_TIER, F.lit(EXEMPT_GOAL)).otherwise(
-                round_half_up(F.col("base_rate") + F.col("growth_target").try_cast("double"), 2)
-            ),
-        )
-    )
+    grown = round_half_up(F.col("base_rate") + F.col("growth_target").try_cast("double"), 2)
+    exempt = F.col("tier") == EXEMPT_TIER
+    return units.withColumns(
+        {
+            "base_rate": round_half_up(kept_share, 2),
+            "growth_target": label_of(F.col("tier"), GROWTH_TARGETS),
+        }
+    ).withColumn("goal", F.when(exempt, F.lit(EXEMPT_GOAL)).otherwise(grown))

@@ -7,6 +7,7 @@ actuals    period, measure_type, unit, category, category_id, result
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -62,25 +63,23 @@ def observations(
 
 def scaled_result(measures: Sequence[Measure]) -> Column:
     """Result in percent; a measure without a scale arrives in percent."""
-    scaled = F
-    for measure in measures:
-        if measure.scale != 1.0:
-            scaled = scaled.when(
-                F.col("measure_type") == measure.name, F.col("result") * F.lit(measure.scale)
-            )
-    return F.col("result") if scaled is F else scaled.otherwise(F.col("result"))
+    scaled = (
+        F.when(F.col("measure_type") == measure.name, F.col("result") * F.lit(measure.scale))
+        for measure in measures
+        if measure.scale != 1.0
+    )
+    return F.coalesce(*scaled, F.col("result"))
 
 
 def allowed_category(measures: Sequence[Measure]) -> Column:
     """Exclusions hold for their own measure; an unknown id is excluded there too."""
-    allowed = F
-    for measure in measures:
-        if measure.excluded_category_ids:
-            allowed = allowed.when(
-                F.col("measure_type") == measure.name,
-                ~F.col("category_id").isin(*measure.excluded_category_ids),
-            )
-    return F.lit(True) if allowed is F else allowed.otherwise(F.lit(True))
+    rules = (
+        (F.col("measure_type") != measure.name)
+        | ~F.col("category_id").isin(*measure.excluded_category_ids)
+        for measure in measures
+        if measure.excluded_category_ids
+    )
+    return reduce(Column.__and__, rules, F.lit(True))
 
 
 def goals_without_actuals(goals: DataFrame, actuals: DataFrame) -> DataFrame:

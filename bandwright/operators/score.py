@@ -49,9 +49,11 @@ def match_grain(
     grain: Grain,
     types: Mapping[str, str],
 ) -> DataFrame:
-    """``group_`` columns hold the group's own keys, null where it has none."""
+    """``group_`` columns hold the group's own keys, null where it has none.
+
+    The grain is a constant here, so a report on one grain skips the others.
+    """
     groups = thresholds.select(
-        "grain_id",
         *(F.col(key).alias(f"right_{key}") for key in grain.keys),
         *carried,
         *(ticks(F.col(level)).alias(cut) for cut, level in zip(CUTS, LEVELS[1:])),
@@ -62,7 +64,7 @@ def match_grain(
         for key in KEYS
     ]
     return values.join(groups, F.expr(same)).selectExpr(
-        *KEYS, "value", "value_ticks", "grain_id", *own_keys, *carried, *CUTS
+        *KEYS, "value", "value_ticks", f"{grain.id} AS grain_id", *own_keys, *carried, *CUTS
     )
 
 

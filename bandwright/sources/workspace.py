@@ -50,7 +50,7 @@ class Workspace:
             folder = self.path(f"{name}/{column}={value}")
             if self.exists(folder):
                 reader = self.spark.read.schema(like.schema).option("basePath", self.path(name))
-                found[value] = reader.parquet(folder).select(*like.columns)
+                found[value] = reader.parquet(folder)
             else:
                 found[value] = like.limit(0)
         return found
