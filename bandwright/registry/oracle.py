@@ -10,7 +10,7 @@ from bandwright.config import (
 )
 from bandwright.functions import title_case
 from bandwright.plans.report import COUNTS_AND_SHARES, slice_columns
-from bandwright.sources.star import CATEGORY_IDS, CATEGORY_PANELS, INDICATORS, STAR_MEASURES
+from bandwright.registry.star import CATEGORY_IDS, CATEGORY_PANELS, INDICATORS, STAR_MEASURES
 
 LEVELS = [f"level_{i}" for i in range(1, 6)]
 

@@ -27,7 +27,8 @@ from bandwright.operators.observe import (
 )
 from bandwright.operators.score import scored_rows
 from bandwright.plans import marts, report
-from bandwright.sources import delimited, relational, star
+from bandwright.registry import star
+from bandwright.sources import delimited, relational
 from bandwright.sources.preview import preview
 from bandwright.sources.workspace import Workspace
 

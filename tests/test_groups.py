@@ -13,7 +13,7 @@ from bandwright.operators.clusters import best_centres, cluster_centres
 from bandwright.operators.grains import basic_stats, stack
 from bandwright.operators.medians import approximate_median, located_median, median_by_grain
 from bandwright.operators.models import above_goal_summary, below_goal_summary, kmeans_thresholds
-from bandwright.sources.star import tiered
+from bandwright.registry.star import tiered
 from test_edges import seen_of
 
 UNIT_GRAIN, REGION_CATEGORY, CATEGORY, REGION, ALL = GRAINS

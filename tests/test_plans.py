@@ -13,7 +13,7 @@ from bandwright.operators.models import goal_sd_thresholds
 from bandwright.operators.observe import goals_without_actuals, observations
 from bandwright.operators.score import match_groups, scored_rows
 from bandwright.operators.summary import band_summary
-from bandwright.sources import star
+from bandwright.registry import star
 from bandwright.sources.workspace import Workspace
 from test_edges import seen_of
 

@@ -227,6 +227,20 @@ def test_workspace_uses_the_shared_folder(spark, tmp_path):
     assert list(tmp_path.iterdir()) == []
 
 
+class Settings:
+    """Stands in for a session whose settings are given."""
+
+    def __init__(self, **settings):
+        self.conf = {f"spark.{name.replace('_', '.')}": text for name, text in settings.items()}
+
+
+def test_shared_folder_is_local_only_in_local_mode():
+    assert shared_folder(Settings(checkpoint_dir="hdfs:///c", master="yarn")) == "hdfs:///c"
+    assert "bandwright-" in shared_folder(Settings(master="local[2]"))
+    with pytest.raises(ValueError):
+        shared_folder(Settings(master="yarn"))
+
+
 def test_duplicate_headers_stay_apart(spark):
     df = spark.createDataFrame([(1, 2)], ["Total Count", "total-count"])
     assert normalise_headers(df).columns == ["total_count", "total_count_2"]

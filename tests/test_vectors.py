@@ -11,7 +11,7 @@ from bandwright.operators.observe import goals_without_actuals, actuals_without_
 from bandwright.operators.score import scored_rows
 from bandwright.plans import marts
 from bandwright.plans.pipeline import RubricRun
-from bandwright.sources import star
+from bandwright.registry import star
 from bandwright.sources.delimited import read_actuals, read_goals
 from bandwright.sources.workspace import Workspace
 
