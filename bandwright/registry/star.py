@@ -86,16 +86,20 @@ def base_rate_cents() -> Column:
     return F.floor(rate * 100 + F.lit(0.5)).cast("int")
 
 
-# Units are counted per base rate, of which there are at most 10 001. That gives
-# the tier of a whole rate, except where a tier starts inside it. There the first
-# unit of the tier is looked up: by counts per chunk of unit ids, then within the
-# one chunk that holds it. Broadcast are only rates and the tiers' own rows.
+# Units are counted per base rate, of which there are at most 10 001, and chunk of
+# unit ids. The rates' counts give the tier of a whole rate, except where a tier
+# starts inside it; there the tier's first unit is looked up in the one chunk that
+# holds it. Broadcast are only the rates and the tiers' own rows.
 TIER_QUERY = """
-WITH counted AS (
-  SELECT rate_cents, n, total,
-         sum(n) OVER (ORDER BY rate_cents ROWS UNBOUNDED PRECEDING) - n AS before
-  FROM (SELECT *, sum(n) OVER () AS total
-        FROM (SELECT rate_cents, count(*) AS n FROM {units} GROUP BY rate_cents))
+WITH cells AS (
+  SELECT rate_cents, chunk, n, sum(n) OVER (PARTITION BY rate_cents) AS rate_n,
+         sum(n) OVER (PARTITION BY rate_cents ORDER BY chunk ROWS UNBOUNDED PRECEDING) - n AS before
+  FROM (SELECT rate_cents, unit div {chunk_ids} AS chunk, count(*) AS n
+        FROM {units} GROUP BY rate_cents, unit div {chunk_ids})
+), counted AS (
+  SELECT rate_cents, rate_n AS n, sum(rate_n) OVER () AS total,
+         sum(rate_n) OVER (ORDER BY rate_cents ROWS UNBOUNDED PRECEDING) - rate_n AS before
+  FROM cells WHERE before = 0
 ), rates AS (
   SELECT rate_cents, n, before,
          transform(sequence(1, {tiers} - 1),
@@ -105,16 +109,10 @@ WITH counted AS (
   SELECT rate_cents, rank_before - before + 1 AS place
   FROM rates LATERAL VIEW explode(ranks_before) AS rank_before
   WHERE rank_before > before AND rank_before < before + n
-), chunks AS (
-  SELECT /*+ BROADCAST(s) */ s.rate_cents, s.place, u.unit div {chunk_ids} AS chunk, count(*) AS n
-  FROM {units} u JOIN starts s ON u.rate_cents = s.rate_cents
-  GROUP BY s.rate_cents, s.place, u.unit div {chunk_ids}
 ), reached AS (
-  SELECT rate_cents, chunk, place - before AS place
-  FROM (SELECT *, sum(n) OVER (PARTITION BY rate_cents, place ORDER BY chunk
-                               ROWS UNBOUNDED PRECEDING) - n AS before
-        FROM chunks)
-  WHERE place > before AND place <= before + n
+  SELECT /*+ BROADCAST(s) */ c.rate_cents, c.chunk, s.place - c.before AS place
+  FROM cells c JOIN starts s ON c.rate_cents = s.rate_cents
+  WHERE s.place > c.before AND s.place <= c.before + c.n
 ), first_units AS (
   SELECT rate_cents, collect_list(unit) AS first_units
   FROM (SELECT /*+ BROADCAST(r) */ r.rate_cents, r.place, u.unit,
