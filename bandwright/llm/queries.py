@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bandwright.llm import chat, mixing, quality, toxicity, warc
+from bandwright.llm import (
+    chat,
+    jaccard,
+    licenses,
+    lines,
+    mixing,
+    packing,
+    quality,
+    toxicity,
+    vectors,
+    warc,
+)
 from bandwright.llm.tables import Workspace, table
 
 
@@ -22,12 +33,27 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"), Workspace(spark))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     model = toxicity.train(documents, table(spark, sf_dir, "labels"))
     return toxicity.scored(documents.select("doc_id", "text"), model).drop("text")
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.joined(table(spark, sf_dir, "documents"), Workspace(spark))
+
+
+def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = licenses.document_files(table(spark, sf_dir, "documents"))
+    found = licenses.scanned(files, Workspace(spark))
+    number = F.regexp_extract("path", r"(-?\d+)$", 1)
+    return found.withColumn("doc_id", F.when(number != "", number).cast("long"))
+
+
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -62,6 +88,17 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.marked(table(spark, sf_dir, "documents"), Workspace(spark))
+    return found.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed")
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(
+        table(spark, sf_dir, "documents"), packing.public_path(), Workspace(spark)
+    )
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.assign(table(spark, sf_dir, "documents")).select(
         "doc_id",
@@ -76,8 +113,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op2_embedding_near_dedup": op2_embedding_near_dedup,
         "op3_toxicity": op3_toxicity,
+        "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+        "op5_license_scans": op5_license_scans,
         "op6_chat_formatting": op6_chat_formatting,
         "op7_warc": op7_warc,
+        "op8_line_dedup": op8_line_dedup,
+        "op9_best_fit_packing": op9_best_fit_packing,
         "op10_mixing": op10_mixing,
     }
