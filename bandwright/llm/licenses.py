@@ -2,8 +2,8 @@
 
 Sentences of headers and licence files become sparse term vectors; document
 frequencies count all sentences that hold a cue word, over all files. A sentence
-that is near enough to a template names its license. A file whose first sentence
-does is the licence file of its directory; files that name no license themselves
+that is near enough to a template names its license. A file whose first or last sentence
+does is a licence file of its directory; files that name no license themselves
 take that of the nearest ancestor directory with a licence file.
 """
 
@@ -58,13 +58,19 @@ def terms(text: Column) -> Column:
 
 
 def sentences(files: DataFrame) -> DataFrame:
-    """``path, place, sentence`` of the sentences with a cue word; place from 0."""
+    """``path, place, edge, sentence`` of the sentences with a cue word; place from 0.
+
+    ``edge`` says whether it is the first or the last sentence.
+    """
     cue = rf"(?i)(?<![a-z0-9])({'|'.join(CUES)})(?![a-z0-9])"
     # Most texts have no cue at all and are not cut into sentences.
     return (
         files.filter(F.col("text").rlike(cue))
-        .select("path", F.posexplode(F.split("text", SENTENCE_END)).alias("place", "sentence"))
+        .select("path", F.split(F.regexp_replace("text", r"^\s+|\s+$", ""), SENTENCE_END).alias("all"))
+        .select("path", F.size("all").alias("n"), F.posexplode("all").alias("place", "sentence"))
         .filter(F.col("sentence").rlike(cue))
+        .withColumn("edge", (F.col("place") == 0) | (F.col("place") == F.col("n") - 1))
+        .drop("n")
     )
 
 
@@ -83,7 +89,7 @@ def counted(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def matches(files: DataFrame, workspace: Workspace, least: float = LEAST_COSINE) -> DataFrame:
-    """``path, place, license, cosine``: the best template of each sentence near one.
+    """``path, place, edge, license, cosine``: the best template of each sentence near one.
 
     Distinct sentences are compared once, however often they occur. Ties go to the
     first template.
@@ -123,7 +129,7 @@ def matches(files: DataFrame, workspace: Workspace, least: float = LEAST_COSINE)
         .agg(F.max(F.struct("cosine", -F.col("template"), "license")).alias("best"))
         .select("key", "best.license", "best.cosine")
     )
-    return found.join(best, "key").select("path", "place", "license", "cosine")
+    return found.join(best, "key").select("path", "place", "edge", "license", "cosine")
 
 
 def parent(path: Column) -> Column:
@@ -148,7 +154,7 @@ def scanned(files: DataFrame, workspace: Workspace, least: float = LEAST_COSINE)
     )
     own = own.select("path", F.col("own.license").alias("own_license"), F.col("own.cosine").alias("cosine"))
     granted = (
-        near.filter(F.col("place") == 0)
+        near.filter("edge")
         .groupBy(parent(F.col("path")).alias("folder"))
         .agg(F.min(F.struct(-F.col("cosine"), "path", "license")).alias("grant"))
         .select("folder", F.col("grant.license").alias("folder_license"))

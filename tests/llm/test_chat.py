@@ -1,0 +1,124 @@
+"""Folding of event logs, and exact round trips through the template."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from bandwright.llm import chat
+
+FIELDS = "conv_id long, seq long, message int, kind string, role string, text string, turns string"
+
+
+def turns_of(spark, events):
+    folded = chat.folded(spark.createDataFrame([(*e, "x") for e in events], FIELDS))
+    return {
+        r["conv_id"]: [(t["role"], t["text"]) for t in r["turns"]] for r in folded.collect()
+    }
+
+
+def replayed(events):
+    """The same fold, one event at a time."""
+    logs = {}
+    for event in sorted(set(events), key=lambda e: tuple((x is not None, x) for x in e)):
+        logs.setdefault(event[0], []).append(event[1:])
+    found = {}
+    for conv, log in logs.items():
+        state = {}
+        for _, message, kind, role, text in log:
+            if kind == "regenerate":
+                state = {m: t for m, t in state.items() if m <= message}
+                if message in state:
+                    state[message][1] = ""
+            elif kind == "start":
+                state.setdefault(message, ["", ""])[0] += role or ""
+            elif kind == "edit":
+                state.setdefault(message, ["", ""])[1] = text or ""
+            else:
+                state.setdefault(message, ["", ""])[1] += text or ""
+        found[conv] = [tuple(state[m]) for m in sorted(state)]
+    return found
+
+
+def test_deltas_edits_and_regenerations(spark):
+    events = [
+        (1, 0, 0, "start", "user", None),
+        (1, 1, 0, "delta", None, "helo"),
+        (1, 2, 0, "edit", None, "hel"),
+        (1, 3, 0, "delta", None, "lo"),
+        (1, 4, 1, "start", "assistant", None),
+        (1, 5, 1, "delta", None, "first try"),
+        (1, 6, 2, "start", "user", None),
+        (1, 7, 2, "delta", None, "no"),
+        (1, 8, 1, "regenerate", None, None),
+        (1, 9, 1, "delta", None, "second "),
+        (1, 10, 1, "delta", None, "try"),
+    ]
+    rng = random.Random(1)
+    shuffled = events + events[:4]
+    rng.shuffle(shuffled)
+    assert turns_of(spark, shuffled) == {1: [("user", "hello"), ("assistant", "second try")]}
+
+
+def test_random_logs_against_a_replay(spark):
+    rng = random.Random(5)
+    events = []
+    for conv in range(40):
+        last = 0
+        for seq in range(rng.randint(1, 25)):
+            if seq == 0 or rng.random() < 0.2:
+                events.append((conv, seq, last, "start", rng.choice(["user", "assistant"]), None))
+                last += 1
+            else:
+                kind = rng.choice(["delta", "delta", "delta", "edit", "regenerate"])
+                text = None if kind == "regenerate" else rng.choice(["a", "b ", None, "é"])
+                message = rng.randrange(last)
+                events.append((conv, seq, message, kind, None, text))
+                if kind == "regenerate":
+                    last = message + 1
+    assert turns_of(spark, events) == replayed(events)
+
+
+STRINGS = ["", " ", "</s>", "<s>", "[INST]", "[/INST]", "\\", "\\</s>", "\\\\[INST]", " </s>", "é日", "$1"]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_round_trip_of_control_strings(spark, seed):
+    rng = random.Random(seed)
+    piece = lambda: "".join(rng.choices(STRINGS + ["a", "b\n"], k=rng.randint(0, 6)))
+    rows = [
+        (conv, turn, rng.choice(["user", "assistant", "system", piece()]), piece(), 1)
+        for conv in range(60)
+        for turn in range(rng.randint(1, 6))
+    ]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, message int")
+    formatted = chat.rendered(chat.folded(chat.turn_events(table)))
+    found = formatted.select(
+        "conv_id",
+        "formatted",
+        chat.parsed(F.col("formatted")).alias("turns"),
+        chat.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"),
+    ).collect()
+    assert len(found) == 60
+    for r in found:
+        own = sorted(row[1:4] for row in rows if row[0] == r["conv_id"])
+        assert [(t["role"], t["text"]) for t in r["turns"]] == [x[1:] for x in own]
+        assert r["loss"] == "".join(x[2] for x in own if x[1] == "assistant")
+
+
+def test_nulls_repeats_and_no_rows(spark):
+    schema = "conv_id long, turn long, role string, text string"
+    rows = [(1, 0, None, None), (1, 1, "assistant", None), (1, 1, "assistant", None), (None, 0, "user", "x")]
+    found = chat.rendered(chat.folded(chat.turn_events(spark.createDataFrame(rows, schema))))
+    read = {r["conv_id"]: r["t"] for r in found.select("conv_id", chat.parsed(F.col("formatted")).alias("t")).collect()}
+    assert [(t["role"], t["text"]) for t in read[1]] == [("", "")] + [("assistant", "")] * 2
+    assert [(t["role"], t["text"]) for t in read[None]] == [("user", "x")]
+    empty = chat.rendered(chat.folded(chat.turn_events(spark.createDataFrame([], schema))))
+    assert empty.count() == 0
+
+
+def test_no_python_in_the_plan(spark, star_folder):
+    from bandwright.llm import queries
+
+    plan = queries.op6_chat_formatting(spark, star_folder("0.001"))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan

@@ -1,0 +1,111 @@
+"""The join against all pairs of sets."""
+
+import random
+import re
+
+import pytest
+
+from bandwright.llm import jaccard, queries
+from bandwright.llm.tables import Workspace
+from test_components import brute as united
+
+
+def sets_of(text):
+    lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", lowered)
+    if len(words) < 3:
+        return {tuple(words)} if words else set()
+    return {tuple(words[i : i + 3]) for i in range(len(words) - 2)}
+
+
+def brute(rows):
+    sets = [(i, sets_of(t)) for i, t in rows]
+    edges = []
+    for k, (i, a) in enumerate(sets):
+        for j, b in sets[:k]:
+            if a and b and 100 * len(a & b) >= 90 * len(a | b):
+                edges.append((j, i))
+    ends = united(edges)
+    return sorted((i, len(a), ends.get(i, i)) for i, a in sets)
+
+
+def frame(spark, rows):
+    return spark.createDataFrame(
+        [(i, t, i) for i, t in rows], "doc_id long, text string, size long"
+    )
+
+
+def found(spark, rows):
+    return sorted(map(tuple, jaccard.joined(frame(spark, rows), Workspace(spark)).collect()))
+
+
+def edited(rng, words, share):
+    return [rng.choice("pqrst") + str(rng.random()) if rng.random() < share else w for w in words]
+
+
+def corpus():
+    rng = random.Random(7)
+    vocabulary = [f"w{k}" for k in range(400)]
+    rows = []
+    passage = [rng.choice(vocabulary) for _ in range(60)]
+    for group in range(25):
+        base = [rng.choice(vocabulary) for _ in range(rng.randint(1, 90))]
+        if group % 4 == 0:
+            base = passage + base
+        for copy in range(rng.choice([1, 1, 2, 6, 12])):
+            words = edited(rng, base, rng.choice([0, 0, 0.01, 0.02, 0.04]))
+            rows.append((len(rows) * 7 % 1009, " ".join(words)))
+    return rows
+
+
+@pytest.mark.parametrize("rounds, list_rows", [(3, 1000), (1, 3), (0, 3)])
+def test_against_all_pairs(spark, monkeypatch, rounds, list_rows):
+    """However few leaders are asked and however lists are dealt, the links are the same."""
+    monkeypatch.setattr(jaccard, "ROUNDS", max(rounds, 1))
+    monkeypatch.setattr(jaccard, "LIST_ROWS", list_rows)
+    if not rounds:
+        # Leaders that answer nothing: every pair is left to the lists.
+        monkeypatch.setattr(jaccard, "linked", _linked_last_only(jaccard.linked))
+    rows = corpus()
+    assert found(spark, rows) == brute(rows)
+
+
+def _linked_last_only(real):
+    calls = []
+
+    def linked(answers):
+        calls.append(1)
+        return real(answers).limit(0) if len(calls) == 1 else real(answers)
+
+    return linked
+
+
+def test_short_equal_empty_and_null_texts(spark):
+    rows = [(9, "a"), (3, "A"), (4, "a b"), (5, "b a"), (6, "a  B"), (7, None), (8, ""), (2, " \n")]
+    rows += [(20, "x " * 30_000), (21, "X " * 10), (22, "é É"), (23, "É é"), (24, "é É")]
+    assert found(spark, rows) == brute(rows)
+    assert found(spark, []) == []
+
+
+def test_least_sizes_at_the_threshold(spark):
+    words = [f"w{k}" for k in range(12)]
+    rows = [(1, " ".join(words[:11])), (2, " ".join(words)), (3, " ".join(words[:10]))]
+    assert found(spark, rows) == brute(rows)
+    assert [c for _, _, c in found(spark, rows)] == [1, 1, 3]
+
+
+def test_rows_without_id_and_repeated_rows(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = [(None, text), (5, text), (5, text), (None, "alone here now"), (6, text + " more")]
+    got = jaccard.joined(frame(spark, rows), Workspace(spark)).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(
+        [(None, 38, 5), (5, 38, 5), (5, 38, 5), (None, 1, None), (6, 39, 5)], key=str
+    )
+
+
+def test_query_against_all_pairs(spark, star_folder):
+    folder = star_folder("0.001")
+    read = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()
+    assert sorted(map(tuple, queries.op4_ngram_jaccard_join(spark, folder).collect())) == brute(
+        [tuple(r) for r in read]
+    )

@@ -1,0 +1,122 @@
+"""Targets, curriculum and rows taken against plain Python."""
+
+import math
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from bandwright.llm import mixing
+
+
+def frame(spark, rows):
+    return spark.createDataFrame(
+        [(*r, "x") for r in rows], "doc_id long, source string, text string, target string"
+    )
+
+
+def poured(sizes):
+    """Targets by sharing and resharing, as the contract words it."""
+    names = sorted(sizes, key=lambda s: (s is None, s))
+    weight = {s: k % 3 + 1 for k, s in enumerate(names)}
+    total, stopped = sum(sizes.values()), set()
+    while True:
+        left = total - sum(3 * sizes[s] for s in stopped)
+        weights = sum(weight[s] for s in names if s not in stopped)
+        share = {s: weight[s] * left / weights for s in names if s not in stopped}
+        over = {s for s in share if share[s] > 3 * sizes[s] * (1 + 1e-12)}
+        if not over:
+            return {s: share.get(s, 3 * sizes[s]) for s in names}
+        stopped |= over
+
+
+def corpus(sizes):
+    rows, n = [], 0
+    for source, words in sizes.items():
+        while words > 0:
+            take = min(words, n % 9 + 1)
+            rows.append((n, source, "w " * take))
+            words, n = words - take, n + 1
+    return rows
+
+
+CASES = [
+    {"a": 600, "b": 600, "c": 600},
+    {"a": 3000, "b": 40, "c": 10, "d": 5, None: 700},
+    {"a": 1, "b": 2000, "Z": 30, "é": 400, "日": 3},
+    {None: 50},
+]
+
+
+@pytest.mark.parametrize("sizes", CASES, ids=str)
+def test_targets_and_taken_words(spark, sizes):
+    rows = mixing.assign(frame(spark, corpus(sizes))).collect()
+    targets = poured(sizes)
+    for source, words in sizes.items():
+        own = [r for r in rows if r["source"] == source]
+        assert {r["source_size"] for r in own} == {words}
+        assert math.isclose(own[0]["target"], targets[source], rel_tol=1e-9)
+        assert abs(sum(r["taken"] for r in own) - targets[source]) <= 4.5 + 1e-6
+    assert all(r["taken"] <= 3 * r["size"] for r in rows)
+    assert all(len(r["positions"]) == r["times"] for r in rows)
+    assert all(0 <= p <= 1 for r in rows for p in r["positions"])
+
+
+def test_light_sources_come_early(spark):
+    rows = mixing.assign(frame(spark, corpus({"a": 3000, "b": 3000, "c": 3000}))).collect()
+
+    def mean(source):
+        places = [(p, r["size"]) for r in rows if r["source"] == source for p in r["positions"]]
+        return sum(p * n for p, n in places) / sum(n for _, n in places)
+
+    # Means of the schedules' densities.
+    assert mean("a") == pytest.approx(5 / 12, abs=0.01)
+    assert mean("b") == pytest.approx(1 / 2, abs=0.01)
+    assert mean("c") == pytest.approx(0.625, abs=0.01)
+
+
+@pytest.mark.parametrize("points", mixing.SCHEDULES.values())
+def test_times_invert_the_integral(spark, points):
+    shares = [k / 50 for k in range(51)]
+    rows = spark.createDataFrame([(s,) for s in shares], "s double")
+    found = [r[0] for r in rows.select(mixing.time_at(F.col("s"), points)).collect()]
+
+    def integral(t):
+        area = 0.0
+        for (t0, r0), (t1, r1) in zip(points, points[1:]):
+            end = min(max(t, t0), t1)
+            rate = r0 + (r1 - r0) * (end - t0) / (t1 - t0)
+            area += (end - t0) * (r0 + rate) / 2
+        return area
+
+    assert [integral(t) / integral(1.0) for t in found] == pytest.approx(shares, abs=1e-9)
+
+
+def test_odd_rows(spark):
+    rows = [(1, "a", None), (2, "a", ""), (None, None, "x y"), (4, "b", "x"), (4, "b", "x")]
+    rows += [(5, "empty", " \n"), (6, "a", "w " * 50_000)]
+    found = mixing.assign(frame(spark, rows)).collect()
+    assert len(found) == len(rows)
+    assert all(r["taken"] <= 3 * r["size"] for r in found)
+    assert {r["size"] for r in found} == {0, 1, 2, 50_000}
+    assert mixing.assign(frame(spark, [])).count() == 0
+    assert mixing.curriculum(frame(spark, [])).count() == 0
+
+
+def test_curriculum_repeats_rows_in_order_of_position(spark):
+    documents = frame(spark, corpus(CASES[1]))
+    taken = {(r["doc_id"]): r["times"] for r in mixing.assign(documents).collect()}
+    rows = mixing.curriculum(documents).collect()
+    assert [r["position"] for r in rows] == sorted(r["position"] for r in rows)
+    counted = {}
+    for r in rows:
+        counted[r["doc_id"]] = counted.get(r["doc_id"], 0) + 1
+        assert re.fullmatch("(w )+", r["text"]) and r["target"] == "x"
+    assert counted == {i: n for i, n in taken.items() if n}
+
+
+def test_reruns_agree(spark):
+    documents = frame(spark, corpus(CASES[2]))
+    first = mixing.assign(documents).collect()
+    again = mixing.assign(documents.repartition(5)).collect()
+    assert sorted(map(str, first)) == sorted(map(str, again))

@@ -1,0 +1,61 @@
+"""Registered queries against their check SQL, and the shape of the pipeline."""
+
+import pytest
+
+import __spark_entry__ as contract
+import corpus_pipeline
+from bandwright.llm import checks, queries
+from compare import difference
+
+
+@pytest.mark.parametrize("scale", ["0.001", "0.01"])
+@pytest.mark.parametrize("name", checks.oracle_sql())
+def test_query_matches_check(spark, star_folder, name, scale):
+    folder = star_folder(scale)
+    assert difference(queries.queries()[name](spark, folder), folder, checks.oracle_sql()[name]) is None
+
+
+def test_every_operator_is_registered():
+    names = set(contract.queries())
+    assert {f"op{n}" for n in range(1, 11)} == {n.split("_")[0] for n in names if n.startswith("op")}
+    assert "pipeline" in names
+
+
+def test_stages_keep_the_columns_and_take_effect(spark, star_folder):
+    folder = star_folder("0.01")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    workspace = corpus_pipeline.Workspace(spark)
+    found = {"start": docs}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, folder)
+        if name != "packing":
+            assert out.columns == docs.columns and out.dtypes == docs.dtypes
+        found[name] = docs = workspace.save(out, name.replace(" ", "-"))
+    n = {name: df.count() for name, df in found.items()}
+    assert n["toxicity"] < n["start"]
+    assert n["line dedup"] <= n["toxicity"]
+    assert n["n-gram Jaccard join"] < n["line dedup"]
+    chars = {name: df.selectExpr("sum(length(text))").first()[0] for name, df in found.items() if name != "packing"}
+    assert chars["line dedup"] < chars["toxicity"]
+    mixed = found["mixing"]
+    assert mixed.select("doc_id").distinct().count() <= n["n-gram Jaccard join"]
+    assert {r[0] for r in found["packing"].select("doc_id").distinct().collect()} == {
+        r[0] for r in mixed.select("doc_id").distinct().collect()
+    }
+
+
+def test_labelled_documents_through_the_pipeline(spark, star_folder):
+    folder = star_folder("0.1")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    clean = corpus_pipeline.without_toxic(spark, docs, folder)
+    left = {r["toxic"]: r["n"] for r in clean.join(labels, "doc_id").groupBy("toxic").agg({"doc_id": "count"}).withColumnRenamed("count(doc_id)", "n").collect()}
+    given = {r["toxic"]: r["count"] for r in labels.join(docs, "doc_id").groupBy("toxic").count().collect()}
+    assert left[0] >= 0.99 * given[0] and left[1] <= 0.15 * given[1]
+
+
+def test_pipeline_without_documents(spark, star_folder, tmp_path):
+    for name in ("documents", "labels"):
+        read = spark.read.parquet(f"{star_folder('0.001')}/{name}.parquet")
+        read.limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
