@@ -308,13 +308,12 @@ def links(documents: DataFrame, workspace: Workspace) -> tuple[DataFrame, DataFr
     labels = None
     for turn in range(ROUNDS):
         pairs = workspace.save(leader_pairs(unsettled(lists, labels), turn), f"leaders-{turn}")
-        if pairs.isEmpty():
+        # Even if no leader can be similar, members of neighbouring bands may be.
+        if turn and pairs.isEmpty():
             break
         answers.append(workspace.save(compared(pairs, contents), f"answers-{turn}"))
         edges = reduce(DataFrame.unionByName, map(linked, answers))
         labels = components(edges, workspace, f"turn-{turn}")
-    if not answers:
-        return sets, lists.limit(0).select("item", F.col("item").alias("component"))
     known = reduce(DataFrame.unionByName, answers)
     crossing = workspace.save(
         derived(crossing_pairs(unsettled(lists, labels)), known), "crossing"
