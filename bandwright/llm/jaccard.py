@@ -1,10 +1,13 @@
 """N-gram Jaccard join with skipping by set relations.
 
-Exact. Texts with equal sets are one item. Shingles are ordered by a counting
-sketch of the whole corpus, rare ones first; two items that are similar enough
-share a shingle in their prefixes. Lists of items by prefix shingle are skipped
-as a whole when they hold one component, and in blocks of size and position when
-no pair of two blocks can reach the overlap it needs.
+Exact. Texts with equal sets are one item. Two items that are similar enough
+share a shingle in their prefixes, the first shingles of either in one order of
+all shingles. The order begins with a fixed sample of the shingles, those first
+that no two texts share: bit maps, of one size for any corpus, say how often the
+shared ones of the sample occur, by hash class. A sampled shingle whose class is
+blank is in one text only and needs no list. Lists of items by prefix shingle are
+skipped as a whole when they hold one component, and in blocks of size and
+position when no pair of two blocks can reach the overlap it needs.
 
 Answers come first from leaders: each item is compared with one leader of the
 lists it is in, for a few rounds, which joins most groups of copies. Pairs left
@@ -30,8 +33,12 @@ from bandwright.llm.tables import Workspace, semi_join
 SHINGLE_WORDS = 3
 # Similarity: TOP * intersection >= BOTTOM * union.
 TOP, BOTTOM = 100, 90
-# Counters of the sketch; it and its order are the same size for any corpus.
-SKETCH_BITS = 16
+# One shingle in so many is counted; a prefix takes one in ten.
+SAMPLE = 6
+# Hash classes of the bit maps, and the numbers of texts that set a class's bits.
+CLASS_BITS = 24
+OFTEN = (2, 8, 64)
+UNCOUNTED = 255
 ROUNDS = 3
 # Members of a list beyond which it is dealt to several tasks.
 LIST_ROWS = 1000
@@ -69,66 +76,93 @@ def items_of(windows: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return T.mixed((sums[bounds[1:]] - sums[bounds[:-1]]) ^ sizes * T.BASE)
 
 
-def sketch(documents: DataFrame) -> np.ndarray:
-    """How many texts hold a shingle of each of 2**SKETCH_BITS hash classes."""
+def classes(windows: np.ndarray) -> np.ndarray:
+    return (windows >> T.U64(64 - CLASS_BITS)).view(np.int64)
+
+
+def sampled(windows: np.ndarray) -> np.ndarray:
+    return windows % T.U64(SAMPLE) == 0
+
+
+def shared_levels(documents: DataFrame) -> np.ndarray:
+    """For each hash class, how many of OFTEN a sampled shingle in it reaches."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in T.slices(batches, "text"):
             windows, _ = document_sets(batch)
-            total += np.bincount((windows >> T.U64(64 - SKETCH_BITS)).view(np.int64), minlength=len(total))
-        held = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])], ["class", "n"])
+            token, n = np.unique(windows[sampled(windows)], return_counts=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(T.signed(token)), pa.array(n.astype(np.int64))], ["token", "n"]
+            )
 
-    rows = (
+    held = (
         documents.select("text")
-        .mapInArrow(count, "class bigint, n bigint")
-        .groupBy("class")
+        .mapInArrow(count, "token bigint, n bigint")
+        .groupBy("token")
         .agg(F.sum("n").alias("n"))
-        .toPandas()
+        .filter(F.col("n") >= OFTEN[0])
+    )
+    levels = F.array(*(F.when(F.col("n") >= least, level) for level, least in enumerate(OFTEN)))
+    marked = held.select(
+        # Bit places and bucket numbers count from 1.
+        (F.shiftrightunsigned("token", 64 - CLASS_BITS) + 1).alias("class"),
+        F.explode(F.array_compact(levels)).alias("level"),
+    )
+    # A few maps of 4 KB for each 32768 classes.
+    maps = (
+        marked.groupBy("level", F.bitmap_bucket_number("class").alias("bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("class")).alias("bits"))
+        .collect()
     )
-    total = np.zeros(1 << SKETCH_BITS, np.int64)
-    total[rows["class"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
+    total = np.zeros(1 << CLASS_BITS, np.uint8)
+    for row in maps:
+        bits = np.unpackbits(np.frombuffer(row["bits"], np.uint8), bitorder="little")
+        first = (row["bucket"] - 1) * len(bits)
+        total[first : first + len(bits)] += bits[: len(total) - first]
     return total
 
 
-def least_overlap(size: int) -> int:
-    """Overlap that a set of this size needs with any other."""
+def least_overlap(size):
+    """Overlap that a set of this size, or each of an array, needs with any other."""
     return -(-size * BOTTOM // TOP)
 
 
-def prefixes(documents: DataFrame, counts: np.ndarray) -> DataFrame:
-    """``doc_id, n_shingles, item, prefix``: each text's set and its rarest shingles.
+def prefixes(documents: DataFrame, levels: np.ndarray) -> DataFrame:
+    """``doc_id, n_shingles, item, prefix, places``: each text's set and prefix.
 
-    Sets so small that only equal ones are similar have no prefix.
+    Of the prefix only the shingles are kept that another text may hold, with their
+    places in it. Sets so small that only equal ones are similar have no prefix.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(counts)
+    shared = documents.sparkSession.sparkContext.broadcast(levels)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = shared.value
+        table = shared.value
         for batch in T.slices(batches, "text"):
             windows, bounds = document_sets(batch)
-            often = total[(windows >> T.U64(64 - SKETCH_BITS)).view(np.int64)]
-            text = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
-            ordered = windows[np.lexsort((windows, often, text))]
-            lists = []
-            for first, after in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                n = after - first
-                # A set of n needs another of n - 1 or more that it overlaps in all but one.
-                small = TOP * n < BOTTOM * (n + 1)
-                lists.append(T.signed(ordered[first : first + (0 if small else n - least_overlap(n) + 1)]))
+            often = np.where(sampled(windows), table[classes(windows)], np.uint8(UNCOUNTED))
+            size = np.diff(bounds)
+            text = np.repeat(np.arange(batch.num_rows), size)
+            order = np.lexsort((windows, often, text))
+            place = np.arange(len(windows)) - bounds[text]
+            # A set of n needs another of n - 1 or more that it overlaps in all but one.
+            indexed = TOP * size >= BOTTOM * (size + 1)
+            length = np.where(indexed, size - least_overlap(size) + 1, 0)
+            kept = (place < length[text]) & (often[order] > 0)
+            cuts = pa.array(np.searchsorted(text[kept], np.arange(batch.num_rows + 1)), pa.int32())
+            columns = (T.signed(windows[order][kept]), place[kept])
+            lists = [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in columns]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
-                    pa.array(np.diff(bounds)),
+                    pa.array(size),
                     pa.array(T.signed(items_of(windows, bounds))),
-                    pa.array(lists, pa.list_(pa.int64())),
+                    *lists,
                 ],
-                ["doc_id", "n_shingles", "item", "prefix"],
+                ["doc_id", "n_shingles", "item", "prefix", "places"],
             )
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_shingles bigint, item bigint, prefix array<bigint>"
+    schema = f"doc_id {kind}, n_shingles bigint, item bigint, prefix array<bigint>, places array<bigint>"
     return documents.select("doc_id", "text").mapInArrow(cut, schema)
 
 
@@ -287,10 +321,10 @@ def derived(pairs: DataFrame, answers: DataFrame) -> DataFrame:
 
 def links(documents: DataFrame, workspace: Workspace) -> tuple[DataFrame, DataFrame]:
     """Sets of all documents, and ``item, component`` of the items with links."""
-    sets = workspace.save(prefixes(documents, sketch(documents)), "sets")
+    sets = workspace.save(prefixes(documents, shared_levels(documents)), "sets")
     postings = sets.select(
-        F.posexplode("prefix").alias("pos", "key"), "item", F.col("n_shingles").alias("size")
-    ).select("key", "item", "size", F.col("pos").cast("long").alias("pos"))
+        "item", F.col("n_shingles").alias("size"), F.explode(F.arrays_zip("prefix", "places")).alias("p")
+    ).select(F.col("p.prefix").alias("key"), "item", "size", F.col("p.places").alias("pos"))
     shared = postings.groupBy("key").agg(F.min("item").alias("low"), F.max("item").alias("high"))
     keys = workspace.save(shared.filter(F.col("low") != F.col("high")).select("key"), "keys")
     lists = workspace.save(semi_join(postings, keys, "key").distinct(), "lists")
@@ -352,7 +386,7 @@ def joined(documents: DataFrame, workspace: Workspace) -> DataFrame:
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     of_item = named.join(least, "component").select(F.col("item").alias("of"), "component_id")
     return (
-        sets.drop("prefix")
+        sets.drop("prefix", "places")
         .join(of_item, (F.col("item") == F.col("of")) & (F.col("n_shingles") > 0), "left")
         .select(
             "doc_id",
