@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 # Bytes of text taken at a time; arrays beside it hold some 40 bytes for each.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 U64 = np.uint64
 _RANDOM = np.random.Generator(np.random.PCG64(20240607))
