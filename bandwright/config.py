@@ -9,6 +9,9 @@ LEVELS = ("level_1", "level_2", "level_3", "level_4", "level_5")
 BANDS = (1, 2, 3, 4, 5)
 STATS = ("goal", "percent_met", "mean", "min", "max", "median", "sd")
 
+# Sides of the goal; a value that reaches it is above.
+BELOW, ABOVE = "below", "above"
+
 # An observation below this percentage is left out (inclusive floor).
 VALUE_FLOOR = 50.0
 

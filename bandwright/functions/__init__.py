@@ -1,4 +1,5 @@
 from bandwright.functions.columns import (
+    TICKS_PER_POINT,
     band_flags,
     category_ordinal,
     category_rank,
@@ -12,6 +13,7 @@ from bandwright.functions.columns import (
 from bandwright.functions.names import parse_grain_label, snake_case, title_case
 
 __all__ = [
+    "TICKS_PER_POINT",
     "band_flags",
     "category_ordinal",
     "category_rank",

@@ -1,95 +1,193 @@
-"""Exact one-dimensional k-means centres per group.
+"""Exact one-dimensional k-means centres per group, of any size.
 
-Values are first counted on a 0.01 grid, so a group of any size reaches a task
-as at most 10 001 grid points with their counts, and never as its rows.
+Values are first counted in bins, so a task sees a group as some thousand bins
+with their counts, never as its rows. The best cuts between bins are then sought
+again with the bins beside each cut taken apart, for every group alike, until the
+bins there are single steps of the grid on which values are told apart. Centres
+are means of the values themselves.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from bandwright.config import GRAINS, Grain
-from bandwright.operators.grains import GROUP_KEYS, group_by_grain
+from bandwright.config import ABOVE, BELOW
+from bandwright.functions import TICKS_PER_POINT, ticks
+from bandwright.operators.grains import GROUP_KEYS, join_on_keys
 
-STEPS_PER_POINT = 100
 CENTRES = "centres"
+# Clusters of the values short of the goal, and of the others.
+CLUSTERS = {BELOW: 2, ABOVE: 3}
+HALF_KEYS = (*GROUP_KEYS, "side")
 
+# Bin widths in steps of the grid: 0.01, then 1e-6, then single steps.
+BIN_TICKS = (10**7, 10**3, 1)
 
-def cluster_centres(
-    observations: DataFrame, k: int, grains: Sequence[Grain] = GRAINS
-) -> DataFrame:
-    """Group keys, ``count``, mean ``goal`` and ascending ``centres``.
 
-    Centres are null for a group with no more rows than clusters, or with fewer
-    distinct values than clusters.
+def cluster_centres(counts: DataFrame, save: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """Group keys, ``side``, ``count``, mean ``goal`` and ascending ``centres``.
+
+    ``counts`` has a row per group, side and value, with ``n`` and the sum of
+    ``goals``; ``save`` writes a table and reads it back. Centres are null for a
+    half with no more rows than clusters, or with fewer distinct values than
+    clusters. Values must be percentages.
     """
-    gridded = observations.withColumn(
-        "point", F.floor(F.col("value") * STEPS_PER_POINT + F.lit(0.5))
+    cells = counts.filter(F.col("side").isNotNull()).select(
+        *HALF_KEYS, percent_ticks(), "n", (F.col("value") * F.col("n")).alias("total")
+    )
+    sizes = (
+        counts.filter(F.col("side").isNotNull())
+        .groupBy(*HALF_KEYS)
+        .agg(F.sum("n").alias("count"), (F.sum("goals") / F.sum("n")).alias("goal"))
     )
-    points = group_by_grain(
-        gridded,
-        [F.count(F.lit(1)).alias("n"), F.sum("goal").alias("goals")],
-        grains,
-        extra_keys=["point"],
+    coarse, *finer = BIN_TICKS
+    points = save(binned(cells.withColumn("low", F.lit(0).cast("bigint")), coarse), "bins-0")
+    for level, width in enumerate(finer, start=1):
+        beside = (
+            solved(points)
+            .select(*HALF_KEYS, F.explode("solution.ranges").alias("range"))
+            .select(*HALF_KEYS, "range.low", "range.high")
+        )
+        beside = save(beside, f"cuts-{level}")
+        inside = join_on_keys(cells, beside, HALF_KEYS).filter(
+            F.col("point").between(F.col("low"), F.col("high"))
+        )
+        rest = join_on_keys(
+            points.withColumn("low", F.col("first")), beside, (*HALF_KEYS, "low"), "left_anti"
+        )
+        parted = rest.drop("low").unionByName(binned(inside, width))
+        points = save(parted, f"bins-{level}")
+    centres = solved(points).select(*HALF_KEYS, F.col("solution.centres").alias("found"))
+    joined = join_on_keys(sizes, centres, HALF_KEYS)
+    clusters = label_clusters()
+    return joined.withColumn(CENTRES, F.when(F.col("count") > clusters, F.col("found"))).drop("found")
+
+
+def label_clusters() -> Column:
+    return F.when(F.col("side") == BELOW, F.lit(CLUSTERS[BELOW])).otherwise(F.lit(CLUSTERS[ABOVE]))
+
+
+def percent_ticks() -> Column:
+    point = ticks(F.col("value"))
+    whole = point.between(0, int(100 * TICKS_PER_POINT))
+    return F.when(whole, point).otherwise(
+        F.raise_error(F.concat(F.lit("not a percentage: "), F.col("value").cast("string")))
+    ).cast("bigint").alias("point")
+
+
+def binned(cells: DataFrame, width: int) -> DataFrame:
+    """Cells counted in bins of ``width`` steps from ``low``."""
+    number = F.floor((F.col("point") - F.col("low")) / F.lit(width)).alias("bin")
+    return (
+        cells.groupBy(*HALF_KEYS, "low", number)
+        .agg(
+            F.min("point").alias("first"),
+            F.max("point").alias("last"),
+            F.sum("n").alias("n"),
+            F.sum(F.col("point").cast("decimal(38,0)") * F.col("n")).cast("double").alias("steps"),
+            F.sum("total").alias("total"),
+        )
+        .drop("low", "bin")
     )
-    groups = points.groupBy(*GROUP_KEYS).agg(
-        F.sum("n").alias("count"),
-        (F.sum("goals") / F.sum("n")).alias("goal"),
-        F.array_sort(F.collect_list(F.struct("point", "n"))).alias("points"),
+
+
+def solved(points: DataFrame) -> DataFrame:
+    bins = F.array_sort(F.collect_list(F.struct("first", "last", "n", "steps", "total")))
+    return (
+        points.groupBy(*HALF_KEYS)
+        .agg(bins.alias("bins"))
+        .select(
+            *HALF_KEYS,
+            best_cuts(
+                F.col("bins.first"),
+                F.col("bins.last"),
+                F.col("bins.n"),
+                F.col("bins.steps"),
+                F.col("bins.total"),
+                label_clusters(),
+            ).alias("solution"),
+        )
     )
-    splittable = (F.size("points") >= k) & (F.col("count") > k)
-    return groups.withColumn(
-        CENTRES,
-        F.when(
-            splittable,
-            best_centres(k)(F.col("points.point"), F.col("points.n")),
-        ),
-    ).drop("points")
-
-
-def best_centres(k: int):
-    """Arrow-batched function over sorted grid points and their counts."""
-    steps = STEPS_PER_POINT
-
-    @F.pandas_udf("array<double>")
-    def centres(points: pd.Series, counts: pd.Series) -> pd.Series:
-        import numpy as np
-
-        def solve(x, n):
-            if x is None or len(x) < k:
-                return None
-            # Whole numbers below 2**53, so the sums are exact.
-            weight = np.concatenate(([0.0], np.cumsum(n, dtype="float64")))
-            total = np.concatenate(([0.0], np.cumsum(x * n, dtype="float64")))
-            size = len(x)
-            # Least squares within runs is most of sum**2 / weight over runs.
-            with np.errstate(divide="ignore", invalid="ignore"):
-                score = np.where(weight > 0, total**2 / weight, -np.inf)
-            starts = []
-            for runs in range(2, k + 1):
-                first = runs - 1
-                longer = np.full(size + 1, -np.inf)
-                start = np.zeros(size + 1, dtype="int64")
-                for end in range(runs, size + 1) if runs < k else [size]:
-                    rest = total[end] - total[first:end]
-                    options = score[first:end] + rest * rest / (weight[end] - weight[first:end])
-                    best = int(options.argmax())
-                    longer[end], start[end] = options[best], first + best
-                score = longer
-                starts.append(start)
-            edges = [size]
-            for start in reversed(starts):
-                edges.append(int(start[edges[-1]]))
-            edges = [0, *reversed(edges)]
-            return [
-                (total[b] - total[a]) / (weight[b] - weight[a]) / steps
-                for a, b in zip(edges, edges[1:])
+
+
+RANGE = T.StructType([T.StructField("low", T.LongType()), T.StructField("high", T.LongType())])
+SOLUTION = T.StructType(
+    [
+        T.StructField("centres", T.ArrayType(T.DoubleType())),
+        T.StructField("ranges", T.ArrayType(RANGE)),
+    ]
+)
+
+
+@F.pandas_udf(SOLUTION)
+def best_cuts(
+    first: pd.Series,
+    last: pd.Series,
+    n: pd.Series,
+    steps: pd.Series,
+    total: pd.Series,
+    k: pd.Series,
+) -> pd.DataFrame:
+    """Centres of the best cuts between bins, and the bins beside the cuts.
+
+    Centres are null with fewer bins than clusters; then all bins are to be parted.
+    """
+    import numpy as np
+
+    found = []
+    for low, high, rows, sums, totals, clusters in zip(first, last, n, steps, total, k):
+        if len(low) < clusters:
+            centres, beside = None, range(len(low))
+        else:
+            # From the least value on, so that squares keep their last digits.
+            rows = np.asarray(rows, float)
+            edges = split_runs(rows, np.asarray(sums, float) - rows * low[0], clusters)
+            beside = sorted({e + side for e in edges[1:-1] for side in (-1, 0)})
+            centres = [
+                float(np.sum(totals[a:b]) / np.sum(rows[a:b])) for a, b in zip(edges, edges[1:])
             ]
+        wide = [{"low": int(low[b]), "high": int(high[b])} for b in beside if low[b] < high[b]]
+        found.append((centres, wide))
+    return pd.DataFrame(found, columns=["centres", "ranges"])
+
 
-        return pd.Series([solve(x, n) for x, n in zip(points, counts)], dtype="object")
+def split_runs(n, sums, k: int) -> list[int]:
+    """Edges of the ``k`` runs of points with the least squares; the first on ties.
+
+    Least squares within runs is most of sum**2 / n over runs. The best start of a
+    last run does not go back as its end goes on, which halves the search each time.
+    """
+    import numpy as np
 
-    return centres
+    weight = np.concatenate(([0.0], np.cumsum(n)))
+    total = np.concatenate(([0.0], np.cumsum(sums)))
+    size = len(n)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        score = np.where(weight > 0, total**2 / weight, -np.inf)
+    starts = []
+    for runs in range(2, k + 1):
+        longer, start = np.full(size + 1, -np.inf), np.zeros(size + 1, dtype="int64")
+        ends = [(runs, size, runs - 1, size - 1)] if runs < k else [(size, size, runs - 1, size - 1)]
+        while ends:
+            a, b, lowest, highest = ends.pop()
+            if a > b:
+                continue
+            end = (a + b) // 2
+            options = np.arange(lowest, min(highest, end - 1) + 1)
+            rest = total[end] - total[options]
+            values = score[options] + rest * rest / (weight[end] - weight[options])
+            best = int(values.argmax())
+            longer[end], start[end] = values[best], options[best]
+            ends.append((a, end - 1, lowest, int(start[end])))
+            ends.append((end + 1, b, int(start[end]), highest))
+        score = longer
+        starts.append(start)
+    edges = [size]
+    for start in reversed(starts):
+        edges.append(int(start[edges[-1]]))
+    return [0, *reversed(edges)]

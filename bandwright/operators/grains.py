@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bandwright.config import GRAIN_BITS, GRAINS, KEYS, Grain
+from bandwright.config import ABOVE, BELOW, GRAIN_BITS, GRAINS, KEYS, Grain
 from bandwright.functions import label_of
 
 GROUP_KEYS = ("grain_id", *KEYS)
@@ -49,6 +49,18 @@ def basic_stats(observations: DataFrame, grains: Sequence[Grain] = GRAINS) -> Da
     )
 
 
+def value_counts(observations: DataFrame, grains: Sequence[Grain] = GRAINS) -> DataFrame:
+    """Rows and summed goals of every distinct value in a group, apart by side of the goal."""
+    sided = observations.withColumn(
+        "side",
+        F.when(F.col("value") < F.col("goal"), F.lit(BELOW)).when(
+            F.col("value") >= F.col("goal"), F.lit(ABOVE)
+        ),
+    )
+    aggregates = [F.count(F.lit(1)).alias("n"), F.sum("goal").alias("goals")]
+    return group_by_grain(sided, aggregates, grains, extra_keys=["side", "value"])
+
+
 def grain_label(grains: Sequence[Grain] = GRAINS) -> Column:
     return label_of(F.col("grain_id"), {grain.id: grain.label for grain in grains})
 

@@ -1,10 +1,8 @@
-"""Exact median per group, also where one group holds most of the rows.
+"""Exact medians of all grains' groups, however many rows one of them holds.
 
-``F.median`` keeps a group's distinct values in one buffer. That is the best
-plan for small groups, which are many. The groups beyond the buffer size are
-few, by their size; their middle is located on ever finer bins of the
-percentage scale. Bins are counted before the shuffle, and each step reads on
-only in the bins that hold the middle.
+Values are counted per group before they are shuffled. The middle of every group
+is located on ever finer bins of the percentage scale, all grains together; each
+step reads on only in the bins that hold the middle.
 """
 
 from __future__ import annotations
@@ -14,80 +12,52 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bandwright.config import GRAINS, KEYS, Grain
-from bandwright.operators.grains import (
-    GROUP_KEYS,
-    group_by_grain,
-    join_on_keys,
-    stack,
-)
-
-# Largest group whose distinct values may sit in one aggregation buffer.
-BUFFER_ROWS = 100_000
-
-# Most keys of large groups that are broadcast; beyond it they are shuffled.
-BROADCAST_GROUPS = 100_000
+from bandwright.config import GRAINS, Grain
+from bandwright.operators.grains import GROUP_KEYS, group_by_grain, join_on_keys
 
 # Bins per percentage point, coarse to fine. A group has at most 10 001 bins on
 # the first step, and as many in a chosen bin on the next.
 BIN_SCALES = (1e2, 1e6)
 
 
-def buffered_median(observations: DataFrame, grains: Sequence[Grain]) -> DataFrame:
-    return group_by_grain(observations, [F.median("value").alias("median")], grains)
-
-
 def approximate_median(
-    observations: DataFrame, grains: Sequence[Grain], accuracy: int = 10_000
+    observations: DataFrame, grains: Sequence[Grain] = GRAINS, accuracy: int = 10_000
 ) -> DataFrame:
     median = F.percentile_approx("value", F.lit(0.5), F.lit(accuracy))
     return group_by_grain(observations, [median.alias("median")], grains)
 
 
-def located_median(
-    observations: DataFrame,
-    grain: Grain,
-    scales: Sequence[float] = BIN_SCALES,
-    few: bool = False,
-) -> DataFrame:
-    """Exact median of every group of a grain, without a task holding a group.
+def exact_median(counts: DataFrame, scales: Sequence[float] = BIN_SCALES) -> DataFrame:
+    """``median`` per group of ``counts``: rows of group keys, ``value`` and ``n``.
 
-    ``few`` states that the groups are few enough to broadcast their bins.
+    Values are neither null nor NaN; the signs of zeros do not matter. No task
+    holds a group: at most its bins, or its values in one finest bin.
     """
-    hint = F.broadcast if few else lambda df: df
-    rows = observations.dropna(subset=["period", "value"]).select(*grain.keys, "value")
-    inside = list(grain.keys)
+    rows = counts.select(*GROUP_KEYS, (F.col("value") + F.lit(0.0)).alias("value"), "n")
+    inside = list(GROUP_KEYS)
     ranks: list[str] = []
     for step, scale in enumerate(scales):
-        rows = rows.withColumn(f"bin_{step}", F.floor(F.col("value") * F.lit(scale)))
         bins = [*inside, f"bin_{step}"]
-        counts = rows.groupBy(*bins, *ranks).agg(F.count(F.lit(1)).alias("n"))
+        rows = rows.withColumn(bins[-1], F.floor(F.col("value") * F.lit(scale)))
+        counted = rows.groupBy(*bins, *ranks).agg(F.sum("n").alias("n"))
         if not ranks:
-            counts = with_middle_ranks(counts, grain.keys)
+            counted = with_middle_ranks(counted)
             ranks = ["low", "high"]
-        chosen = holding_middle(counts, inside, f"bin_{step}").select(*bins, *ranks)
-        rows = join_on_keys(rows.drop(*ranks), hint(chosen), bins)
+        chosen = holding_middle(counted, inside, bins[-1]).select(*bins, *ranks)
+        rows = join_on_keys(rows.drop(*ranks), chosen, bins)
         inside = bins
-    values = rows.groupBy(*inside, *ranks, "value").agg(F.count(F.lit(1)).alias("n"))
+    values = rows.groupBy(*inside, *ranks, "value").agg(F.sum("n").alias("n"))
     middle = holding_middle(values, inside, "value")
-    median = ((F.min("value") + F.max("value")) / 2).alias("median")
-    return with_all_keys(middle.groupBy(*grain.keys).agg(median), grain, observations)
-
-
-def with_all_keys(medians: DataFrame, grain: Grain, like: DataFrame) -> DataFrame:
-    """Grain id and every group key, null where the grain does not use it."""
-    keys = [
-        F.col(key) if key in grain.keys else F.lit(None).cast(like.schema[key].dataType).alias(key)
-        for key in KEYS
-    ]
-    return medians.select(F.lit(grain.id).alias("grain_id"), *keys, "median")
+    return middle.groupBy(*GROUP_KEYS).agg(
+        ((F.min("value") + F.max("value")) / 2).alias("median")
+    )
 
 
-def with_middle_ranks(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+def with_middle_ranks(counted: DataFrame) -> DataFrame:
     """Ranks of the middle row, or of the middle two when the group is even."""
-    total = F.sum("n").over(Window.partitionBy(*keys))
+    total = F.sum("n").over(Window.partitionBy(*GROUP_KEYS))
     return (
-        counts.withColumn("total", total)
+        counted.withColumn("total", total)
         .withColumn("low", F.expr("(total + 1) div 2"))
         .withColumn("high", F.expr("total div 2 + 1"))
         .drop("total")
@@ -107,32 +77,3 @@ def holding_middle(counts: DataFrame, inside: Sequence[str], by: str) -> DataFra
         .withColumn("high", F.col("high") - F.col("before"))
         .drop("before")
     )
-
-
-def median_by_grain(
-    observations: DataFrame,
-    stats: DataFrame,
-    grains: Sequence[Grain] = GRAINS,
-    buffer_rows: int = BUFFER_ROWS,
-) -> DataFrame:
-    """Exact medians, each group by the way its row count in ``stats`` allows."""
-    large = F.col("count") > buffer_rows
-    sizes = stats.groupBy("grain_id").agg(
-        F.count(F.lit(1)).alias("groups"), F.count_if(large).alias("large_groups")
-    )
-    found = {row.grain_id: row for row in sizes.collect()}  # a row per grain
-    plain = [g for g in grains if g.id not in found or not found[g.id].large_groups]
-    parts = [buffered_median(observations, plain)] if plain else []
-    for grain in grains:
-        if grain in plain:
-            continue
-        groups, large_groups = found[grain.id].groups, found[grain.id].large_groups
-        few = large_groups <= BROADCAST_GROUPS
-        keys = stats.filter(large & (F.col("grain_id") == grain.id)).select(*grain.keys)
-        keys = F.broadcast(keys) if few else keys
-        held = join_on_keys(observations, keys, grain.keys, "left_semi")
-        parts.append(located_median(held, grain, few=few))
-        if large_groups < groups:
-            rest = join_on_keys(observations, keys, grain.keys, "left_anti")
-            parts.append(buffered_median(rest, [grain]))
-    return stack(parts).select(*GROUP_KEYS, "median")

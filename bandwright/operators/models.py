@@ -6,21 +6,12 @@ Every model returns ``grain_id``, the group keys, ``count``, ``level_1`` to
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bandwright.config import (
-    EXEMPT_GOAL,
-    EXEMPT_TIER,
-    GRAINS,
-    GROWTH_TARGETS,
-    LEVELS,
-    Grain,
-)
+from bandwright.config import ABOVE, BELOW, EXEMPT_GOAL, EXEMPT_TIER, GROWTH_TARGETS, LEVELS
 from bandwright.functions import label_of, round_half_up, ticks
-from bandwright.operators.clusters import CENTRES, cluster_centres
+from bandwright.operators.clusters import CENTRES
 from bandwright.operators.grains import GROUP_KEYS, join_on_keys
 
 
@@ -56,11 +47,10 @@ def in_order() -> Column:
     return (two <= three) & (three <= four) & (four <= five)
 
 
-def below_goal_summary(observations: DataFrame, grains: Sequence[Grain] = GRAINS) -> DataFrame:
+def below_goal_summary(clustered: DataFrame) -> DataFrame:
     """Count, mean goal and the lower of two centres of the values short of the goal."""
-    below = observations.filter(F.col("value") < F.col("goal"))
     return (
-        cluster_centres(below, 2, grains)
+        clustered.filter(F.col("side") == BELOW)
         .withColumn("level_1", F.lit(0.0))
         .withColumn("level_2", F.col(CENTRES)[0])
         .withColumn("level_3", F.col("goal"))
@@ -68,11 +58,10 @@ def below_goal_summary(observations: DataFrame, grains: Sequence[Grain] = GRAINS
     )
 
 
-def above_goal_summary(observations: DataFrame, grains: Sequence[Grain] = GRAINS) -> DataFrame:
+def above_goal_summary(clustered: DataFrame) -> DataFrame:
     """Count and the upper two of three centres of the values at or above the goal."""
-    above = observations.filter(F.col("value") >= F.col("goal"))
     return (
-        cluster_centres(above, 3, grains)
+        clustered.filter(F.col("side") == ABOVE)
         .withColumn("level_4", F.col(CENTRES)[1])
         .withColumn("level_5", F.col(CENTRES)[2])
         .select(*GROUP_KEYS, "count", "level_4", "level_5")

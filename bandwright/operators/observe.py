@@ -1,6 +1,7 @@
 """From goals and raw results to observations: one row per scored result.
 
-goals      region, unit, goal (one row per unit; further columns are ignored)
+goals      region, unit, goal and, where goals differ by period, applies_to (the
+           period of the results a goal is for); further columns are ignored
 actuals    period, measure_type, unit, category, category_id, result
 """
 
@@ -42,25 +43,42 @@ def observations(
 ) -> DataFrame:
     """Join results to their unit's goal, flag them and drop the unusable ones.
 
-    The floor rejects units without results, so the optimizer runs the left
-    join as an inner one and moves the floor below it.
+    Keys match null-safe. NaN is no result. The floor rejects units without
+    results, so the optimizer runs the left join as an inner one and moves the
+    floor below it.
     """
     results = actuals.select(
         F.col("period"),
         F.col("measure_type"),
         F.col("unit").alias("actual_unit"),
-        F.trim("category").alias("category"),
+        clean_category(F.col("category")).alias("category"),
         F.col("category_id"),
         scaled_result(measures).alias("value"),
     )
-    joined = goals.select("region", "unit", "goal").join(
-        results, F.col("unit") == F.col("actual_unit"), "left"
+    keys = goal_keys(goals)
+    joined = goals.select("region", "goal", *keys).join(
+        results, same_goal(keys, "actual_unit", "period"), "left"
     )
     flagged = joined.withColumn("met_goal", (F.col("value") >= F.col("goal")).cast("int"))
-    kept = flagged.filter(F.col("value") >= F.lit(floor)).filter(allowed_category(measures))
+    usable = ~F.isnan("value") & (F.col("value") >= F.lit(floor))
+    kept = flagged.filter(usable).filter(allowed_category(measures))
     return kept.select(*OBSERVATION_COLUMNS)
 
 
+def clean_category(category: Column) -> Column:
+    return F.trim(category)
+
+
+def goal_keys(goals: DataFrame) -> list[str]:
+    return [key for key in ("unit", "applies_to") if key in goals.columns]
+
+
+def same_goal(keys: Sequence[str], unit: str, period: str) -> Column:
+    """Whether a goal's keys are those of a result, null matching null."""
+    results = dict(zip(("unit", "applies_to"), (unit, period)))
+    return reduce(Column.__and__, (F.col(key).eqNullSafe(F.col(results[key])) for key in keys))
+
+
 def scaled_result(measures: Sequence[Measure]) -> Column:
     """Result in percent; a measure without a scale arrives in percent."""
     scaled = (
@@ -83,9 +101,17 @@ def allowed_category(measures: Sequence[Measure]) -> Column:
 
 
 def goals_without_actuals(goals: DataFrame, actuals: DataFrame) -> DataFrame:
-    """Distinct units first: a unit with many results is one row in the join."""
-    return goals.join(actuals.select("unit").distinct(), "unit", "left_anti")
+    """Distinct keys first: a unit with many results is one row in the join."""
+    keys = goal_keys(goals)
+    columns = ("unit", "period")[: len(keys)]
+    seen = actuals.select(*(F.col(c).alias(f"seen_{c}") for c in columns)).distinct()
+    return goals.join(seen, same_goal(keys, "seen_unit", "seen_period"), "left_anti")
 
 
 def actuals_without_goals(goals: DataFrame, actuals: DataFrame) -> DataFrame:
-    return actuals.join(goals.select("unit"), "unit", "left_anti")
+    keys = goal_keys(goals)
+    known = goals.select(*keys).withColumnRenamed("unit", "goal_unit")
+    same = F.col("unit").eqNullSafe(F.col("goal_unit"))
+    if "applies_to" in keys:
+        same = same & F.col("period").eqNullSafe(F.col("applies_to"))
+    return actuals.join(known, same, "left_anti")

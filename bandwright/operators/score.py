@@ -4,27 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bandwright.config import GRAINS, KEYS, LEVELS, Grain
 from bandwright.functions import first_level, ticks
 from bandwright.operators.grains import grain_label, stack
 
-CUTS = tuple(f"cut_{level}" for level in LEVELS[1:])
 GROUP_PREFIX = "group_"
 
 
-def split_by_grain(
-    thresholds: DataFrame, grains: Sequence[Grain] = GRAINS
-) -> dict[int, DataFrame]:
-    return {grain.id: thresholds.filter(F.col("grain_id") == grain.id) for grain in grains}
+def cuts() -> list[Column]:
+    """Lower ends of bands 2 to 5 on the comparison grid."""
+    return [ticks(F.col(level)) for level in LEVELS[1:]]
 
 
 def match_groups(
     observations: DataFrame,
     thresholds: Mapping[int, DataFrame],
-    carried: Sequence[str] = LEVELS,
     grains: Sequence[Grain] = GRAINS,
 ) -> DataFrame:
     """One row per observation and grain, with its group's thresholds.
@@ -35,17 +32,16 @@ def match_groups(
     then shuffled by its keys, one row per observation, where a hot key is split
     at run time. Observations are read once per grain, so pass a written table.
     """
-    values = observations.select(*KEYS, "value", ticks(F.col("value")).alias("value_ticks"))
+    values = observations.select(*KEYS, "value")
     types = {field.name: field.dataType.simpleString() for field in values.schema}
     return stack(
-        match_grain(values, thresholds[grain.id], carried, grain, types) for grain in grains
+        match_grain(values, thresholds[grain.id], grain, types) for grain in grains
     )
 
 
 def match_grain(
     values: DataFrame,
     thresholds: DataFrame,
-    carried: Sequence[str],
     grain: Grain,
     types: Mapping[str, str],
 ) -> DataFrame:
@@ -54,9 +50,7 @@ def match_grain(
     The grain is a constant here, so a report on one grain skips the others.
     """
     groups = thresholds.select(
-        *(F.col(key).alias(f"right_{key}") for key in grain.keys),
-        *carried,
-        *(ticks(F.col(level)).alias(cut) for cut, level in zip(CUTS, LEVELS[1:])),
+        *(F.col(key).alias(f"right_{key}") for key in grain.keys), *LEVELS
     )
     same = " AND ".join(f"{key} <=> right_{key}" for key in grain.keys)
     own_keys = [
@@ -64,13 +58,13 @@ def match_grain(
         for key in KEYS
     ]
     return values.join(groups, F.expr(same)).selectExpr(
-        *KEYS, "value", "value_ticks", f"{grain.id} AS grain_id", *own_keys, *carried, *CUTS
+        *KEYS, "value", f"{grain.id} AS grain_id", *own_keys, *LEVELS
     )
 
 
 def scored_rows(matched: DataFrame) -> DataFrame:
     """Observations with their level; the level is null where the group has no cuts."""
-    level = first_level(F.col("value_ticks"), [F.col(cut) for cut in CUTS])
+    level = first_level(ticks(F.col("value")), cuts())
     return matched.select(
         *KEYS, "value", grain_label().alias("grain"), *LEVELS, level.alias("level")
     )

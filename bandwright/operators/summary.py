@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bandwright.config import BANDS, KEYS, LEVELS, STATS
-from bandwright.functions import band_flags
-from bandwright.operators.grains import grain_label
-from bandwright.operators.score import CUTS, GROUP_PREFIX
+from bandwright.functions import band_flags, ticks
+from bandwright.operators.grains import GROUP_KEYS, grain_label, join_on_keys
+from bandwright.operators.score import GROUP_PREFIX, cuts
 
 # Columns a summary keeps beside the keys, by kind of model.
 SUMMARY_ATTRIBUTES = {
@@ -20,23 +20,24 @@ SUMMARY_ATTRIBUTES = {
 ROLLUP_KEYS = ("model", "measure_type", "measure_display", "grain", "grain_display")
 
 
-def band_summary(matched: DataFrame, kind: str = "sd") -> DataFrame:
+def band_summary(matched: DataFrame, thresholds: DataFrame, kind: str = "sd") -> DataFrame:
     """Count and share of every band per group.
 
-    Groups without thresholds are left out first. Grouping is by the key alone;
-    the carried attributes depend on it.
+    Groups without thresholds are left out first. Rows bring their cuts alone; the
+    group's other attributes are joined to the counts, a row per group.
     """
     attributes = SUMMARY_ATTRIBUTES[kind]
-    flags = band_flags(F.col("value_ticks"), [F.col(cut) for cut in CUTS])
-    counted = (
+    flags = band_flags(ticks(F.col("value")), cuts())
+    tallied = (
         matched.filter(F.col("level_2").isNotNull())
         .groupBy("grain_id", *(F.col(f"{GROUP_PREFIX}{key}").alias(key) for key in KEYS))
         .agg(
-            *(F.any_value(name).alias(name) for name in attributes),
             F.count(F.lit(1)).alias("rows"),
             *(F.count_if(flag).alias(f"count_level_{b}") for b, flag in zip(BANDS, flags)),
         )
     )
+    described = thresholds.select(*GROUP_KEYS, *attributes)
+    counted = join_on_keys(tallied, described, GROUP_KEYS)
     shares = {f"percent_level_{b}": F.col(f"count_level_{b}") / F.col("rows") for b in BANDS}
     return counted.withColumns(shares).select(
         *KEYS,

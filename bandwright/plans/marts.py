@@ -7,6 +7,7 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from bandwright.config import (
     BANDS,
@@ -21,6 +22,7 @@ from bandwright.operators.grains import stack
 from bandwright.operators.score import scored_rows
 from bandwright.operators.summary import model_rollup
 from bandwright.plans.pipeline import RubricRun
+from bandwright.sources.delimited import read_csv, write_csv
 
 SUMMARY_COLUMNS = (
     "model",
@@ -59,7 +61,6 @@ ROLLUP_COLUMNS = (
     *(f"count_level_{b}" for b in BANDS),
     "total",
 )
-MARTS = ("summaries", "rollup", "scored")
 
 
 def labelled(df: DataFrame, model: str, measures: Sequence[Measure]) -> DataFrame:
@@ -79,19 +80,32 @@ def published(df: DataFrame) -> DataFrame:
     return df.withColumnsRenamed(PUBLISHED_NAMES)
 
 
-def summaries_mart(run: RubricRun, models: Iterable[str] = (MODEL_GOAL_SD,)) -> DataFrame:
+def summaries_mart(
+    run: RubricRun, models: Iterable[str] = (MODEL_GOAL_SD,), once: bool = False
+) -> DataFrame:
+    """``once``: from matched rows that are written for the scored mart as well."""
     return stack(
         [
-            labelled(run.summary(model), model, run.measures).select(*SUMMARY_COLUMNS)
+            labelled(
+                run.summary(model, matched=run.matched_once(model) if once else None),
+                model,
+                run.measures,
+            ).select(*SUMMARY_COLUMNS)
             for model in models
         ]
     )
 
 
-def scored_mart(run: RubricRun, models: Iterable[str] = (MODEL_GOAL_SD,)) -> DataFrame:
+def scored_mart(
+    run: RubricRun, models: Iterable[str] = (MODEL_GOAL_SD,), once: bool = False
+) -> DataFrame:
     return stack(
         [
-            labelled(scored_rows(run.matched(model)), model, run.measures).select(*SCORED_COLUMNS)
+            labelled(
+                scored_rows(run.matched_once(model) if once else run.matched(model)),
+                model,
+                run.measures,
+            ).select(*SCORED_COLUMNS)
             for model in models
         ]
     )
@@ -104,31 +118,35 @@ def rollup_mart(summaries: DataFrame) -> DataFrame:
 def build_marts(
     run: RubricRun, models: Sequence[str] = (MODEL_GOAL_SD,)
 ) -> dict[str, DataFrame]:
-    summaries = run.workspace.save(summaries_mart(run, models), "summaries")
+    summaries = run.workspace.save(summaries_mart(run, models, once=True), "summaries")
     return {
         "summaries": summaries,
         "rollup": rollup_mart(summaries),
-        "scored": scored_mart(run, models),
+        "scored": scored_mart(run, models, once=True),
     }
 
 
 def write_marts(marts: dict[str, DataFrame], folder: str, file_format: str = "parquet") -> None:
     """Parquet, or CSV with a header and ``NA`` for null."""
     for name, mart in marts.items():
-        writer = published(mart).write.format(file_format)
+        path = posixpath.join(folder, name)
         if file_format == "csv":
-            writer = writer.options(header=True, nullValue="NA", emptyValue="")
-        writer.save(posixpath.join(folder, name))
+            write_csv(published(mart), path)
+        else:
+            published(mart).write.format(file_format).save(path)
 
 
 def read_marts(
     spark: SparkSession, folder: str, like: dict[str, DataFrame], file_format: str = "parquet"
 ) -> dict[str, DataFrame]:
     """Published tables as written, with the schemas of ``like``."""
-    reader = spark.read.format(file_format)
-    if file_format == "csv":
-        reader = reader.options(header=True, nullValue="NA", emptyValue="")
+
+    def read(path: str, schema: StructType) -> DataFrame:
+        if file_format == "csv":
+            return read_csv(spark, path, schema, line_breaks=True)
+        return spark.read.format(file_format).schema(schema).load(path)
+
     return {
-        name: reader.schema(published(mart).schema).load(posixpath.join(folder, name))
+        name: read(posixpath.join(folder, name), published(mart).schema)
         for name, mart in like.items()
     }

@@ -15,8 +15,9 @@ from bandwright.config import (
     VALUE_FLOOR,
     Measure,
 )
-from bandwright.operators.grains import GROUP_KEYS, basic_stats, join_on_keys
-from bandwright.operators.medians import approximate_median, median_by_grain
+from bandwright.operators.clusters import cluster_centres
+from bandwright.operators.grains import GROUP_KEYS, basic_stats, join_on_keys, value_counts
+from bandwright.operators.medians import approximate_median, exact_median
 from bandwright.operators.models import (
     above_goal_summary,
     below_goal_summary,
@@ -26,7 +27,7 @@ from bandwright.operators.models import (
 )
 from bandwright.operators.observe import observations
 from bandwright.operators.score import match_groups
-from bandwright.operators.summary import SUMMARY_ATTRIBUTES, band_summary
+from bandwright.operators.summary import band_summary
 from bandwright.sources.workspace import Workspace
 
 SD_RULES = {MODEL_GOAL_SD: goal_sd_thresholds, MODEL_MEAN_SD: mean_sd_thresholds}
@@ -46,6 +47,7 @@ class RubricRun:
         self.measures = measures
         self.workspace = workspace
         self.floor = floor
+        self._matched: dict[str, DataFrame] = {}
 
     @cached_property
     def observations(self) -> DataFrame:
@@ -59,45 +61,58 @@ class RubricRun:
             basic_stats(self.observations), "stats", partition_by=["grain_id"]
         )
 
+    @cached_property
+    def counts(self) -> DataFrame:
+        """Written, as each step that locates medians or cuts reads it."""
+        return self.workspace.save(value_counts(self.observations), "counts")
+
     @cached_property
     def exact_stats(self) -> DataFrame:
-        """Statistics with the exact median, located as group sizes allow."""
-        medians = median_by_grain(self.observations, self.stats)
-        return self.workspace.save(
-            join_on_keys(self.stats, medians, GROUP_KEYS, "left"),
-            "exact_stats",
-            partition_by=["grain_id"],
-        )
+        """Statistics with the exact median."""
+        return join_on_keys(self.stats, exact_median(self.counts), GROUP_KEYS, "left")
 
     def approximate_stats(self, accuracy: int = 10_000) -> DataFrame:
         """Opt-in: the median within 1/accuracy of its rank, in one pass."""
         medians = approximate_median(self.observations, GRAINS, accuracy)
         return join_on_keys(self.stats, medians, GROUP_KEYS, "left")
 
+    @cached_property
+    def clustered(self) -> DataFrame:
+        """Centres of both sides of every group's goal."""
+        return cluster_centres(self.counts, self.workspace.save)
+
     @cached_property
     def kmeans(self) -> DataFrame:
-        halves = below_goal_summary(self.observations), above_goal_summary(self.observations)
+        halves = below_goal_summary(self.clustered), above_goal_summary(self.clustered)
         return self.workspace.save(
             kmeans_thresholds(*halves), "kmeans", partition_by=["grain_id"]
         )
 
-    def thresholds(self, model: str, with_median: bool = False) -> dict[int, DataFrame]:
-        """Thresholds of a model per grain id, each grain a table of its own size."""
+    def thresholds(self, model: str, kind: str = "levels") -> DataFrame:
         if model == MODEL_KMEANS:
-            return self.by_grain("kmeans")
-        stats = self.by_grain("exact_stats" if with_median else "stats")
-        return {grain_id: SD_RULES[model](table) for grain_id, table in stats.items()}
-
-    def by_grain(self, table: str) -> dict[int, DataFrame]:
-        saved = getattr(self, table)
-        return self.workspace.parts(table, saved, "grain_id", [grain.id for grain in GRAINS])
-
-    def matched(self, model: str, kind: str = "levels") -> DataFrame:
-        return match_groups(
-            self.observations,
-            self.thresholds(model, with_median=kind == "sd"),
-            SUMMARY_ATTRIBUTES[kind],
-        )
+            return self.kmeans
+        return SD_RULES[model](self.exact_stats if kind == "sd" else self.stats)
 
-    def summary(self, model: str, kind: str = "levels") -> DataFrame:
-        return band_summary(self.matched(model, kind), kind)
+    def thresholds_by_grain(self, model: str) -> dict[int, DataFrame]:
+        """Thresholds of a model per grain id, each grain a table of its own size."""
+        name, rule = ("kmeans", lambda df: df) if model == MODEL_KMEANS else ("stats", SD_RULES[model])
+        saved = getattr(self, name)
+        parts = self.workspace.parts(name, saved, "grain_id", [grain.id for grain in GRAINS])
+        return {grain_id: rule(table) for grain_id, table in parts.items()}
+
+    def matched(self, model: str) -> DataFrame:
+        """Every observation with the levels of its group at every grain."""
+        return match_groups(self.observations, self.thresholds_by_grain(model))
+
+    def matched_once(self, model: str) -> DataFrame:
+        """The same rows written, for summaries and scored rows to read."""
+        if model not in self._matched:
+            name = f"matched-{len(self._matched)}"
+            self._matched[model] = self.workspace.save(self.matched(model), name)
+        return self._matched[model]
+
+    def summary(
+        self, model: str, kind: str = "levels", matched: DataFrame | None = None
+    ) -> DataFrame:
+        rows = self.matched(model) if matched is None else matched
+        return band_summary(rows, self.thresholds(model, kind), kind)

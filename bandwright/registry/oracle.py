@@ -8,8 +8,6 @@ from bandwright.config import (
     MODEL_KMEANS,
     MODEL_MEAN_SD,
 )
-from bandwright.functions import title_case
-from bandwright.plans.report import COUNTS_AND_SHARES, slice_columns
 from bandwright.registry.star import CATEGORY_IDS, CATEGORY_PANELS, INDICATORS, STAR_MEASURES
 
 LEVELS = [f"level_{i}" for i in range(1, 6)]
@@ -28,53 +26,55 @@ GRAIN_ARMS = " ".join(f"WHEN {g.id} THEN '{g.label}'" for g in GRAINS)
 GRAIN = f"CASE grain_id {GRAIN_ARMS} END"
 GRAIN_DISPLAY = case("grain", [(g.label, g.display) for g in GRAINS])
 MEASURE_DISPLAY = case("measure_type", [(m.name, m.display) for m in STAR_MEASURES])
-CATEGORY_ID = case("p_type", CATEGORY_IDS.items())
+CATEGORY_ID = case("category", CATEGORY_IDS.items())
 TICK = "floor({} * 1e9 + 0.5)"
 SETS = ", ".join("(" + ", ".join(g.keys) + ")" for g in GRAINS)
 GRAIN_ID = "grouping(region) * 4 + grouping(unit) * 2 + grouping(category)"
 
 CTES = {
+    "cells": """
+        SELECT l_suppkey AS unit, p_type AS category, year(l_shipdate) AS year,
+               count(*) AS lines, count(l_returnflag) AS flagged,
+               count(*) FILTER (l_returnflag <> 'R') AS kept, count(o_orderpriority) AS ordered,
+               count(*) FILTER (o_orderpriority NOT LIKE '1-%') AS calm
+        FROM lineitem JOIN part ON p_partkey = l_partkey LEFT JOIN orders ON o_orderkey = l_orderkey
+        GROUP BY ALL""",
     "base": f"""
-        SELECT n_name AS region, s_suppkey AS unit, n_total, n_leavers,
+        SELECT n_name AS region, s_suppkey AS unit, year, n_total, n_leavers,
                {r6('(1 - n_leavers / n_total) * 100', 2)} AS base_rate
-        FROM (SELECT l_suppkey, count(*) AS n_total,
-                     count(*) FILTER (l_returnflag = 'R') AS n_leavers
-              FROM lineitem
-              WHERE l_shipdate >= TIMESTAMP '1996-01-01' AND l_shipdate < TIMESTAMP '1997-01-01'
-              GROUP BY l_suppkey)
-        JOIN supplier ON s_suppkey = l_suppkey
+        FROM (SELECT unit, year, sum(lines)::BIGINT AS n_total,
+                     sum(flagged - kept)::BIGINT AS n_leavers
+              FROM cells GROUP BY unit, year)
+        JOIN supplier ON s_suppkey = unit
         JOIN nation ON n_nationkey = s_nationkey
         WHERE s_acctbal >= 0""",
     "goals": f"""
-        SELECT '1996' AS period, region, unit, 'Supplier' AS unit_type, n_total, n_leavers,
+        SELECT CAST(year AS VARCHAR) AS period, CAST(year + 1 AS VARCHAR) AS applies_to,
+               region, unit, 'Supplier' AS unit_type, n_total, n_leavers,
                base_rate, tier,
                CASE tier WHEN '1' THEN '6.5' WHEN '2' THEN '4' WHEN '3' THEN '2'
                          WHEN '4' THEN '1' ELSE 'maintain' END AS growth_target,
                CASE tier WHEN 'exempt' THEN 90.0 ELSE
                     {r6("base_rate + CASE tier WHEN '1' THEN 6.5 WHEN '2' THEN 4 WHEN '3' THEN 2 ELSE 1 END", 2)}
                END AS goal
-        FROM (SELECT *, CASE WHEN base_rate >= 90 THEN 'exempt'
-                             ELSE CAST(ntile(4) OVER (ORDER BY base_rate, unit) AS VARCHAR)
-                        END AS tier FROM base)""",
-    "lines": """
-        SELECT * FROM lineitem JOIN part ON p_partkey = l_partkey
-        WHERE l_shipdate >= TIMESTAMP '1997-01-01' AND l_shipdate < TIMESTAMP '1998-01-01'""",
+        FROM (SELECT *, CASE WHEN base_rate >= 90 THEN 'exempt' ELSE CAST(1 + floor(
+                 4 * (rank() OVER (PARTITION BY year ORDER BY base_rate) - 1)
+                 / count(*) OVER (PARTITION BY year))::INT AS VARCHAR) END AS tier
+              FROM base)""",
     "actuals": f"""
-        SELECT '1997' AS period, 'RET' AS measure_type, l_suppkey AS unit, p_type AS category,
-               {CATEGORY_ID} AS category_id,
-               count(*) FILTER (l_returnflag <> 'R') / count(l_returnflag) AS result
-        FROM lines GROUP BY l_suppkey, p_type
+        SELECT CAST(year AS VARCHAR) AS period, 'RET' AS measure_type, unit, category,
+               {CATEGORY_ID} AS category_id, kept / nullif(flagged, 0) AS result FROM cells
         UNION ALL
-        SELECT '1997', 'PRI', l_suppkey, p_type, {CATEGORY_ID},
-               count(*) FILTER (o_orderpriority NOT LIKE '1-%') / count(o_orderpriority) * 100
-        FROM lines JOIN orders ON o_orderkey = l_orderkey GROUP BY l_suppkey, p_type""",
+        SELECT CAST(year AS VARCHAR), 'PRI', unit, category, {CATEGORY_ID},
+               calm / nullif(ordered, 0) * 100 FROM cells""",
     "observed": """
         SELECT period, measure_type, region, unit, category, category_id, value, goal,
                CAST(value >= goal AS INTEGER) AS met_goal
-        FROM (SELECT a.period, measure_type, region, unit, trim(category) AS category,
+        FROM (SELECT a.period, measure_type, region, a.unit, trim(category) AS category,
                      category_id, goal,
                      CASE measure_type WHEN 'RET' THEN result * 100 ELSE result END AS value
-              FROM goals LEFT JOIN actuals a USING (unit))
+              FROM goals g LEFT JOIN actuals a
+                ON g.unit IS NOT DISTINCT FROM a.unit AND g.applies_to IS NOT DISTINCT FROM a.period)
         WHERE value >= 50 AND NOT (measure_type = 'RET' AND category_id = 12)""",
     "stats": f"""
         SELECT {GRAIN_ID} AS grain_id, period, measure_type, region, unit, category,
@@ -92,21 +92,26 @@ CTES = {
 
 
 def clusters(side: str, comparison: str) -> dict[str, str]:
-    """Grid points of one half with prefix sums, per group and place."""
+    """Distinct values of one half with prefix sums, per group and place.
+
+    Cuts are sought on whole 1e-9 steps, so that both engines add up the same.
+    """
     keys = "grain_id, period, measure_type, region, unit, category"
     return {
         f"{side}_points": f"""
             SELECT {GRAIN_ID} AS grain_id, period, measure_type, region, unit, category, point,
-                   count(*)::DOUBLE AS n, sum(goal) AS goals
-            FROM (SELECT *, floor(value * 100 + 0.5) AS point FROM observed
+                   count(*)::DOUBLE AS n, sum(goal) AS goals, sum(value) AS total
+            FROM (SELECT *, {TICK.format('value')} AS point FROM observed
                   WHERE value {comparison} goal)
             GROUP BY GROUPING SETS ({', '.join('(' + ', '.join((*g.keys, 'point')) + ')' for g in GRAINS)})""",
         f"{side}_sums": f"""
-            SELECT *, row_number() OVER w AS i, sum(n) OVER w AS cn, sum(n * point) OVER w AS cs,
-                   count(*) OVER (PARTITION BY {keys}) AS m,
+            SELECT *, row_number() OVER w AS i, sum(n) OVER w AS cn, sum(n * step) OVER w AS cs,
+                   sum(total) OVER w AS ct, count(*) OVER (PARTITION BY {keys}) AS m,
                    sum(n) OVER (PARTITION BY {keys}) AS tn,
-                   sum(n * point) OVER (PARTITION BY {keys}) AS ts
-            FROM {side}_points
+                   sum(n * step) OVER (PARTITION BY {keys}) AS ts,
+                   sum(total) OVER (PARTITION BY {keys}) AS tt
+            FROM (SELECT *, point - min(point) OVER (PARTITION BY {keys}) AS step
+                  FROM {side}_points)
             WINDOW w AS (PARTITION BY {keys} ORDER BY point
                          ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
         f"{side}_groups": f"""
@@ -129,11 +134,11 @@ CTES |= {
             PARTITION BY grain_id, period, measure_type, region, unit, category
             ORDER BY cs * cs / cn + (ts - cs) * (ts - cs) / (tn - cn) DESC, i) = 1""",
     "below_half": f"""
-        SELECT g.*, 0.0::DOUBLE AS level_1, s.cs / s.cn / 100 AS level_2, g.goal AS level_3
+        SELECT g.*, 0.0::DOUBLE AS level_1, s.ct / s.cn AS level_2, g.goal AS level_3
         FROM below_groups g LEFT JOIN below_split s ON {same('g', 's')}""",
     "above_split": f"""
         SELECT *, (SELECT 1) AS one FROM (
-            SELECT a.*, b.i AS j, b.cn AS cn2, b.cs AS cs2
+            SELECT a.*, b.i AS j, b.cn AS cn2, b.cs AS cs2, b.ct AS ct2
             FROM above_sums a JOIN above_sums b ON {same('a', 'b')} AND a.i < b.i
             WHERE b.i < b.m AND b.tn > 3)
         QUALIFY row_number() OVER (
@@ -142,8 +147,8 @@ CTES |= {
                      + (ts - cs2) * (ts - cs2) / (tn - cn2) DESC, j,
                      cs * cs / cn + (cs2 - cs) * (cs2 - cs) / (cn2 - cn) DESC, i) = 1""",
     "above_half": f"""
-        SELECT g.*, (s.cs2 - s.cs) / (s.cn2 - s.cn) / 100 AS level_4,
-               (s.ts - s.cs2) / (s.tn - s.cn2) / 100 AS level_5
+        SELECT g.*, (s.ct2 - s.ct) / (s.cn2 - s.cn) AS level_4,
+               (s.tt - s.ct2) / (s.tn - s.cn2) AS level_5
         FROM above_groups g LEFT JOIN above_split s ON {same('g', 's')}""",
     "kmeans": f"""
         SELECT b.grain_id, b.period, b.measure_type, b.region, b.unit, b.category,
@@ -152,8 +157,9 @@ CTES |= {
         WHERE level_2 IS NOT NULL AND level_4 IS NOT NULL AND level_5 IS NOT NULL""",
 }
 NEEDS = {
+    "base": ["cells"],
     "goals": ["base"],
-    "actuals": ["lines"],
+    "actuals": ["cells"],
     "observed": ["goals", "actuals"],
     "stats": ["observed"],
     "goal_sd": ["stats"],
@@ -229,18 +235,22 @@ def published(model: str, rounding: bool = True) -> str:
     )
 
 
-SCORED = (
-    f"SELECT '{MODEL_GOAL_SD}' AS model, period AS academic_year, o_region AS region, "
-    f"o_unit AS campus, o_category AS grade, {r6('value')} AS persistence, "
-    f"measure_type AS persistence_type, {MEASURE_DISPLAY} AS persistence_type_display, "
-    f"{GRAIN} AS grouped_by, {case(GRAIN, [(g.label, g.display) for g in GRAINS])} AS grouped_by_display, "
-    + ", ".join(f"{r6(c)} AS {c}" for c in LEVELS)
-    + ", CASE " + " ".join(f"WHEN {b} THEN {i}" for i, b in enumerate(BANDS, 1)) + " END AS level "
-    "FROM matched_goal_sd"
-)
+def scored(model: str, title: str) -> str:
+    return (
+        f"SELECT '{title}' AS model, period AS academic_year, o_region AS region, "
+        f"o_unit AS campus, o_category AS grade, {r6('value')} AS persistence, "
+        f"measure_type AS persistence_type, {MEASURE_DISPLAY} AS persistence_type_display, "
+        f"{GRAIN} AS grouped_by, "
+        f"{case(GRAIN, [(g.label, g.display) for g in GRAINS])} AS grouped_by_display, "
+        + ", ".join(f"{r6(c)} AS {c}" for c in LEVELS)
+        + ", CASE " + " ".join(f"WHEN {b} THEN {i}" for i, b in enumerate(BANDS, 1))
+        + f" END AS level FROM matched_{model}"
+    )
+
+
 CTES |= {
     "summaries": published("goal_sd", rounding=False),
-    "scored": SCORED,
+    "scored": scored("goal_sd", MODEL_GOAL_SD),
     "histogram": f"""
         SELECT {case('grade', [(c, i) for i, c in enumerate(CATEGORY_PANELS, 1)])} AS panel,
                grade, level, count(*) AS rows
@@ -289,19 +299,29 @@ def rollup(model: str) -> str:
     )
 
 
-def titled(columns: list[str], places: dict[str, int]) -> str:
-    return ", ".join(
-        f'{r6(c, places[c]) if c in places else c} AS "{title}"'
-        for c, title in zip(columns, title_case(columns))
-    )
+# Headers and columns of the report's slices, written out.
+SLICE_HEADERS = {
+    "Campuses": ["Persistence Type", "Region", "Campus"],
+    "Regional and Grade Level": ["Persistence Type", "Region", "Grade"],
+    "Grade Level": ["Persistence Type", "Grade"],
+    "Regional": ["Persistence Type", "Region"],
+    "Org-wide": ["Persistence Type"],
+}
+SLICE_NUMBERS = ["Count", "Level 1", "Level 2", "Level 3", "Level 4", "Level 5"] + [
+    "Count Level 1", "Percent Level 1", "Count Level 2", "Percent Level 2", "Count Level 3",
+    "Percent Level 3", "Count Level 4", "Percent Level 4", "Count Level 5", "Percent Level 5",
+]
 
 
 def slice_sql(aggregation: str, level_2_places: int = 2) -> str:
-    columns = [*slice_columns(aggregation), "count", *LEVELS, *COUNTS_AND_SHARES]
-    places = {c: 2 for c in columns if c.startswith(("level", "percent"))}
-    places["percent_level_2"] = level_2_places
+    columns = []
+    for header in [*SLICE_HEADERS[aggregation], *SLICE_NUMBERS]:
+        column = header.lower().replace(" ", "_")
+        places = level_2_places if header == "Percent Level 2" else 2
+        rounded = header.startswith(("Level", "Percent"))
+        columns.append(f'{r6(column, places) if rounded else column} AS "{header}"')
     return (
-        f"SELECT {titled(columns, places)} FROM summaries "
+        f"SELECT {', '.join(columns)} FROM summaries "
         f"WHERE grouped_by_display = '{aggregation}' "
         f"AND persistence_type_display = '{STAR_MEASURES[0].display}'"
     )
@@ -322,6 +342,30 @@ ACTUALS = (
 )
 
 
+# Every column of the previewed tables; those marked are amounts.
+PREVIEWED = {
+    "customer": (
+        "c_custkey",
+        ["c_custkey", "c_name", "c_nationkey", "c_acctbal $", "c_mktsegment"],
+    ),
+    "orders": (
+        "o_orderkey",
+        [
+            "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice $", "o_orderdate",
+            "o_orderpriority",
+        ],
+    ),
+    "part": (
+        "p_partkey",
+        ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice $"],
+    ),
+}
+
+
+def money(column: str) -> str:
+    return f"CAST({column.split(' ')[0]} AS DECIMAL(18,2))"
+
+
 def oracle_sql() -> dict[str, str]:
     from bandwright.registry.queries import grain_key
 
@@ -334,11 +378,15 @@ def oracle_sql() -> dict[str, str]:
         + f"SELECT * REPLACE ({r6('value')} AS value, {r6('goal')} AS goal) FROM observed",
         "measure_union": with_ctes("actuals") + ACTUALS,
         "coverage_goals_only": with_ctes("goals", "actuals")
-        + f"SELECT region, unit, {r6('goal')} AS goal FROM goals ANTI JOIN actuals USING (unit)",
+        + f"SELECT g.period, region, g.unit, {r6('goal')} AS goal FROM goals g ANTI JOIN actuals a "
+        "ON g.unit IS NOT DISTINCT FROM a.unit AND g.applies_to IS NOT DISTINCT FROM a.period",
         "coverage_actuals_only": with_ctes("goals", "actuals")
-        + ACTUALS + " ANTI JOIN goals USING (unit)",
+        + ACTUALS.replace("FROM actuals", "FROM actuals a")
+        + " ANTI JOIN goals g ON g.unit IS NOT DISTINCT FROM a.unit "
+        "AND g.applies_to IS NOT DISTINCT FROM a.period",
         "trimmed_category": """
-            SELECT p_type AS category, 10 AS padded_length, max(length(p_type)) AS trimmed_length,
+            SELECT p_type AS category, max(length(p_type)) + length(p_type) % 3 + 10 AS padded_length,
+                   max(length(p_type)) AS trimmed_length,
                    count(*) AS rows
             FROM part GROUP BY p_type""",
         "goal_rule": with_ctes("goals") + "SELECT * FROM goals",
@@ -386,17 +434,29 @@ def oracle_sql() -> dict[str, str]:
         + "SELECT DISTINCT 'persistence_type_display' AS selector, "
         "persistence_type_display AS choice FROM summaries UNION ALL "
         "SELECT DISTINCT 'grouped_by_display', grouped_by_display FROM summaries",
-        "source_join": with_ctes("actuals")
+        "source_join": with_ctes("cells")
         + f"""
-            SELECT DISTINCT period AS academic_year, s_name AS campus,
+            , results AS (
+              SELECT CAST(year AS VARCHAR) AS academic_year, unit, category, source,
+                     CASE WHEN lines < 2 THEN 0 ELSE calm / nullif(ordered, 0) * 100 END AS result
+              FROM cells, (VALUES ('Persistence'), ('Attendance')) v(source),
+                   range(CASE WHEN lines >= 3 THEN 2 ELSE 1 END))
+            SELECT DISTINCT academic_year, s_name AS campus,
                    replace(indicator, 'Persistence ', '') AS grade,
                    CAST(replace(replace(replace(indicator, 'Persistence ', ''), 'PK', '-1'),
                                 'K', '0') AS INTEGER) AS grade_level_id,
                    {r6('result')} AS results
-            FROM (SELECT *, {case('category', INDICATORS.items())} AS indicator FROM actuals)
+            FROM (SELECT *, {case('category', INDICATORS.items())} AS indicator FROM results)
             JOIN supplier ON s_suppkey = unit
-            WHERE measure_type = 'PRI' AND result <> 0
+            WHERE academic_year = '1997' AND source = 'Persistence' AND result <> 0
               AND indicator NOT IN ('All Persistence', 'New Family Persistence')""",
+        "scored_union": with_ctes("matched_goal_sd", "matched_mean_sd", "matched_kmeans")
+        + " UNION ALL ".join(
+            scored(model, title)
+            for model, title in (
+                ("goal_sd", MODEL_GOAL_SD), ("mean_sd", MODEL_MEAN_SD), ("kmeans", MODEL_KMEANS)
+            )
+        ),
         "model_union": with_ctes("summary_goal_sd", "summary_mean_sd", "summary_kmeans")
         + " UNION ALL ".join(published(m) for m in ("goal_sd", "mean_sd", "kmeans")),
         "kmeans_halves": with_ctes("below_half", "above_half")
@@ -408,7 +468,7 @@ def oracle_sql() -> dict[str, str]:
         "kmeans_thresholds": with_ctes("kmeans")
         + f"SELECT {GROUP_COLUMNS}, count, {LEVEL_COLUMNS} FROM kmeans",
         "kmeans_rollup": with_ctes("summary_kmeans") + rollup("kmeans"),
-        "csv_roundtrip": f"SELECT * REPLACE ({r6('c_acctbal')} AS c_acctbal) FROM customer",
+        "csv_roundtrip": "SELECT * FROM documents",
         "delimited_load": f"""
             SELECT s_suppkey, replace(s_name, '#', ' No ') AS s_name, s_nationkey,
                    {r6('s_acctbal')} AS s_acctbal, dataset
@@ -417,9 +477,13 @@ def oracle_sql() -> dict[str, str]:
             SELECT c_custkey AS cust_key, c_name AS customer_name, c_nationkey AS nation_number,
                    {r6('c_acctbal')} AS x22_23_balance_percent, c_mktsegment AS mkt_segment
             FROM customer""",
-        "preview": f"""
-            SELECT o_orderkey, o_custkey, o_orderstatus, {r6('o_totalprice')} AS o_totalprice,
-                   o_orderpriority
-            FROM orders ORDER BY o_orderkey LIMIT 6""",
+        "preview": " UNION ALL ".join(
+            f"""SELECT '{name}' AS dataset, place::INT AS place, '{column}' AS "column",
+                       CAST({text} AS VARCHAR) AS text
+                FROM (SELECT *, row_number() OVER (ORDER BY {key}) AS place FROM {name})
+                WHERE place <= 6"""
+            for name, (key, columns) in PREVIEWED.items()
+            for column, text in ((c.split(" ")[0], c if " " not in c else money(c)) for c in columns)
+        ),
         "mart_reuse": with_ctes("summary_goal_sd") + rollup("goal_sd"),
     }

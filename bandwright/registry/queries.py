@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,7 +13,7 @@ from bandwright.config import GRAINS, MODEL_GOAL_SD, MODEL_KMEANS, MODEL_MEAN_SD
 from bandwright.functions import round_half_up
 from bandwright.functions.names import normalise_headers
 from bandwright.operators.grains import grain_label, stack
-from bandwright.operators.medians import located_median
+from bandwright.operators.medians import exact_median
 from bandwright.operators.models import (
     above_goal_summary,
     below_goal_summary,
@@ -22,6 +22,7 @@ from bandwright.operators.models import (
 )
 from bandwright.operators.observe import (
     actuals_without_goals,
+    clean_category,
     goals_without_actuals,
     tag_measure,
 )
@@ -29,12 +30,15 @@ from bandwright.operators.score import scored_rows
 from bandwright.plans import marts, report
 from bandwright.registry import star
 from bandwright.sources import delimited, relational
-from bandwright.sources.preview import preview
+from bandwright.sources.preview import preview_all
 from bandwright.sources.workspace import Workspace
 
 MODELS = (MODEL_GOAL_SD, MODEL_MEAN_SD, MODEL_KMEANS)
 ONE_MEASURE = star.STAR_MEASURES[0]
 PLACES = 6
+# The one school year that the relational query asks for.
+SOURCE_YEAR = "1997"
+PREVIEWED = {"customer": "c_custkey", "orders": "o_orderkey", "part": "p_partkey"}
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -47,12 +51,16 @@ def with_grain(df: DataFrame) -> DataFrame:
     return rounded(df.withColumn("grain", grain_label()).drop("grain_id"))
 
 
+def cells_of(spark: SparkSession, folder: str) -> DataFrame:
+    return star.saved_cells(spark, folder, Workspace(spark))
+
+
 def observations(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(star.star_observations(spark, folder, Workspace(spark)))
 
 
 def measure_union(spark: SparkSession, folder: str) -> DataFrame:
-    cells = Workspace(spark).save(star.cell_counts(spark, folder), "cells")
+    cells = cells_of(spark, folder)
     returned, urgent = star.STAR_MEASURES
     return rounded(
         stack(
@@ -65,20 +73,24 @@ def measure_union(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def coverage_goals_only(spark: SparkSession, folder: str) -> DataFrame:
-    goals = star.goals(spark, folder, Workspace(spark))
-    missing = goals_without_actuals(goals, star.actuals(spark, folder))
-    return rounded(missing.select("region", "unit", "goal"))
+    cells = cells_of(spark, folder)
+    missing = goals_without_actuals(star.goals(spark, folder, cells), star.actuals(cells))
+    return rounded(missing.select("period", "region", "unit", "goal"))
 
 
 def coverage_actuals_only(spark: SparkSession, folder: str) -> DataFrame:
-    goals = star.goals(spark, folder, Workspace(spark))
-    return rounded(actuals_without_goals(goals, star.actuals(spark, folder)))
+    cells = cells_of(spark, folder)
+    return rounded(actuals_without_goals(star.goals(spark, folder, cells), star.actuals(cells)))
 
 
 def trimmed_category(spark: SparkSession, folder: str) -> DataFrame:
-    padded = star.table(spark, folder, "part").select(F.rpad("p_type", 10, " ").alias("padded"))
+    padded = star.table(spark, folder, "part").select(
+        F.concat(F.repeat(F.lit(" "), F.length("p_type") % 3), "p_type", F.lit(" " * 10)).alias(
+            "padded"
+        )
+    )
     return (
-        padded.withColumn("category", F.trim("padded"))
+        padded.withColumn("category", clean_category(F.col("padded")))
         .groupBy("category")
         .agg(
             F.max(F.length("padded")).alias("padded_length"),
@@ -89,7 +101,7 @@ def trimmed_category(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def goal_rule(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(star.goals(spark, folder, Workspace(spark)))
+    return rounded(star.goals(spark, folder, cells_of(spark, folder)))
 
 
 def grain_stats(spark: SparkSession, folder: str) -> DataFrame:
@@ -97,9 +109,8 @@ def grain_stats(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def grain_median_located(spark: SparkSession, folder: str) -> DataFrame:
-    """The median the way groups beyond one buffer are handled."""
-    seen = star.star_run(spark, folder).observations
-    return with_grain(stack(located_median(seen, grain) for grain in GRAINS))
+    """The median as it is located, without the other statistics."""
+    return with_grain(exact_median(star.star_run(spark, folder).counts))
 
 
 def thresholds_sd(spark: SparkSession, folder: str) -> DataFrame:
@@ -176,8 +187,8 @@ def choice_lists(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def source_join(spark: SparkSession, folder: str) -> DataFrame:
-    results, metrics, schools = star.metric_tables(spark, folder)
-    found = relational.category_results(results, metrics, schools, str(star.ACTUAL_YEAR))
+    results, metrics, schools = star.metric_tables(spark, folder, cells_of(spark, folder))
+    found = relational.category_results(results, metrics, schools, SOURCE_YEAR)
     return relational.in_report_order(rounded(found))
 
 
@@ -186,9 +197,9 @@ def model_union(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def kmeans_halves(spark: SparkSession, folder: str) -> DataFrame:
-    seen = star.star_run(spark, folder).observations
-    below = below_goal_summary(seen).withColumn("half", F.lit("below"))
-    above = above_goal_summary(seen).withColumn("half", F.lit("above"))
+    clustered = star.star_run(spark, folder).clustered
+    below = below_goal_summary(clustered).withColumn("half", F.lit("below"))
+    above = above_goal_summary(clustered).withColumn("half", F.lit("above"))
     return with_grain(below.unionByName(above, allowMissingColumns=True))
 
 
@@ -203,10 +214,11 @@ def kmeans_rollup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def csv_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
-    customers = star.table(spark, folder, "customer")
-    path = Workspace(spark).path("customer.csv")
-    delimited.write_csv(customers, path)
-    return rounded(delimited.read_csv(spark, path, customers.schema))
+    """Texts with quotes and line breaks, written and read back."""
+    documents = star.table(spark, folder, "documents")
+    path = Workspace(spark).path("documents.csv")
+    delimited.write_csv(documents, path)
+    return delimited.read_csv(spark, path, documents.schema, line_breaks=True)
 
 
 def delimited_load(spark: SparkSession, folder: str) -> DataFrame:
@@ -236,9 +248,33 @@ def header_normalise(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(normalise_headers(messy))
 
 
-def preview_orders(spark: SparkSession, folder: str) -> DataFrame:
-    orders = star.table(spark, folder, "orders").drop("o_orderdate")
-    return rounded(preview(orders, ["o_orderkey"]))
+def preview_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """The head of several tables, a row per table, place and column."""
+    tables = {name: star.table(spark, folder, name) for name in PREVIEWED}
+    heads = preview_all(tables, {name: [key] for name, key in PREVIEWED.items()})
+    return stack(cells_of_head(name, head) for name, head in heads.items())
+
+
+def cells_of_head(name: str, head: DataFrame) -> DataFrame:
+    def text(field: T.StructField) -> Column:
+        exact = F.col(field.name)
+        kind = "decimal(18,2)" if isinstance(field.dataType, T.DoubleType) else field.dataType
+        return exact.cast(kind).cast("string")
+
+    place = F.row_number().over(Window.orderBy(PREVIEWED[name]))
+    columns = F.array(
+        *(
+            F.struct(F.lit(field.name).alias("column"), text(field).alias("text"))
+            for field in head.schema
+        )
+    )
+    placed = head.select(F.lit(name).alias("dataset"), place.alias("place"), columns.alias("shown"))
+    return placed.withColumn("c", F.explode("shown")).select("dataset", "place", "c.*")
+
+
+def scored_union(spark: SparkSession, folder: str) -> DataFrame:
+    """Scored rows of all models, by their published names."""
+    return rounded(marts.published(marts.scored_mart(star.star_run(spark, folder), MODELS)))
 
 
 def mart_reuse(spark: SparkSession, folder: str) -> DataFrame:
@@ -288,7 +324,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "csv_roundtrip": csv_roundtrip,
         "delimited_load": delimited_load,
         "header_normalise": header_normalise,
-        "preview": preview_orders,
+        "preview": preview_tables,
+        "scored_union": scored_union,
         "mart_reuse": mart_reuse,
     }
 

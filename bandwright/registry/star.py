@@ -1,14 +1,15 @@
 """Goals and actuals derived from the star-schema tables.
 
 unit = supplier, region = its nation, category = part type, period = ship year.
-Goals come from the base year, actuals from the year after it.
+A unit's goal comes from its lines of one year and applies to those of the next;
+every year of the data is both.
 """
 
 from __future__ import annotations
 
 import posixpath
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bandwright.config import EXEMPT_GOAL, EXEMPT_TIER, Measure
@@ -18,7 +19,6 @@ from bandwright.operators.observe import ACTUAL_COLUMNS, observations
 from bandwright.plans.pipeline import RubricRun
 from bandwright.sources.workspace import Workspace
 
-BASE_YEAR, ACTUAL_YEAR = 1996, 1997
 TIERS = 4
 
 # Category ids in alphabetical order; the last has the id that one measure drops.
@@ -44,39 +44,55 @@ INDICATORS = {
     "SMALL": "Persistence 3",
     "STANDARD": "All Persistence",
 }
-
-# Unit ids per chunk when a rank is looked up within one base rate.
-CHUNK_IDS = 1_000_000
-
+# Source of each measure's metrics in the relational tables.
+METRIC_SOURCES = {"PRI": "Persistence", "RET": "Attendance"}
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(posixpath.join(folder, f"{name}.parquet"))
 
 
-def lines_of(spark: SparkSession, folder: str, year: int) -> DataFrame:
-    """Line items shipped in a year; the range is pushed to the scan."""
-    lines = table(spark, folder, "lineitem")
-    kind = lines.schema["l_shipdate"].dataType
-    first, after = (F.lit(f"{y}-01-01").cast(kind) for y in (year, year + 1))
-    return lines.filter((F.col("l_shipdate") >= first) & (F.col("l_shipdate") < after))
-
+def cell_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines per unit, category and ship year, for goals and both measures at once.
 
-def base_units(spark: SparkSession, folder: str) -> DataFrame:
-    """Counts of the base year per unit, of units with a balance not below zero."""
-    counts = (
-        lines_of(spark, folder, BASE_YEAR)
-        .groupBy(F.col("l_suppkey").alias("unit"))
+    The order side is reduced to its key and a flag before it is shuffled.
+    """
+    urgent = table(spark, folder, "orders").select(
+        "o_orderkey", F.col("o_orderpriority").startswith("1-").alias("urgent")
+    )
+    parts = table(spark, folder, "part").select("p_partkey", "p_type")
+    lines = table(spark, folder, "lineitem").select(
+        "l_orderkey",
+        "l_partkey",
+        "l_suppkey",
+        (F.col("l_returnflag") == "R").alias("returned"),
+        F.year("l_shipdate").alias("year"),
+    )
+    return (
+        lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
+        .join(urgent, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+        .groupBy(F.col("l_suppkey").alias("unit"), F.col("p_type").alias("category"), "year")
         .agg(
-            F.count(F.lit(1)).alias("n_total"),
-            F.count_if(F.col("l_returnflag") == "R").alias("n_leavers"),
+            F.count(F.lit(1)).alias("lines"),
+            F.count("returned").alias("flagged_lines"),
+            F.count_if(~F.col("returned")).alias("kept_lines"),
+            F.count("urgent").alias("ordered_lines"),
+            F.count_if(~F.col("urgent")).alias("calm_lines"),
         )
     )
+
+
+def base_units(spark: SparkSession, folder: str, cells: DataFrame) -> DataFrame:
+    """Counts per unit and year, of units with a balance not below zero."""
+    counts = cells.groupBy("unit", "year").agg(
+        F.sum("lines").alias("n_total"),
+        F.sum(F.col("flagged_lines") - F.col("kept_lines")).alias("n_leavers"),
+    )
     suppliers = table(spark, folder, "supplier").filter(F.col("s_acctbal") >= 0)
     nations = table(spark, folder, "nation")
     return (
         suppliers.join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
         .join(counts, F.col("s_suppkey") == F.col("unit"))
-        .select(F.col("n_name").alias("region"), "unit", "n_total", "n_leavers")
+        .select(F.col("n_name").alias("region"), "unit", "year", "n_total", "n_leavers")
         .withColumn("rate_cents", base_rate_cents())
     )
 
@@ -86,65 +102,30 @@ def base_rate_cents() -> Column:
     return F.floor(rate * 100 + F.lit(0.5)).cast("int")
 
 
-# Units are counted per base rate, of which there are at most 10 001, and chunk of
-# unit ids. The rates' counts give the tier of a whole rate, except where a tier
-# starts inside it; there the tier's first unit is looked up in the one chunk that
-# holds it. Broadcast are only the rates and the tiers' own rows.
-TIER_QUERY = """
-WITH cells AS (
-  SELECT rate_cents, chunk, n, sum(n) OVER (PARTITION BY rate_cents) AS rate_n,
-         sum(n) OVER (PARTITION BY rate_cents ORDER BY chunk ROWS UNBOUNDED PRECEDING) - n AS before
-  FROM (SELECT rate_cents, unit div {chunk_ids} AS chunk, count(*) AS n
-        FROM {units} GROUP BY rate_cents, unit div {chunk_ids})
-), counted AS (
-  SELECT rate_cents, rate_n AS n, sum(rate_n) OVER () AS total,
-         sum(rate_n) OVER (ORDER BY rate_cents ROWS UNBOUNDED PRECEDING) - rate_n AS before
-  FROM cells WHERE before = 0
-), rates AS (
-  SELECT rate_cents, n, before,
-         transform(sequence(1, {tiers} - 1),
-                   t -> t * (total div {tiers}) + least(t, total % {tiers})) AS ranks_before
-  FROM counted
-), starts AS (
-  SELECT rate_cents, rank_before - before + 1 AS place
-  FROM rates LATERAL VIEW explode(ranks_before) AS rank_before
-  WHERE rank_before > before AND rank_before < before + n
-), reached AS (
-  SELECT /*+ BROADCAST(s) */ c.rate_cents, c.chunk, s.place - c.before AS place
-  FROM cells c JOIN starts s ON c.rate_cents = s.rate_cents
-  WHERE s.place > c.before AND s.place <= c.before + c.n
-), first_units AS (
-  SELECT rate_cents, collect_list(unit) AS first_units
-  FROM (SELECT /*+ BROADCAST(r) */ r.rate_cents, r.place, u.unit,
-               row_number() OVER (PARTITION BY r.rate_cents, r.chunk, r.place
-                                  ORDER BY u.unit) AS found
-        FROM {units} u
-        JOIN reached r ON u.rate_cents = r.rate_cents AND u.unit div {chunk_ids} = r.chunk)
-  WHERE found = place
-  GROUP BY rate_cents
-), rate_tiers AS (
-  SELECT r.rate_cents, first_units,
-         1 + size(filter(ranks_before, rank -> rank <= before)) AS rate_tier
-  FROM rates r LEFT JOIN first_units f ON r.rate_cents = f.rate_cents
-)
-SELECT /*+ BROADCAST(t) */ u.*,
-       rate_tier + coalesce(size(filter(first_units, first -> first <= unit)), 0) AS tier
-FROM {units} u JOIN rate_tiers t ON u.rate_cents = t.rate_cents
-"""
-
+def tiered(units: DataFrame, tiers: int = TIERS) -> DataFrame:
+    """Units with their tier of the year, by the share of units with a lower rate.
 
-def tiered(units: DataFrame, tiers: int = TIERS, chunk_ids: int = CHUNK_IDS) -> DataFrame:
-    """``ntile`` over (base rate, unit) without sorting all units in one task."""
-    return units.sparkSession.sql(TIER_QUERY, units=units, tiers=tiers, chunk_ids=chunk_ids)
+    All units of a rate are in one tier. Units are only counted, by year and rate,
+    of which there are at most 10 001.
+    """
+    rates = units.groupBy("year", "rate_cents").agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.partitionBy("year").orderBy("rate_cents")
+    whole = Window.partitionBy("year")
+    below = (F.sum("n").over(upto) - F.col("n")) * tiers
+    tier = F.floor(below / F.sum("n").over(whole)) + 1
+    return units.join(
+        rates.select("year", "rate_cents", tier.alias("tier")), ["year", "rate_cents"]
+    )
 
 
-def goals(spark: SparkSession, folder: str, workspace: Workspace) -> DataFrame:
-    units = workspace.save(base_units(spark, folder), "base_units")
+def goals(spark: SparkSession, folder: str, cells: DataFrame) -> DataFrame:
+    units = base_units(spark, folder, cells)
     exempt = F.col("rate_cents") >= int(EXEMPT_GOAL * 100)
     tier = F.when(exempt, F.lit(EXEMPT_TIER)).otherwise(F.col("tier").cast("string"))
     ruled = apply_goal_rule(tiered(units).withColumn("tier", tier))
     return ruled.select(
-        F.lit(str(BASE_YEAR)).alias("period"),
+        F.col("year").cast("string").alias("period"),
+        (F.col("year") + 1).cast("string").alias("applies_to"),
         "region",
         "unit",
         F.lit("Supplier").alias("unit_type"),
@@ -157,31 +138,6 @@ def goals(spark: SparkSession, folder: str, workspace: Workspace) -> DataFrame:
     )
 
 
-def cell_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """Lines of the actual year per unit and category, for both measures at once.
-
-    The order side is reduced to its key and a flag before it is shuffled.
-    """
-    urgent = table(spark, folder, "orders").select(
-        "o_orderkey", F.col("o_orderpriority").startswith("1-").alias("urgent")
-    )
-    parts = table(spark, folder, "part").select("p_partkey", "p_type")
-    lines = lines_of(spark, folder, ACTUAL_YEAR).select(
-        "l_orderkey", "l_partkey", "l_suppkey", (F.col("l_returnflag") == "R").alias("returned")
-    )
-    return (
-        lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
-        .join(urgent, F.col("l_orderkey") == F.col("o_orderkey"), "left")
-        .groupBy(F.col("l_suppkey").alias("unit"), F.col("p_type").alias("category"))
-        .agg(
-            F.count("returned").alias("flagged_lines"),
-            F.count_if(~F.col("returned")).alias("kept_lines"),
-            F.count("urgent").alias("ordered_lines"),
-            F.count_if(~F.col("urgent")).alias("calm_lines"),
-        )
-    )
-
-
 def returned_share() -> Column:
     return F.try_divide("kept_lines", "flagged_lines")
 
@@ -196,7 +152,7 @@ def category_id() -> Column:
     ]
 
 
-def actuals(spark: SparkSession, folder: str) -> DataFrame:
+def actuals(cells: DataFrame) -> DataFrame:
     """Both measures from one pass; RET is a fraction, PRI is in percent."""
     measured = F.explode(
         F.array(
@@ -205,10 +161,9 @@ def actuals(spark: SparkSession, folder: str) -> DataFrame:
         )
     )
     return (
-        cell_counts(spark, folder)
-        .select("unit", "category", measured.alias("measured"))
-        .select("unit", "category", "measured.*")
-        .withColumns({"period": F.lit(str(ACTUAL_YEAR)), "category_id": category_id()})
+        cells.select("unit", "category", "year", measured.alias("measured"))
+        .select("unit", "category", "year", "measured.*")
+        .withColumns({"period": F.col("year").cast("string"), "category_id": category_id()})
         .select(*ACTUAL_COLUMNS)
     )
 
@@ -224,7 +179,7 @@ def urgent_results(cells: DataFrame) -> DataFrame:
 def one_result(cells: DataFrame, result: Column) -> DataFrame:
     """One measure's results as a table of their own."""
     return cells.select(
-        F.lit(str(ACTUAL_YEAR)).alias("period"),
+        F.col("year").cast("string").alias("period"),
         "unit",
         "category",
         category_id().alias("category_id"),
@@ -233,28 +188,37 @@ def one_result(cells: DataFrame, result: Column) -> DataFrame:
 
 
 def metric_tables(
-    spark: SparkSession, folder: str
+    spark: SparkSession, folder: str, cells: DataFrame
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Results, metrics and schools the way a relational source keeps them."""
+    """Results, metrics and schools the way a relational source keeps them.
+
+    Each category has a metric of either measure, under its own source. Cells of a
+    single line are reported as 0, and those of three or more twice.
+    """
     indicator = F.create_map(*(F.lit(x) for pair in INDICATORS.items() for x in pair))
-    results = (
-        actuals(spark, folder)
-        .filter(F.col("measure_type") == "PRI")
-        .select(
-            F.col("period").alias("AcademicYear"),
-            F.col("category").alias("MetricID"),
-            F.col("unit").alias("SchoolID"),
-            F.col("result").alias("Results"),
-        )
+    sources = F.create_map(*(F.lit(x) for pair in METRIC_SOURCES.items() for x in pair))
+    suppressed = F.when(F.col("lines") < 2, F.lit(0.0)).otherwise(calm_percent())
+    times = F.when(F.col("lines") >= 3, F.lit(2)).otherwise(F.lit(1))
+    measure = F.explode(F.array(*map(F.lit, METRIC_SOURCES)))
+    results = cells.select(
+        F.col("year").cast("string").alias("AcademicYear"),
+        F.col("unit").alias("SchoolID"),
+        suppressed.alias("Results"),
+        "category",
+        F.explode(F.array_repeat(measure_names(), times)).alias("measures"),
+    )
+    results = results.withColumn("measure", F.explode("measures")).select(
+        "AcademicYear", F.concat_ws("/", "category", "measure").alias("MetricID"), "SchoolID", "Results"
     )
     metrics = (
         table(spark, folder, "part")
+        .select("p_type", measure.alias("measure"))
+        .distinct()
         .select(
-            F.col("p_type").alias("MetricID"),
-            F.lit("Persistence").alias("Source"),
+            F.concat_ws("/", "p_type", "measure").alias("MetricID"),
+            sources[F.col("measure")].alias("Source"),
             indicator[F.col("p_type")].alias("Indicator"),
         )
-        .distinct()
     )
     schools = table(spark, folder, "supplier").select(
         F.col("s_suppkey").alias("ID"), F.col("s_name").alias("DisplayName")
@@ -262,14 +226,21 @@ def metric_tables(
     return results, metrics, schools
 
 
+def measure_names() -> Column:
+    return F.array(*map(F.lit, METRIC_SOURCES))
+
+
+def saved_cells(spark: SparkSession, folder: str, workspace: Workspace) -> DataFrame:
+    """Written: goals and results both come from it."""
+    return workspace.save(cell_counts(spark, folder), "cells")
+
+
 def star_observations(spark: SparkSession, folder: str, workspace: Workspace) -> DataFrame:
-    return observations(
-        goals(spark, folder, workspace), actuals(spark, folder), STAR_MEASURES
-    )
+    cells = saved_cells(spark, folder, workspace)
+    return observations(goals(spark, folder, cells), actuals(cells), STAR_MEASURES)
 
 
 def star_run(spark: SparkSession, folder: str) -> RubricRun:
     workspace = Workspace(spark)
-    return RubricRun(
-        goals(spark, folder, workspace), actuals(spark, folder), STAR_MEASURES, workspace
-    )
+    cells = saved_cells(spark, folder, workspace)
+    return RubricRun(goals(spark, folder, cells), actuals(cells), STAR_MEASURES, workspace)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import posixpath
 import re
 from collections.abc import Mapping, Sequence
+from fnmatch import fnmatch
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,12 +57,29 @@ COMPRESSIONS = ("gz", "bz2")
 NULL_TEXT = "NA"
 
 
+# A quote inside a quoted field is doubled. Empty text is quoted, so it differs
+# from a missing one; the text NA means null, quoted or not.
+DIALECT = {"header": True, "quote": '"', "escape": '"', "nullValue": NULL_TEXT}
+
+
 def read_csv(
-    spark: SparkSession, path: str | Sequence[str], schema: T.StructType, separator: str = ","
+    spark: SparkSession,
+    path: str | Sequence[str],
+    schema: T.StructType,
+    separator: str = ",",
+    line_breaks: bool = False,
 ) -> DataFrame:
+    """Rows of delimited files with a header; a row that doesn't fit the schema fails.
+
+    ``line_breaks`` allows them inside quoted fields. A file is then read by one
+    task, so large tables should be many files; without it, files are split and
+    a broken row is an error.
+    """
     return (
         spark.read.schema(schema)
-        .options(header=True, sep=separator, nullValue=NULL_TEXT, enforceSchema=False)
+        .options(
+            **DIALECT, sep=separator, enforceSchema=False, mode="FAILFAST", multiLine=line_breaks
+        )
         .csv(path)
     )
 
@@ -81,7 +99,16 @@ def read_goals(spark: SparkSession, path: str) -> DataFrame:
         F.col("quartile").alias("tier"),
         "growth_target",
         F.col("x22_23_persistence_goal").alias("goal"),
+    ).withColumn("applies_to", next_period(F.col("period")))
+
+
+def next_period(period: Column) -> Column:
+    """The school year after ``2021-2022``; other texts give null."""
+    first, second = (
+        F.regexp_extract(period, r"^(\d{4})-(\d{4})$", group).try_cast("int") + 1
+        for group in (1, 2)
     )
+    return F.concat(first.cast("string"), F.lit("-"), second.cast("string"))
 
 
 def read_actuals(spark: SparkSession, path: str, measure: Measure) -> DataFrame:
@@ -103,8 +130,13 @@ def school_actuals(results: DataFrame, measure: Measure) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, separator: str = ",", compression: str = "none") -> None:
+    """As ``read_csv`` reads it; blanks at either end of a text are kept."""
     df.write.options(
-        header=True, sep=separator, nullValue=NULL_TEXT, emptyValue="", compression=compression
+        **DIALECT,
+        sep=separator,
+        compression=compression,
+        ignoreLeadingWhiteSpace=False,
+        ignoreTrailingWhiteSpace=False,
     ).csv(path)
 
 
@@ -113,17 +145,20 @@ def load_folder(
     folder: str,
     schemas: Mapping[str, T.StructType] | None = None,
     infer_types: bool = True,
+    ignore: Sequence[str] = (),
+    line_breaks: bool = False,
 ) -> dict[str, DataFrame]:
     """Every delimited dataset in a folder, by its cleaned name.
 
     A dataset is a file, or a directory of part files, whose name ends in a
     known extension and, optionally, a compression. A schema under the cleaned
-    name spares the pass that guesses types.
+    name spares the pass that guesses types. Entries whose name matches a pattern
+    in ``ignore`` (as file name patterns) are left out.
     """
     tables = {}
     for name in list_names(spark, folder):
         stem, extension = split_name(name)
-        if extension is None:
+        if extension is None or any(fnmatch(name, pattern) for pattern in ignore):
             continue
         [table] = snake_case([stem])
         schema = (schemas or {}).get(table)
@@ -132,10 +167,14 @@ def load_folder(
         if separator is None:
             tables[table] = read_whitespace(spark, path, schema)
         elif schema is not None:
-            tables[table] = read_csv(spark, path, schema, separator)
+            tables[table] = read_csv(spark, path, schema, separator, line_breaks)
         else:
             tables[table] = spark.read.options(
-                header=True, sep=separator, nullValue=NULL_TEXT, inferSchema=infer_types
+                **DIALECT,
+                sep=separator,
+                inferSchema=infer_types,
+                mode="FAILFAST",
+                multiLine=line_breaks,
             ).csv(path)
     return tables
 

@@ -23,7 +23,7 @@ from bandwright.operators.observe import (
     observations,
     tag_measure,
 )
-from bandwright.operators.score import match_groups, scored_rows, split_by_grain
+from bandwright.operators.score import match_groups, scored_rows
 from bandwright.operators.summary import band_summary
 from bandwright.sources.relational import category_results
 
@@ -46,12 +46,16 @@ def goals_of(spark, rows):
 def seen_of(spark, rows):
     """Observations from (region, unit, category, value, goal)."""
     full = [
-        ("2022", "FDOP", r, u, c, 1, v, g, None if v is None else int(v >= g))
+        ("2022", "FDOP", r, u, c, 1, v, g, None if v is None or g is None else int(v >= g))
         for r, u, c, v, g in rows
     ]
     return spark.createDataFrame(full, SEEN)
 
 
+def split_by_grain(thresholds):
+    return {grain.id: thresholds.filter(F.col("grain_id") == grain.id) for grain in GRAINS}
+
+
 def test_floor_trim_and_exclusion_are_per_measure(spark):
     goals = goals_of(spark, [("R", "A", 80.0), ("R", "lonely", 70.0)])
     actuals = spark.createDataFrame(
@@ -64,6 +68,8 @@ def test_floor_trim_and_exclusion_are_per_measure(spark):
             ("2022", "LDOS", "A", "?", None, 50.0),
             ("2022", "LDOS", "A", "2", 2, 49.999),
             ("2022", "LDOS", "A", "3", 3, None),
+            ("2022", "LDOS", "A", "4", 4, float("nan")),
+            ("2022", "FDOP", "A", "5", 5, float("nan")),
             ("2022", "LDOS", "ghost", "3", 3, 90.0),
         ],
         ACTUALS,
@@ -79,6 +85,36 @@ def test_floor_trim_and_exclusion_are_per_measure(spark):
     assert [r.unit for r in actuals_without_goals(goals, actuals).collect()] == ["ghost"]
 
 
+def test_goals_meet_results_of_their_own_period_and_null_keys_match(spark):
+    goals = spark.createDataFrame(
+        [
+            ("R", "A", "2022", 60.0),
+            ("R", "A", "2023", 95.0),
+            ("R", None, "2022", 70.0),
+            ("R", "late", "2024", 70.0),
+        ],
+        "region string, unit string, applies_to string, goal double",
+    )
+    actuals = spark.createDataFrame(
+        [
+            ("2022", "LDOS", "A", "1", 1, 80.0),
+            ("2023", "LDOS", "A", "1", 1, 80.0),
+            ("2021", "LDOS", "A", "1", 1, 80.0),
+            ("2022", "LDOS", None, "1", 1, 80.0),
+            ("2022", "LDOS", "late", "1", 1, 80.0),
+        ],
+        ACTUALS,
+    )
+    seen = observations(goals, actuals, [LAST]).collect()
+    assert sorted(((r.unit, r.period, r.goal, r.met_goal) for r in seen), key=str) == sorted(
+        [("A", "2022", 60.0, 1), ("A", "2023", 95.0, 0), (None, "2022", 70.0, 1)], key=str
+    )
+    left = goals_without_actuals(goals, actuals).collect()
+    assert [(r.unit, r.applies_to) for r in left] == [("late", "2024")]
+    over = actuals_without_goals(goals, actuals).collect()
+    assert sorted((r.unit, r.period) for r in over) == [("A", "2021"), ("late", "2022")]
+
+
 def test_measures_are_stacked(spark):
     raw = spark.createDataFrame(
         [("2022", "A", "1", 1, 0.7)],
@@ -123,11 +159,11 @@ def test_single_row_group_is_scored_null_and_not_summarised(spark):
     single = thresholds.filter("region = 'S' AND unit = 'B'").first()
     assert (single.sd, single.level_2, single.level_4, single.level_5) == (None,) * 4
     assert single.level_3 == 75.0
-    matched = match_groups(seen, split_by_grain(thresholds), ("count", *(f"level_{i}" for i in range(1, 6))))
+    matched = match_groups(seen, split_by_grain(thresholds))
     scored = scored_rows(matched).filter(F.col("grain") == GRAINS[0].label)
     assert {r.unit: r.level for r in scored.collect() if r.unit == "B"} == {"B": None}
     assert scored.count() == 3
-    units = band_summary(matched, "levels").filter("unit IS NOT NULL")
+    units = band_summary(matched, thresholds, "levels").filter("unit IS NOT NULL")
     assert [r.unit for r in units.collect()] == ["A"]
 
 
@@ -170,8 +206,8 @@ def test_mean_model_bands_overlap_and_are_flagged(spark):
     thresholds = mean_sd_thresholds(basic_stats(seen))
     unit = thresholds.filter("unit IS NOT NULL").first()
     assert unit.level_4 < unit.level_3 and unit.monotone is False
-    matched = match_groups(seen, split_by_grain(thresholds), ("count", *(f"level_{i}" for i in range(1, 6))))
-    summary = band_summary(matched, "levels").filter("unit IS NOT NULL").first()
+    matched = match_groups(seen, split_by_grain(thresholds))
+    summary = band_summary(matched, thresholds, "levels").filter("unit IS NOT NULL").first()
     assert sum(summary[f"count_level_{b}"] for b in range(1, 6)) > summary["count"]
     top = scored_rows(matched).filter("value = 88").filter(F.col("grain") == GRAINS[0].label)
     # 88 is in band 2 and in band 5; the level is the first.
@@ -183,8 +219,8 @@ def test_bands_partition_every_group_of_the_goal_model(spark):
     values = [("R" if i % 3 else "S", f"U{i % 5}", str(i % 4), 50.0 + i * 7 % 50, 75.0 + i % 5) for i in range(90)]
     seen = seen_of(spark, values)
     thresholds = goal_sd_thresholds(basic_stats(seen))
-    matched = match_groups(seen, split_by_grain(thresholds), ("count", *(f"level_{i}" for i in range(1, 6))))
-    for row in band_summary(matched, "levels").collect():
+    matched = match_groups(seen, split_by_grain(thresholds))
+    for row in band_summary(matched, thresholds, "levels").collect():
         assert sum(row[f"count_level_{b}"] for b in range(1, 6)) == row["count"]
         assert sum(row[f"percent_level_{b}"] for b in range(1, 6)) == pytest.approx(1.0)
         assert row.level_2 <= row.level_3 <= row.level_4 <= row.level_5

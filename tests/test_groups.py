@@ -4,16 +4,17 @@ import random
 import statistics
 from itertools import combinations
 
+import numpy as np
 import pytest
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from bandwright.config import GRAINS
-from bandwright.operators.clusters import best_centres, cluster_centres
-from bandwright.operators.grains import basic_stats, stack
-from bandwright.operators.medians import approximate_median, located_median, median_by_grain
+from bandwright.operators.clusters import cluster_centres, split_runs
+from bandwright.operators.grains import value_counts
+from bandwright.operators.medians import approximate_median, exact_median
 from bandwright.operators.models import above_goal_summary, below_goal_summary, kmeans_thresholds
 from bandwright.registry.star import tiered
+from bandwright.sources.workspace import Workspace
 from test_edges import seen_of
 
 UNIT_GRAIN, REGION_CATEGORY, CATEGORY, REGION, ALL = GRAINS
@@ -53,36 +54,25 @@ def expected_by_group(rows, function):
     return {key: function(values) for key, values in groups.items()}
 
 
-def located(seen, grains, **options):
-    return stack(located_median(seen, grain, **options) for grain in grains)
-
-
-@pytest.mark.parametrize("options", [{}, {"few": True}, {"scales": (0.01,)}])
-def test_located_median_agrees_with_brute_force(skewed, options):
+@pytest.mark.parametrize("scales", [(1e2, 1e6), (1e2,), (0.01,)])
+def test_median_agrees_with_brute_force(skewed, scales):
     rows, seen = skewed
     expected = expected_by_group(rows, statistics.median)
-    found = by_group(located(seen, GRAINS, **options), "median")
+    found = by_group(exact_median(value_counts(seen), scales), "median")
     assert found == pytest.approx(expected, abs=1e-12)
 
 
-# From all groups small, over the hot unit and all coarse groups large, to all large.
-@pytest.mark.parametrize("buffer_rows", [10**9, 500, 100, 0])
-def test_median_route_depends_on_the_group(skewed, buffer_rows):
-    rows, seen = skewed
-    expected = expected_by_group(rows, statistics.median)
-    medians = median_by_grain(seen, basic_stats(seen), buffer_rows=buffer_rows)
-    assert medians.count() == len(expected)
-    assert by_group(medians, "median") == pytest.approx(expected, abs=1e-12)
-
-
-def test_small_medians(spark):
+def test_small_medians_ties_and_signed_zeros(spark):
     seen = seen_of(
         spark,
         [("R", "A", str(i), v, 1.0) for i, v in enumerate((1.0, 2.0, 3.0, 10.0))]
-        + [("R", "B", "1", 7.0, 1.0)],
+        + [("R", "B", "1", 7.0, 1.0)]
+        + [("R", "C", str(i), v, None) for i, v in enumerate((-0.0, 0.0, 0.0, 4.0))]
+        + [("R", "D", str(i), 5.0, 1.0) for i in range(4)],
     )
-    found = by_group(located_median(seen, UNIT_GRAIN), "median")
-    assert found == {(1, "R", "A", None): 2.5, (1, "R", "B", None): 7.0}
+    found = by_group(exact_median(value_counts(seen)), "median")
+    units = {key[2]: value for key, value in found.items() if key[0] == UNIT_GRAIN.id}
+    assert units == {"A": 2.5, "B": 7.0, "C": 0.0, "D": 5.0}
 
 
 def test_approximate_median_is_close(skewed):
@@ -94,8 +84,8 @@ def test_approximate_median_is_close(skewed):
 
 
 def brute_centres(values, k):
-    """Least-squares split of sorted grid points into k runs; first split on ties."""
-    points = sorted(round(v * 100) for v in values)
+    """Least-squares split of the sorted raw values into k runs; first split on ties."""
+    points = sorted(values)
     distinct = sorted(set(points))
     if len(distinct) < k or len(points) <= k:
         return None
@@ -107,51 +97,85 @@ def brute_centres(values, k):
             for a, b in zip(edges, edges[1:])
         ]
         cost = sum(sum((p - sum(r) / len(r)) ** 2 for p in r) for r in runs)
-        if best is None or cost < best[0] - 1e-6:
-            best = cost, [sum(r) / len(r) / 100 for r in runs]
+        if best is None or cost < best[0] * (1 - 1e-6):
+            best = cost, [sum(r) / len(r) for r in runs]
     return best[1]
 
 
-@pytest.mark.parametrize("k", [2, 3])
-def test_centres_agree_with_brute_force(spark, k):
-    draw = random.Random(k)
-    samples = {
-        f"U{n}": [round(draw.uniform(50, 100), draw.choice([0, 1, 2])) for _ in range(n)]
+@pytest.fixture
+def clustered(spark, tmp_path):
+    workspace = Workspace(spark, str(tmp_path))
+    return lambda seen: cluster_centres(value_counts(seen), workspace.save)
+
+
+SAMPLES = {
+    "same": [75.0] * 9,
+    "two": [60.0, 60.0, 90.0],
+    "tie": [60.0, 70.0, 80.0],
+    "one step": [81.001, 81.002, 81.003, 81.004],
+    "thirds": [66.667, 66.667, 71.429, 71.429, 85.714],
+    "beside a cut": [70.001, 70.002, 70.0045, 70.0049, 70.006, 70.009, 70.0051],
+    "hair": [80 + k * 1e-7 for k in range(12)],
+    "two steps": [60.0041, 60.0042, 60.0051, 60.0052, 60.0053, 99.0],
+}
+
+
+@pytest.mark.parametrize("side", ["below", "above"])
+def test_centres_agree_with_brute_force(spark, clustered, side):
+    draw = random.Random(side)
+    samples = SAMPLES | {
+        f"U{n}": [round(draw.uniform(50, 100), draw.choice([0, 1, 2, 9])) for _ in range(n)]
         for n in range(1, 18)
     }
-    samples |= {"same": [75.0] * 9, "two": [60.0, 60.0, 90.0], "tie": [60.0, 70.0, 80.0]}
-    rows = [("R", u, str(i), v, 80.0) for u, vs in samples.items() for i, v in enumerate(vs)]
-    found = {
-        r.unit: r.centres
-        for r in cluster_centres(seen_of(spark, rows), k, [UNIT_GRAIN]).collect()
-    }
+    samples |= {f"near {n}": [80 + draw.random() * 0.03 for _ in range(n)] for n in range(4, 20, 3)}
+    goal, k = (100.5, 2) if side == "below" else (0.0, 3)
+    rows = [("R", u, str(i), v, goal) for u, vs in samples.items() for i, v in enumerate(vs)]
+    halves = clustered(seen_of(spark, rows)).filter(F.col("grain_id") == UNIT_GRAIN.id)
+    found = {(r.unit, r.side): r.centres for r in halves.collect()}
     for unit, values in samples.items():
         expected = brute_centres(values, k)
         if expected is None:
-            assert found[unit] is None, unit
+            assert found[unit, side] is None, unit
         else:
-            assert found[unit] == pytest.approx(expected), unit
+            assert found[unit, side] == pytest.approx(expected, abs=1e-9), unit
 
 
-def test_centres_on_the_full_grid(spark):
-    """The largest group a task can see: every grid point, with heavy counts."""
-    points = spark.range(0, 10_001).select(
-        F.col("id").alias("point"), (F.lit(10**9) + F.col("id") % 7).alias("n")
-    )
-    arrays = points.agg(
-        F.array_sort(F.collect_list(F.struct("point", "n"))).alias("points")
-    )
-    [row] = arrays.select(
-        best_centres(3)(F.col("points.point"), F.col("points.n")).alias("c")
-    ).collect()
-    assert row.c == pytest.approx([100 / 6, 50.0, 500 / 6], abs=0.01)
+def test_runs_are_split_as_by_trying_all(spark):
+    draw = random.Random(4)
+    for _ in range(300):
+        points = sorted(draw.sample(range(60), draw.randint(3, 9)))
+        n = [draw.randint(1, 5) for _ in points]
+        for k in (2, 3):
+            edges = split_runs(np.array(n, float), np.array(points, float) * n, k)
+            values = [p for p, times in zip(points, n) for _ in range(times)]
+            means = [
+                sum(p * m for p, m in zip(points[a:b], n[a:b])) / sum(n[a:b])
+                for a, b in zip(edges, edges[1:])
+            ]
+            expected = brute_centres([float(v) for v in values], k)
+            if expected is not None:
+                assert means == pytest.approx(expected)
+
+
+def test_large_groups_are_cut_fast():
+    """As many bins as a task can see, with heavy counts."""
+    n = np.full(40_000, 1e9) + np.arange(40_000) % 7
+    edges = split_runs(n, n * np.arange(40_000), 3)
+    assert edges[1] == pytest.approx(40_000 / 3, abs=3) and edges[2] == pytest.approx(80_000 / 3, abs=3)
+
+
+def test_values_beyond_percent_are_refused(spark, clustered):
+    seen = seen_of(spark, [("R", "A", str(i), v, 80.0) for i, v in enumerate((85.0, 90.0, 101.0, 95.0))])
+    with pytest.raises(Exception, match="not a percentage"):
+        clustered(seen).collect()
 
 
-def test_kmeans_drops_incomplete_groups(spark):
+def test_kmeans_drops_incomplete_groups(spark, clustered):
     rows = [("R", "A", str(i), v, 80.0) for i, v in enumerate((55.0, 56.0, 70.0, 81.0, 85.0, 90.0, 99.0))]
     rows += [("S", "B", str(i), v, 80.0) for i, v in enumerate((55.0, 56.0, 70.0))]
     seen = seen_of(spark, rows)
-    thresholds = kmeans_thresholds(below_goal_summary(seen), above_goal_summary(seen))
+    halves = clustered(seen)
+    thresholds = kmeans_thresholds(below_goal_summary(halves), above_goal_summary(halves))
     units = thresholds.filter(F.col("grain_id") == UNIT_GRAIN.id).collect()
     assert [(r.unit, r["count"]) for r in units] == [("A", 7)]
     [unit] = units
@@ -160,14 +184,15 @@ def test_kmeans_drops_incomplete_groups(spark):
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 97, 400])
-def test_tiers_equal_ntile(spark, n):
+def test_tiers_by_the_share_of_lower_rates(spark, n):
     draw = random.Random(n)
-    ids = draw.sample(range(10 * n), n)
-    # A third of the units share one base rate.
-    rows = [(u, 6667 if i % 3 == 0 else draw.randint(6500, 6800)) for i, u in enumerate(ids)]
-    units = spark.createDataFrame(rows, "unit bigint, rate_cents int")
-    expected = units.withColumn("expected", F.ntile(4).over(Window.orderBy("rate_cents", "unit")))
-    found = tiered(units, chunk_ids=7)
-    joined = found.join(expected.select("unit", "expected"), "unit")
-    assert joined.count() == n
-    assert joined.filter("tier <> expected").count() == 0
+    # Text ids; a third of the units of a year share one base rate.
+    rows = [
+        (f"unit {u}", 1990 + i % 2, 6667 if i % 3 == 0 else draw.randint(6500, 6800))
+        for i, u in enumerate(draw.sample(range(10**12), n))
+    ]
+    units = spark.createDataFrame(rows, "unit string, year int, rate_cents int")
+    found = {r.unit: r.tier for r in tiered(units).collect()}
+    for unit, year, rate in rows:
+        rates = [r for _, y, r in rows if y == year]
+        assert found[unit] == 1 + 4 * sum(r < rate for r in rates) // len(rates)
