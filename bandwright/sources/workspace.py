@@ -9,21 +9,26 @@ side may be broadcast.
 from __future__ import annotations
 
 import posixpath
-import tempfile
 import uuid
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+WAREHOUSE_DIR = "spark.sql.warehouse.dir"
 
 
 class Workspace:
-    """A fresh folder of Parquet tables below the shared checkpoint folder."""
+    """A fresh folder of Parquet tables below the shared checkpoint folder.
+
+    Results that read its tables are lazy, so it stays as long as the application
+    unless it is removed; it goes when the application ends.
+    """
 
     def __init__(self, spark: SparkSession, root: str | None = None):
         self.spark = spark
         self.root = posixpath.join(root or shared_folder(spark), f"bandwright-{uuid.uuid4().hex}")
+        self.leaves_at_exit = False
 
     def path(self, name: str) -> str:
         return posixpath.join(self.root, name)
@@ -31,6 +36,9 @@ class Workspace:
     def save(self, df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
         """Write ``df`` and return it as read back, with the same columns."""
         df.write.partitionBy(*partition_by).parquet(self.path(name))
+        if not self.leaves_at_exit:
+            location, system = self.located(self.root)
+            self.leaves_at_exit = system.deleteOnExit(location)
         return self.load(name, df)
 
     def load(self, name: str, like: DataFrame) -> DataFrame:
@@ -55,21 +63,21 @@ class Workspace:
                 found[value] = like.limit(0)
         return found
 
-    def exists(self, path: str) -> bool:
+    def located(self, path: str):
+        """A path and the file system that holds it, as the cluster knows them."""
         location = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return location.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(location)
+        return location, location.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def exists(self, path: str) -> bool:
+        location, system = self.located(path)
+        return system.exists(location)
 
     def remove(self) -> None:
         """Delete the folder once nothing reads its tables any more."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        location, system = self.located(self.root)
+        system.delete(location, True)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only in local mode."""
-    folder = spark.conf.get(CHECKPOINT_DIR, None)
-    if folder:
-        return folder
-    if not spark.conf.get("spark.master", "").startswith("local"):
-        raise ValueError(f"set {CHECKPOINT_DIR} to a folder every executor can reach")
-    return tempfile.mkdtemp(prefix="bandwright-")
+    """The cluster's checkpoint folder, or else its warehouse, which is shared as well."""
+    return spark.conf.get(CHECKPOINT_DIR, None) or spark.conf.get(WAREHOUSE_DIR)

@@ -223,6 +223,7 @@ def test_workspace_uses_the_shared_folder(spark, tmp_path):
     saved = workspace.save(spark.range(10).withColumn("part", F.col("id") % 2), "t", ["part"])
     assert saved.columns == ["id", "part"]
     assert saved.filter("part = 1").count() == 5
+    assert workspace.leaves_at_exit
     workspace.remove()
     assert list(tmp_path.iterdir()) == []
 
@@ -234,11 +235,81 @@ class Settings:
         self.conf = {f"spark.{name.replace('_', '.')}": text for name, text in settings.items()}
 
 
-def test_shared_folder_is_local_only_in_local_mode():
+def test_shared_folder_is_never_a_local_temporary_one():
     assert shared_folder(Settings(checkpoint_dir="hdfs:///c", master="yarn")) == "hdfs:///c"
-    assert "bandwright-" in shared_folder(Settings(master="local[2]"))
-    with pytest.raises(ValueError):
-        shared_folder(Settings(master="yarn"))
+    assert shared_folder(Settings(sql_warehouse_dir="hdfs:///w")) == "hdfs:///w"
+
+
+TEXTS = [
+    'The ""Best"", Academy',
+    '"quoted"',
+    "line1\nline2",
+    "cr\rlf\r\nend",
+    " pad ",
+    "",
+    None,
+    "a,b;c\td",
+    "\\ back\\slash \\",
+    "'single'",
+    " ",
+    "#x",
+]
+
+
+@pytest.mark.parametrize("separator", [",", ";", "\t"])
+def test_any_text_comes_back(spark, tmp_path, separator):
+    rows = [(i, text, 0.5) for i, text in enumerate(TEXTS)]
+    table = spark.createDataFrame(rows, "id int, text string, share double").coalesce(1)
+    path = str(tmp_path / "texts")
+    delimited.write_csv(table, path, separator)
+    found = delimited.read_csv(spark, path, table.schema, separator, line_breaks=True)
+    assert sorted(map(tuple, found.collect())) == rows
+
+
+def test_marts_keep_odd_names(spark, built, tmp_path):
+    odd = {
+        name: mart.withColumn("region", F.lit('A "B", C\n D '))
+        for name, mart in built.items()
+        if "region" in mart.columns
+    }
+    marts.write_marts(odd, str(tmp_path), "csv")
+    saved = marts.read_marts(spark, str(tmp_path), odd, "csv")
+    for name, mart in odd.items():
+        assert saved[name].exceptAll(marts.published(mart)).count() == 0
+        assert saved[name].count() == mart.count()
+
+
+SCORES = T.StructType(
+    [T.StructField("name", T.StringType()), T.StructField("score", T.DoubleType())]
+)
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["name,score\nA,n/a\n", "name,score\nA\n", "name,score\nA,1,2\n", 'name,score\n"A\nB",1\n'],
+)
+def test_rows_that_do_not_fit_fail(spark, tmp_path, text):
+    (tmp_path / "bad.csv").write_text(text)
+    with pytest.raises(Exception):
+        delimited.read_csv(spark, str(tmp_path / "bad.csv"), SCORES).collect()
+
+
+def test_quoted_fields_do_not_shift_the_row(spark, tmp_path):
+    (tmp_path / "quoted.csv").write_text('name,score\n"The ""Best"", Academy",NA\n"",2\n,3\n')
+    rows = delimited.read_csv(spark, str(tmp_path / "quoted.csv"), SCORES).collect()
+    assert [tuple(r) for r in rows] == [('The "Best", Academy', None), ("", 2.0), (None, 3.0)]
+
+
+def test_ignored_entries_are_left_out(spark, tmp_path):
+    for name in ("keep.csv", "skip_me.csv", "old.tsv"):
+        (tmp_path / name).write_text("id\n1\n")
+    assert set(delimited.load_folder(spark, str(tmp_path), ignore=["skip*", "*.tsv"])) == {"keep"}
+
+
+def test_next_period(spark):
+    rows = spark.createDataFrame([("2021-2022",), ("1996",), (None,)], "p string")
+    found = [r[0] for r in rows.select(delimited.next_period(F.col("p"))).collect()]
+    assert found == ["2022-2023", None, None]
 
 
 def test_duplicate_headers_stay_apart(spark):
