@@ -438,9 +438,9 @@ def oracle_sql() -> dict[str, str]:
         + f"""
             , results AS (
               SELECT CAST(year AS VARCHAR) AS academic_year, unit, category, source,
-                     CASE WHEN lines < 2 THEN 0 ELSE calm / nullif(ordered, 0) * 100 END AS result
+                     CASE WHEN lines < 10 THEN 0 ELSE calm / nullif(ordered, 0) * 100 END AS result
               FROM cells, (VALUES ('Persistence'), ('Attendance')) v(source),
-                   range(CASE WHEN lines >= 3 THEN 2 ELSE 1 END))
+                   range(CASE WHEN lines >= 20 THEN 2 ELSE 1 END))
             SELECT DISTINCT academic_year, s_name AS campus,
                    replace(indicator, 'Persistence ', '') AS grade,
                    CAST(replace(replace(replace(indicator, 'Persistence ', ''), 'PK', '-1'),

@@ -51,16 +51,12 @@ def with_grain(df: DataFrame) -> DataFrame:
     return rounded(df.withColumn("grain", grain_label()).drop("grain_id"))
 
 
-def cells_of(spark: SparkSession, folder: str) -> DataFrame:
-    return star.saved_cells(spark, folder, Workspace(spark))
-
-
 def observations(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(star.star_observations(spark, folder, Workspace(spark)))
+    return rounded(star.star_observations(spark, folder))
 
 
 def measure_union(spark: SparkSession, folder: str) -> DataFrame:
-    cells = cells_of(spark, folder)
+    cells = star.cell_counts(spark, folder)
     returned, urgent = star.STAR_MEASURES
     return rounded(
         stack(
@@ -73,13 +69,13 @@ def measure_union(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def coverage_goals_only(spark: SparkSession, folder: str) -> DataFrame:
-    cells = cells_of(spark, folder)
+    cells = star.cell_counts(spark, folder)
     missing = goals_without_actuals(star.goals(spark, folder, cells), star.actuals(cells))
     return rounded(missing.select("period", "region", "unit", "goal"))
 
 
 def coverage_actuals_only(spark: SparkSession, folder: str) -> DataFrame:
-    cells = cells_of(spark, folder)
+    cells = star.cell_counts(spark, folder)
     return rounded(actuals_without_goals(star.goals(spark, folder, cells), star.actuals(cells)))
 
 
@@ -101,7 +97,7 @@ def trimmed_category(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def goal_rule(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(star.goals(spark, folder, cells_of(spark, folder)))
+    return rounded(star.goals(spark, folder, star.cell_counts(spark, folder)))
 
 
 def grain_stats(spark: SparkSession, folder: str) -> DataFrame:
@@ -187,7 +183,7 @@ def choice_lists(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def source_join(spark: SparkSession, folder: str) -> DataFrame:
-    results, metrics, schools = star.metric_tables(spark, folder, cells_of(spark, folder))
+    results, metrics, schools = star.metric_tables(spark, folder, star.cell_counts(spark, folder))
     found = relational.category_results(results, metrics, schools, SOURCE_YEAR)
     return relational.in_report_order(rounded(found))
 

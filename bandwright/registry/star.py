@@ -44,6 +44,8 @@ INDICATORS = {
     "SMALL": "Persistence 3",
     "STANDARD": "All Persistence",
 }
+# Lines of a cell below which the relational tables report 0.
+FEW_LINES = 10
 # Source of each measure's metrics in the relational tables.
 METRIC_SOURCES = {"PRI": "Persistence", "RET": "Attendance"}
 
@@ -192,13 +194,13 @@ def metric_tables(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Results, metrics and schools the way a relational source keeps them.
 
-    Each category has a metric of either measure, under its own source. Cells of a
-    single line are reported as 0, and those of three or more twice.
+    Each category has a metric of either measure, under its own source. Cells of
+    few lines are reported as 0, and those of many twice.
     """
     indicator = F.create_map(*(F.lit(x) for pair in INDICATORS.items() for x in pair))
     sources = F.create_map(*(F.lit(x) for pair in METRIC_SOURCES.items() for x in pair))
-    suppressed = F.when(F.col("lines") < 2, F.lit(0.0)).otherwise(calm_percent())
-    times = F.when(F.col("lines") >= 3, F.lit(2)).otherwise(F.lit(1))
+    suppressed = F.when(F.col("lines") < FEW_LINES, F.lit(0.0)).otherwise(calm_percent())
+    times = F.when(F.col("lines") >= 2 * FEW_LINES, F.lit(2)).otherwise(F.lit(1))
     measure = F.explode(F.array(*map(F.lit, METRIC_SOURCES)))
     results = cells.select(
         F.col("year").cast("string").alias("AcademicYear"),
@@ -230,17 +232,14 @@ def measure_names() -> Column:
     return F.array(*map(F.lit, METRIC_SOURCES))
 
 
-def saved_cells(spark: SparkSession, folder: str, workspace: Workspace) -> DataFrame:
-    """Written: goals and results both come from it."""
-    return workspace.save(cell_counts(spark, folder), "cells")
-
-
-def star_observations(spark: SparkSession, folder: str, workspace: Workspace) -> DataFrame:
-    cells = saved_cells(spark, folder, workspace)
+def star_observations(spark: SparkSession, folder: str) -> DataFrame:
+    cells = cell_counts(spark, folder)
     return observations(goals(spark, folder, cells), actuals(cells), STAR_MEASURES)
 
 
 def star_run(spark: SparkSession, folder: str) -> RubricRun:
-    workspace = Workspace(spark)
-    cells = saved_cells(spark, folder, workspace)
-    return RubricRun(goals(spark, folder, cells), actuals(cells), STAR_MEASURES, workspace)
+    """Observations are written once; the shuffle of the cells is reused within that."""
+    cells = cell_counts(spark, folder)
+    return RubricRun(
+        goals(spark, folder, cells), actuals(cells), STAR_MEASURES, Workspace(spark)
+    )

@@ -24,7 +24,7 @@ def test_no_check_compares_nothing(star_folder, name):
 def test_source_join_meets_what_it_leaves_out(spark, star_folder):
     """Without any one of its four conditions the relational query gives more."""
     folder = star_folder("0.01")
-    cells = queries.cells_of(spark, folder)
+    cells = star.cell_counts(spark, folder)
     results, metrics, _ = star.metric_tables(spark, folder, cells)
     joined = results.join(metrics, "MetricID")
     year, source = joined["AcademicYear"] == queries.SOURCE_YEAR, joined["Source"] == "Persistence"

@@ -58,7 +58,7 @@ def test_star_rollup(spark, star_folder):
 
 def test_larger_star_observations(spark, star_folder):
     folder = star_folder("0.1")
-    seen = star.star_observations(spark, folder, Workspace(spark))
+    seen = star.star_observations(spark, folder)
     counts = {r.measure_type: r["count"] for r in seen.groupBy("measure_type").count().collect()}
     assert counts == {"PRI": 32864, "RET": 25456}
 
