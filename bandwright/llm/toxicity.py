@@ -27,10 +27,11 @@ from bandwright.llm.quality import labelled_sample
 
 # Labelled rows to learn from, at most.
 SAMPLE_ROWS = 12_000
-# Marks in the linear model, at most, and texts of the sample that must hold one.
-MARKS, SUPPORT = 8_192, 4
+# Marks in the linear model, at most, and toxic texts of the sample that must hold
+# one: a share of them, and so many at least. Copies of a text hold the same words.
+MARKS, SUPPORT, SUPPORT_SHARE = 8_192, 3, 0.01
 # A mark's odds of a toxic text over the sample's, at least, for a lexicon voter.
-ODDS = 8.0
+ODDS = 50.0
 # Word beginnings, in bytes, that may be marks besides whole words.
 BEGINNINGS = (4, 5, 6)
 LEXICONS = 24
@@ -121,13 +122,14 @@ def mined_marks(sample: DataFrame) -> pd.DataFrame:
             )
 
     sizes = sample.agg(F.count_if(F.col("label") == 1), F.count_if(F.col("label") != 1)).first()
+    support = max(SUPPORT, SUPPORT_SHARE * sizes[0])
     odds = ((F.col("toxic") + 0.25) / (sizes[0] + 1)) / ((F.col("clean") + 0.25) / (sizes[1] + 1))
     return (
         sample.mapInArrow(count, "mark bigint, toxic bigint, clean bigint")
         .groupBy("mark")
         .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
         .withColumn("odds", odds)
-        .filter((F.col("toxic") >= SUPPORT) & (F.col("odds") >= ODDS))
+        .filter((F.col("toxic") >= support) & (F.col("odds") >= ODDS))
         .orderBy(F.desc("odds"), "mark")
         .limit(MARKS)
         .toPandas()
