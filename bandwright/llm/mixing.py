@@ -182,11 +182,12 @@ def assign(documents: DataFrame) -> DataFrame:
     )
 
 
-def curriculum(documents: DataFrame) -> DataFrame:
+def curriculum(documents: DataFrame, position: str | None = "position") -> DataFrame:
     """The documents' rows as often as they are taken, range-sorted by position.
 
-    A document that is not taken is absent. Ids must tell rows apart here: rows
-    that repeat an id are taken as often as each of them is.
+    ``position`` names the column for it, null leaves it out. A document that is not
+    taken is absent. Rows that share an id, source and size are taken as often as
+    any of them is.
     """
     places = (
         assign(documents)
@@ -199,15 +200,17 @@ def curriculum(documents: DataFrame) -> DataFrame:
             F.explode("positions").alias("position"),
         )
     )
-    columns = documents.columns
-    return (
-        documents.withColumn("_size", n_words(F.col("text")))
-        .join(
-            places,
-            F.col("doc_id").eqNullSafe(F.col("of_doc"))
-            & F.col("source").eqNullSafe(F.col("of_source"))
-            & (F.col("_size") == F.col("of_size")),
-        )
-        .orderBy("position", "doc_id")
-        .select(*columns, "position")
+    rows = documents.select(
+        F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"),
+        "doc_id",
+        "source",
+        n_words(F.col("text")).alias("size"),
     )
+    placed = rows.join(
+        places,
+        F.col("doc_id").eqNullSafe(F.col("of_doc"))
+        & F.col("source").eqNullSafe(F.col("of_source"))
+        & (F.col("size") == F.col("of_size")),
+    ).orderBy("position", "doc_id")
+    columns = [F.col(f"row.`{c}`").alias(c) for c in documents.columns if c != position]
+    return placed.select(*columns, *([F.col("position").alias(position)] if position else []))

@@ -21,6 +21,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from bandwright.llm import texts as T
 from bandwright.llm.quality import labelled_sample
@@ -252,6 +253,8 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> M
 def scored(documents: DataFrame, model: Model) -> DataFrame:
     """Every document with ``held_out``, ``score`` and ``predicted``, one row per input row.
 
+    Columns of these names in the input are replaced.
+
     A null or empty text gets the score of a text without marks. A null id is
     not held out. Without usable labels every score is near 0.
     """
@@ -262,10 +265,9 @@ def scored(documents: DataFrame, model: Model) -> DataFrame:
             arrays = [*batch.columns, pa.array(model.score(batch.column("text")))]
             yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names, "score"])
 
-    fields = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in kept)
+    rows = documents.select(*kept)
     return (
-        documents.select(*kept)
-        .mapInArrow(score, f"{fields}, score double")
+        rows.mapInArrow(score, StructType([*rows.schema, StructField("score", DoubleType())]))
         .withColumn("held_out", held_out(F.col("doc_id")))
         .withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
     )

@@ -59,3 +59,21 @@ def test_pipeline_without_documents(spark, star_folder, tmp_path):
         read = spark.read.parquet(f"{star_folder('0.001')}/{name}.parquet")
         read.limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_with_nulls_odd_texts_and_clashing_columns(spark, star_folder):
+    folder = star_folder("0.01")
+    names = "score predicted held_out position size row item key removed line length".split()
+    fields = "doc_id long, text string, lang string, source string, n_chars long, "
+    line = "a line of a document that is long enough to be compared with others"
+    texts = [None, "", " ", "\n\n", line, line + "!", f"{line}\n{line}", "x " * 20_000, "idiot scum"]
+    rows = [(i, t, None, None, None, *names) for i, t in enumerate(texts)]
+    rows += [(None, "no id here", "en", "src1", 3, *names), rows[4], rows[7]]
+    docs = spark.createDataFrame(rows, fields + ", ".join(f"{n} string" for n in names))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, folder)
+        found = out.collect()
+        if name != "packing":
+            assert out.columns == docs.columns
+            assert all(r["position"] == "position" and r["row"] == "row" for r in found)
+        assert found
