@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import posixpath
-from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bandwright.sources.workspace import Workspace
 
-__all__ = ["Workspace", "exploded_pairs", "fits", "semi_join", "table"]
+__all__ = ["Workspace", "fits", "semi_join", "table"]
 
 # Ids that a broadcast may hold; beyond it the same join is shuffled.
 BROADCAST_IDS = 1_000_000
@@ -35,8 +34,3 @@ def semi_join(
     """
     side = ids.select(key)
     return rows.join(F.broadcast(side) if fits(ids, limit) else side, key, how)
-
-
-def exploded_pairs(pairs: DataFrame, columns: Iterable[str] = ("a", "b")) -> DataFrame:
-    """The distinct ids on either side of pairs, as column ``item``."""
-    return pairs.select(F.explode(F.array(*columns)).alias("item")).distinct()

@@ -36,6 +36,7 @@ ODDS = 50.0
 # Word beginnings, in bytes, that may be marks besides whole words.
 BEGINNINGS = (4, 5, 6)
 LEXICONS = 24
+PENALTY = 0.05
 FOLDS = 5
 
 CLEAN, ABSTAIN, TOXIC = 0, 1, 2
@@ -214,7 +215,7 @@ def fit_label_model(
 
 
 def fit_linear(
-    seen: pd.DataFrame, posterior: np.ndarray, n_marks: int, rounds: int = 300
+    seen: pd.DataFrame, posterior: np.ndarray, n_marks: int, rounds: int = 1000
 ) -> tuple[np.ndarray, float]:
     """Logistic regression on which marks a text holds, by accelerated gradients."""
     columns = [np.unique(np.asarray(held, np.int64)) for held in seen["marks"]]
@@ -222,13 +223,13 @@ def fit_linear(
     rows = np.repeat(np.arange(len(columns)), sizes)
     flat = np.concatenate(columns) if len(columns) else np.zeros(0, np.int64)
     ahead = weights = np.zeros(n_marks + 1)
-    ahead[-1] = 0.0
-    step = 4.0 / (1 + sizes.max(initial=0))
+    # The loss bends by a quarter of a text's number of terms at most.
+    step = 4 / (len(columns) * (1 + sizes.max(initial=0)) + 1)
     for turn in range(rounds):
         score = np.bincount(rows, ahead[flat], len(columns)) + ahead[-1]
         error = 1 / (1 + np.exp(-np.clip(score, -30, 30))) - posterior
-        slope = np.append(np.bincount(flat, error[rows], n_marks), error.sum()) / 50
-        slope[:-1] += 1e-3 * ahead[:-1]
+        slope = np.append(np.bincount(flat, error[rows], n_marks), error.sum())
+        slope[:-1] += PENALTY * ahead[:-1]
         moved = ahead - step * slope
         ahead = moved + turn / (turn + 3) * (moved - weights)
         weights = moved
