@@ -85,7 +85,7 @@ def unsettled(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
     """Entries ``key, item, ...`` of the lists by key that hold several components.
 
     ``labels`` has the components found so far; other items are their own. ``n`` is
-    the length of an entry's list.
+    the length of an entry's list, ``crossing`` its pairs of different components.
     """
     if labels is None:
         entries = lists.withColumn("component", F.col("item"))
@@ -94,13 +94,32 @@ def unsettled(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
             "component", F.coalesce("component", "item")
         )
     several = (
-        entries.groupBy("key")
-        .agg(
-            F.min("component").alias("low"),
-            F.max("component").alias("high"),
-            F.count(F.lit(1)).alias("n"),
-        )
-        .filter(F.col("low") != F.col("high"))
-        .select("key", "n")
+        entries.groupBy("key", "component")
+        .agg(F.count(F.lit(1)).alias("own"))
+        .groupBy("key")
+        .agg(F.sum("own").alias("n"), F.sum(F.col("own") * F.col("own")).alias("squares"))
+        .withColumn("crossing", (F.col("n") * F.col("n") - F.col("squares")) / 2)
+        .filter(F.col("crossing") > 0)
+        .select("key", "n", "crossing")
     )
     return entries.join(several, "key")
+
+
+def merged(labels: DataFrame | None, joins: DataFrame) -> DataFrame:
+    """``labels`` after the components ``low`` and ``high`` of each join became one.
+
+    A cheap step: every component takes the least it joins, and that one's least.
+    Items of a label are connected; connected items may still differ in label.
+    """
+    parents = joins.groupBy(F.col("high").alias("component")).agg(F.min("low").alias("parent"))
+    above = parents.select(F.col("component").alias("parent"), F.col("parent").alias("root"))
+    roots = parents.join(above, "parent", "left").select(
+        "component", F.coalesce("root", "parent").alias("root")
+    )
+    moved = roots.select(F.col("component").alias("item"), F.col("root").alias("component"))
+    if labels is None:
+        return moved
+    kept = labels.join(roots, "component", "left").select(
+        "item", F.coalesce("root", "component").alias("component")
+    )
+    return kept.unionByName(moved.join(labels.select("item"), "item", "left_anti"))

@@ -9,9 +9,9 @@ blank is in one text only and needs no list. Lists of items by prefix shingle ar
 skipped as a whole when they hold one component, and in blocks of size and
 position when no pair of two blocks can reach the overlap it needs.
 
-Answers come first from leaders: each item is compared with one leader of the
-lists it is in, for a few rounds, which joins most groups of copies. Pairs left
-in lists of more than one component then get their answer, where possible, from
+In lists with many pairs to answer, answers come first from leaders: each item is
+compared with one leader of the lists it is in, round after round, which joins most
+of a group of copies. Pairs left in lists of more than one component then get their answer, where possible, from
 the answers their members had with a common leader: the overlaps with it bound
 the overlap of the two. Only undecided pairs are compared.
 """
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bandwright.llm import texts as T
-from bandwright.llm.components import components, unsettled
+from bandwright.llm.components import components, merged, unsettled
 from bandwright.llm.tables import Workspace, semi_join
 
 SHINGLE_WORDS = 3
@@ -39,7 +39,8 @@ SAMPLE = 6
 CLASS_BITS = 24
 OFTEN = (2, 8, 64)
 UNCOUNTED = 255
-ROUNDS = 3
+# Pairs per entry that a list holds to ask leaders first, and rounds of that.
+PAIRS_PER_ENTRY, ROUNDS = 4, 8
 # Members of a list beyond which it is dealt to several tasks.
 LIST_ROWS = 1000
 
@@ -200,12 +201,12 @@ def compared(pairs: DataFrame, contents: DataFrame) -> DataFrame:
     first = contents.select(F.col("item").alias("a"), F.col("hashes").alias("of_a"))
     second = contents.select(F.col("item").alias("b"), F.col("hashes").alias("of_b"))
     return (
-        pairs.select("a", "b")
-        .join(first, "a")
+        pairs.join(first, "a")
         .join(second, "b")
         .select(
             "a",
             "b",
+            *(c for c in ("low", "high") if c in pairs.columns),
             F.size("of_a").cast("long").alias("size_a"),
             F.size("of_b").cast("long").alias("size_b"),
             F.size(F.array_intersect("of_a", "of_b")).cast("long").alias("overlap"),
@@ -214,27 +215,38 @@ def compared(pairs: DataFrame, contents: DataFrame) -> DataFrame:
 
 
 def linked(answers: DataFrame) -> DataFrame:
-    return answers.filter(similar(F.col("overlap"), F.col("size_a"), F.col("size_b"))).select(
-        "a", "b"
-    )
+    return answers.filter(similar(F.col("overlap"), F.col("size_a"), F.col("size_b")))
 
 
 def leader_pairs(entries: DataFrame, turn: int) -> DataFrame:
-    """Each item with the leader it shares most lists with, if it may be similar."""
+    """Each item with the leader it shares most lists with, if it may be similar.
+
+    The first leaders are the items in most lists, as the middle of a group of copies
+    is; later ones are drawn. ``low`` and ``high`` are the components of the two.
+    """
     # Sizes that may be similar are in the same band or in neighbouring ones.
     band = F.floor(F.log(F.col("size").cast("double")) / float(np.log(TOP / BOTTOM)))
     entries = entries.withColumn("band", band)
-    entry = F.struct(F.xxhash64("item", F.lit(turn)).alias("draw"), "item", "size", "pos", "component")
+    draw = F.xxhash64("item", F.lit(turn))
+    if not turn:
+        held = entries.groupBy("item").agg((-F.count(F.lit(1))).alias("held"))
+        entries, draw = entries.join(held, "item"), F.col("held")
+    entry = F.struct(draw.alias("draw"), "item", "size", "pos", "component")
     leaders = entries.groupBy("key", "band").agg(F.min(entry).alias("leader"))
     return (
         entries.withColumn("own", F.struct("item", "size", "pos"))
         .join(leaders, ["key", "band"])
         .filter((F.col("component") != F.col("leader.component")) & reachable("own", "leader"))
-        .groupBy(F.col("item").alias("a"), F.col("leader.item").alias("b"))
+        .groupBy(
+            F.col("item").alias("a"),
+            F.col("leader.item").alias("b"),
+            F.least("component", "leader.component").alias("low"),
+            F.greatest("component", "leader.component").alias("high"),
+        )
         .agg(F.count(F.lit(1)).alias("n"))
         .groupBy("a")
-        .agg(F.max(F.struct("n", "b")).alias("best"))
-        .select("a", F.col("best.b").alias("b"))
+        .agg(F.max(F.struct("n", "b", "low", "high")).alias("best"))
+        .select("a", "best.b", "best.low", "best.high")
     )
 
 
@@ -341,29 +353,23 @@ def links(documents: DataFrame, workspace: Workspace) -> tuple[DataFrame, DataFr
     answers: list[DataFrame] = []
     labels = None
     for turn in range(ROUNDS):
-        pairs = workspace.save(leader_pairs(unsettled(lists, labels), turn), f"leaders-{turn}")
-        # Even if no leader can be similar, members of neighbouring bands may be.
-        if turn and pairs.isEmpty():
+        crowded = unsettled(lists, labels).filter(F.col("crossing") > PAIRS_PER_ENTRY * F.col("n"))
+        pairs = workspace.save(leader_pairs(crowded, turn), f"leaders-{turn}")
+        if pairs.isEmpty():
             break
         answers.append(workspace.save(compared(pairs, contents), f"answers-{turn}"))
-        edges = reduce(DataFrame.unionByName, map(linked, answers))
-        labels = components(edges, workspace, f"turn-{turn}")
-    known = reduce(DataFrame.unionByName, answers)
-    crossing = workspace.save(
-        derived(crossing_pairs(unsettled(lists, labels)), known), "crossing"
-    )
-    sure = similar(F.col("least"), F.col("size_a"), F.col("size_b"))
-    never = ~similar(F.col("most"), F.col("size_a"), F.col("size_b"))
-    open_pairs = crossing.filter(F.col("least").isNull() | (~sure & ~never))
-    last = workspace.save(compared(open_pairs, contents), "answers-last")
-    edges = reduce(
-        DataFrame.unionByName,
-        [
-            linked(known),
-            linked(last),
-            crossing.filter(F.col("least").isNotNull() & sure).select("a", "b"),
-        ],
-    )
+        labels = workspace.save(merged(labels, linked(answers[-1])), f"labels-{turn}")
+    crossing = crossing_pairs(unsettled(lists, labels))
+    found = []
+    if answers:
+        known = reduce(DataFrame.unionByName, answers)
+        crossing = workspace.save(derived(crossing, known), "crossing")
+        sure = similar(F.col("least"), F.col("size_a"), F.col("size_b"))
+        never = ~similar(F.col("most"), F.col("size_a"), F.col("size_b"))
+        found = [linked(known), crossing.filter(F.col("least").isNotNull() & sure)]
+        crossing = crossing.filter(F.col("least").isNull() | (~sure & ~never))
+    last = workspace.save(compared(crossing.select("a", "b"), contents), "answers-last")
+    edges = reduce(DataFrame.unionByName, (df.select("a", "b") for df in [*found, linked(last)]))
     return sets, components(edges, workspace, "all")
 
 

@@ -58,28 +58,16 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize("rounds, list_rows", [(3, 1000), (1, 3), (0, 3)])
-def test_against_all_pairs(spark, monkeypatch, rounds, list_rows):
-    """However few leaders are asked and however lists are dealt, the links are the same."""
-    monkeypatch.setattr(jaccard, "ROUNDS", max(rounds, 1))
+@pytest.mark.parametrize("rounds, list_rows, pairs", [(8, 1000, 4), (8, 3, 0), (1, 3, 0), (0, 3, 0)])
+def test_against_all_pairs(spark, monkeypatch, rounds, list_rows, pairs):
+    """However often leaders are asked and however lists are dealt, the links are the same."""
+    monkeypatch.setattr(jaccard, "ROUNDS", rounds)
     monkeypatch.setattr(jaccard, "LIST_ROWS", list_rows)
-    if not rounds:
-        # Leaders that answer nothing: every pair is left to the lists.
-        monkeypatch.setattr(jaccard, "linked", _linked_last_only(jaccard.linked))
+    monkeypatch.setattr(jaccard, "PAIRS_PER_ENTRY", pairs)
     rows = corpus()
     assert found(spark, rows) == brute(rows)
 
 
-def _linked_last_only(real):
-    calls = []
-
-    def linked(answers):
-        calls.append(1)
-        return real(answers).limit(0) if len(calls) == 1 else real(answers)
-
-    return linked
-
-
 def test_short_equal_empty_and_null_texts(spark):
     rows = [(9, "a"), (3, "A"), (4, "a b"), (5, "b a"), (6, "a  B"), (7, None), (8, ""), (2, " \n")]
     rows += [(20, "x " * 30_000), (21, "X " * 10), (22, "é É"), (23, "É é"), (24, "é É")]
