@@ -103,23 +103,3 @@ def unsettled(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
         .select("key", "n", "crossing")
     )
     return entries.join(several, "key")
-
-
-def merged(labels: DataFrame | None, joins: DataFrame) -> DataFrame:
-    """``labels`` after the components ``low`` and ``high`` of each join became one.
-
-    A cheap step: every component takes the least it joins, and that one's least.
-    Items of a label are connected; connected items may still differ in label.
-    """
-    parents = joins.groupBy(F.col("high").alias("component")).agg(F.min("low").alias("parent"))
-    above = parents.select(F.col("component").alias("parent"), F.col("parent").alias("root"))
-    roots = parents.join(above, "parent", "left").select(
-        "component", F.coalesce("root", "parent").alias("root")
-    )
-    moved = roots.select(F.col("component").alias("item"), F.col("root").alias("component"))
-    if labels is None:
-        return moved
-    kept = labels.join(roots, "component", "left").select(
-        "item", F.coalesce("root", "component").alias("component")
-    )
-    return kept.unionByName(moved.join(labels.select("item"), "item", "left_anti"))

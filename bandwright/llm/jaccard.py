@@ -9,17 +9,16 @@ blank is in one text only and needs no list. Lists of items by prefix shingle ar
 skipped as a whole when they hold one component, and in blocks of size and
 position when no pair of two blocks can reach the overlap it needs.
 
-In lists with many pairs to answer, answers come first from leaders: each item is
-compared with one leader of the lists it is in, round after round, which joins most
-of a group of copies. Pairs left in lists of more than one component then get their answer, where possible, from
-the answers their members had with a common leader: the overlaps with it bound
-the overlap of the two. Only undecided pairs are compared.
+In lists with many pairs to answer, answers are derived from a leader's. Each item
+there is compared with one leader of its lists, and keeps only what it has more and
+less than the leader. All pairs of a leader's family then have their overlap from
+these small differences alone, in blocks, and no pair leaves a task. Pairs that no
+family holds, of different components, are compared in full.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,20 +26,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bandwright.llm import texts as T
-from bandwright.llm.components import components, merged, unsettled
+from bandwright.llm.components import components, unsettled
+from bandwright.llm.groups import joined_up, whole_groups
 from bandwright.llm.tables import Workspace, semi_join
 
 SHINGLE_WORDS = 3
 # Similarity: TOP * intersection >= BOTTOM * union.
 TOP, BOTTOM = 100, 90
-# One shingle in so many is counted; a prefix takes one in ten.
-SAMPLE = 6
+# One shingle in so many is counted; a prefix takes one in ten, and may not have
+# to take one that texts share where a third of the text is its own.
+SAMPLE = 3
 # Hash classes of the bit maps, and the numbers of texts that set a class's bits.
-CLASS_BITS = 24
+CLASS_BITS = 25
 OFTEN = (2, 8, 64)
 UNCOUNTED = 255
-# Pairs per entry that a list holds to ask leaders first, and rounds of that.
-PAIRS_PER_ENTRY, ROUNDS = 4, 8
+# Pairs per entry that a list holds to ask a leader.
+PAIRS_PER_ENTRY = 4
+# Members of a family that meet as many others in a task, and shingles at a time.
+FAMILY_ROWS, FAMILY_SHINGLES = 256, 4096
 # Members of a list beyond which it is dealt to several tasks.
 LIST_ROWS = 1000
 
@@ -206,7 +209,6 @@ def compared(pairs: DataFrame, contents: DataFrame) -> DataFrame:
         .select(
             "a",
             "b",
-            *(c for c in ("low", "high") if c in pairs.columns),
             F.size("of_a").cast("long").alias("size_a"),
             F.size("of_b").cast("long").alias("size_b"),
             F.size(F.array_intersect("of_a", "of_b")).cast("long").alias("overlap"),
@@ -215,43 +217,132 @@ def compared(pairs: DataFrame, contents: DataFrame) -> DataFrame:
 
 
 def linked(answers: DataFrame) -> DataFrame:
-    return answers.filter(similar(F.col("overlap"), F.col("size_a"), F.col("size_b")))
+    near = similar(F.col("overlap"), F.col("size_a"), F.col("size_b"))
+    return answers.filter(near).select("a", "b")
 
 
-def leader_pairs(entries: DataFrame, turn: int) -> DataFrame:
-    """Each item with the leader it shares most lists with, if it may be similar.
+def leader_pairs(entries: DataFrame) -> DataFrame:
+    """Each item ``a`` with the leader ``b`` of its lists, if it may be similar.
 
-    The first leaders are the items in most lists, as the middle of a group of copies
-    is; later ones are drawn. ``low`` and ``high`` are the components of the two.
+    A list's leader is its item that is in most lists, as the middle of a group of
+    copies is; of several leaders the one in most lists leads.
     """
     # Sizes that may be similar are in the same band or in neighbouring ones.
     band = F.floor(F.log(F.col("size").cast("double")) / float(np.log(TOP / BOTTOM)))
-    entries = entries.withColumn("band", band)
-    draw = F.xxhash64("item", F.lit(turn))
-    if not turn:
-        held = entries.groupBy("item").agg((-F.count(F.lit(1))).alias("held"))
-        entries, draw = entries.join(held, "item"), F.col("held")
-    entry = F.struct(draw.alias("draw"), "item", "size", "pos", "component")
-    leaders = entries.groupBy("key", "band").agg(F.min(entry).alias("leader"))
+    held = entries.groupBy("item").agg(F.count(F.lit(1)).alias("held"))
+    entries = entries.join(held, "item").withColumn("band", band)
+    leaders = entries.groupBy("key", "band").agg(
+        F.max(F.struct("held", "item", "size", "pos")).alias("leader")
+    )
     return (
         entries.withColumn("own", F.struct("item", "size", "pos"))
         .join(leaders, ["key", "band"])
-        .filter((F.col("component") != F.col("leader.component")) & reachable("own", "leader"))
-        .groupBy(
-            F.col("item").alias("a"),
-            F.col("leader.item").alias("b"),
-            F.least("component", "leader.component").alias("low"),
-            F.greatest("component", "leader.component").alias("high"),
+        .filter((F.col("item") != F.col("leader.item")) & reachable("own", "leader"))
+        .groupBy(F.col("item").alias("a"))
+        .agg(F.max(F.struct("leader.held", "leader.item")).alias("best"))
+        .select("a", F.col("best.item").alias("b"))
+    )
+
+
+def families(pairs: DataFrame, contents: DataFrame) -> DataFrame:
+    """``leader, item`` with sizes, how many of the leader's shingles the item lacks, and all differences.
+
+    Items that share less than half with their leader are in no family. A leader is
+    in its own, without differences.
+    """
+    first = contents.select(F.col("item").alias("a"), F.col("hashes").alias("of_a"))
+    second = contents.select(F.col("item").alias("b"), F.col("hashes").alias("of_b"))
+    size_a, size_b = F.size("of_a").cast("long"), F.size("of_b").cast("long")
+    led = (
+        pairs.join(first, "a")
+        .join(second, "b")
+        .withColumn("less", F.array_except("of_b", "of_a"))
+        .filter(2 * (size_b - F.size("less")) >= F.greatest(size_a, size_b))
+        .select(
+            F.col("b").alias("leader"),
+            F.col("a").alias("item"),
+            size_b.alias("leader_size"),
+            size_a.alias("size"),
+            F.size("less").cast("long").alias("less"),
+            F.concat("less", F.array_except("of_a", "of_b")).alias("apart"),
         )
-        .agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("a")
-        .agg(F.max(F.struct("n", "b", "low", "high")).alias("best"))
-        .select("a", "best.b", "best.low", "best.high")
     )
+    own = pairs.select("b").distinct().join(second, "b")
+    leaders = own.select(
+        F.col("b").alias("leader"),
+        F.col("b").alias("item"),
+        size_b.alias("leader_size"),
+        size_b.alias("size"),
+        F.lit(0).cast("long").alias("less"),
+        F.array().cast("array<bigint>").alias("apart"),
+    )
+    return led.unionByName(leaders)
+
+
+def family_links(rows: DataFrame) -> DataFrame:
+    """Edges ``a, b`` that join the linked members of each family."""
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, bounds in whole_groups(batches, FAMILY, rows=4 * FAMILY_ROWS):
+            for first, after in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                a, b = linked_members(table.slice(first, after - first))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    sizes = rows.groupBy("leader").agg(F.count(F.lit(1)).alias("n"))
+    blocks = F.ceil(F.col("n") / FAMILY_ROWS).cast("int")
+    dealt = (
+        rows.join(sizes, "leader")
+        .withColumn("block", F.pmod(F.xxhash64("item"), blocks).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        .withColumn("low", F.least("block", "other"))
+        .withColumn("high", F.greatest("block", "other"))
+        .drop("n", "other")
+    )
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    return (
+        dealt.repartition(n, *FAMILY)
+        .sortWithinPartitions(*FAMILY)
+        .mapInArrow(link, "a bigint, b bigint")
+    )
+
+
+FAMILY = ("leader", "low", "high")
+
+
+def linked_members(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Items of two blocks of a family (or one), and the least item each is linked to."""
+    column = lambda name: table.column(name).to_numpy()
+    items, size, less, block = map(column, ("item", "size", "less", "block"))
+    apart = table.column("apart").combine_chunks()
+    member = np.repeat(np.arange(len(items)), apart.value_lengths().to_numpy())
+    token, which, often = np.unique(
+        apart.flatten().to_numpy(), return_inverse=True, return_counts=True
+    )
+    # Differences that only one member has don't add to any overlap.
+    shared = often[which] > 1
+    member, which = member[shared], (np.cumsum(often > 1) - 1)[which[shared]]
+    order = np.argsort(which, kind="stable")
+    member, which = member[order], which[order]
+    both = np.zeros((len(items), len(items)), np.float32)
+    for start in range(0, int((often > 1).sum()), FAMILY_SHINGLES):
+        a, b = np.searchsorted(which, [start, start + FAMILY_SHINGLES])
+        held = np.zeros((len(items), FAMILY_SHINGLES), np.float32)
+        held[member[a:b], which[a:b] - start] = 1
+        both += held @ held.T
+    overlap = column("leader_size")[0] - less[:, None] - less[None, :] + both.astype(np.int64)
+    union = size[:, None] + size[None, :] - overlap
+    # Pairs within a block are looked at where the block meets itself.
+    apart_blocks = block[:, None] != block[None, :]
+    fit = (TOP * overlap >= BOTTOM * union) & (apart_blocks | (column("low")[0] == column("high")[0]))
+    i, j = np.nonzero(np.triu(fit, 1))
+    least = np.arange(len(items))
+    joined_up(least, i, j, items)
+    moved = least != np.arange(len(items))
+    return items[moved], items[least[moved]]
 
 
 def crossing_pairs(entries: DataFrame) -> DataFrame:
-    """All pairs of different components in a list that may be similar.
+    """All pairs of different components and families in a list that may be similar.
 
     Entries of a list stand in blocks of size; only blocks whose sizes can be
     similar meet, and within them size and position decide. A long list is dealt
@@ -260,7 +351,7 @@ def crossing_pairs(entries: DataFrame) -> DataFrame:
     step = float(np.log(TOP / BOTTOM))
     block = F.floor(F.log(F.col("size").cast("double")) / step)
     parts = F.ceil(F.col("n") / LIST_ROWS).cast("int")
-    entry = F.struct("item", "size", "pos", "component")
+    entry = F.struct("item", "size", "pos", "component", "family")
     left = entries.select(
         "key", block.alias("block"), F.pmod(F.xxhash64("item"), parts).cast("int").alias("part"), entry.alias("x")
     )
@@ -277,60 +368,17 @@ def crossing_pairs(entries: DataFrame) -> DataFrame:
     ordered = (F.col("home") != F.col("block")) | (F.col("x.item") < F.col("y.item"))
     return (
         left.join(right, ["key", "block", "part"])
-        .filter(ordered & (F.col("x.component") != F.col("y.component")) & reachable("x", "y"))
-        .select(
-            F.least("x.item", "y.item").alias("a"), F.greatest("x.item", "y.item").alias("b"),
-            F.col("x.size").alias("size_x"), F.col("y.size").alias("size_y"), F.col("x.item").alias("x"),
-        )
-        .select(
-            "a",
-            "b",
-            F.when(F.col("a") == F.col("x"), F.col("size_x")).otherwise(F.col("size_y")).alias("size_a"),
-            F.when(F.col("a") == F.col("x"), F.col("size_y")).otherwise(F.col("size_x")).alias("size_b"),
+        .filter(
+            ordered
+            & (F.col("x.component") != F.col("y.component"))
+            & (F.col("x.family") != F.col("y.family"))
+            & reachable("x", "y")
         )
+        .select(F.least("x.item", "y.item").alias("a"), F.greatest("x.item", "y.item").alias("b"))
         .distinct()
     )
 
 
-def derived(pairs: DataFrame, answers: DataFrame) -> DataFrame:
-    """Pairs with the bounds ``least`` and ``most`` on their overlap.
-
-    With a leader that both were compared with, the overlap is at least what the
-    two overlaps must share within the leader, and at most the smaller overlap plus
-    the smaller rest outside the leader.
-    """
-    known = answers.select(
-        F.col("a").alias("item"),
-        F.col("b").alias("leader"),
-        F.col("size_b").alias("leader_size"),
-        "overlap",
-    )
-    sides = [
-        known.select(
-            F.col("item").alias(side),
-            "leader",
-            F.col("leader_size").alias(f"leader_size_{side}"),
-            F.col("overlap").alias(f"overlap_{side}"),
-        )
-        for side in "ab"
-    ]
-    both = (
-        pairs.join(sides[0], "a")
-        .join(sides[1], ["b", "leader"])
-        .groupBy("a", "b")
-        .agg(
-            F.max(F.col("overlap_a") + F.col("overlap_b") - F.col("leader_size_a")).alias("least"),
-            F.min(
-                F.least("overlap_a", "overlap_b")
-                + F.least(
-                    F.col("size_a") - F.col("overlap_a"), F.col("size_b") - F.col("overlap_b")
-                )
-            ).alias("most"),
-        )
-    )
-    return pairs.join(both, ["a", "b"], "left")
-
-
 def links(documents: DataFrame, workspace: Workspace) -> tuple[DataFrame, DataFrame]:
     """Sets of all documents, and ``item, component`` of the items with links."""
     sets = workspace.save(prefixes(documents, shared_levels(documents)), "sets")
@@ -350,27 +398,23 @@ def links(documents: DataFrame, workspace: Workspace) -> tuple[DataFrame, DataFr
         "contents",
     )
 
-    answers: list[DataFrame] = []
-    labels = None
-    for turn in range(ROUNDS):
-        crowded = unsettled(lists, labels).filter(F.col("crossing") > PAIRS_PER_ENTRY * F.col("n"))
-        pairs = workspace.save(leader_pairs(crowded, turn), f"leaders-{turn}")
-        if pairs.isEmpty():
-            break
-        answers.append(workspace.save(compared(pairs, contents), f"answers-{turn}"))
-        labels = workspace.save(merged(labels, linked(answers[-1])), f"labels-{turn}")
-    crossing = crossing_pairs(unsettled(lists, labels))
-    found = []
-    if answers:
-        known = reduce(DataFrame.unionByName, answers)
-        crossing = workspace.save(derived(crossing, known), "crossing")
-        sure = similar(F.col("least"), F.col("size_a"), F.col("size_b"))
-        never = ~similar(F.col("most"), F.col("size_a"), F.col("size_b"))
-        found = [linked(known), crossing.filter(F.col("least").isNotNull() & sure)]
-        crossing = crossing.filter(F.col("least").isNull() | (~sure & ~never))
-    last = workspace.save(compared(crossing.select("a", "b"), contents), "answers-last")
-    edges = reduce(DataFrame.unionByName, (df.select("a", "b") for df in [*found, linked(last)]))
-    return sets, components(edges, workspace, "all")
+    crowded = unsettled(lists, None).filter(F.col("crossing") > PAIRS_PER_ENTRY * F.col("n"))
+    pairs = workspace.save(leader_pairs(crowded), "leaders")
+    led = workspace.save(families(pairs, contents), "families")
+    near = workspace.save(family_links(led), "family-links")
+    labels = components(near, workspace, "families")
+    # An item without a family is one by itself.
+    family = led.groupBy("item").agg(
+        F.max(F.when(F.col("leader") != F.col("item"), F.col("leader"))).alias("family")
+    )
+    entries = (
+        unsettled(lists, labels)
+        .join(family, "item", "left")
+        .withColumn("family", F.coalesce("family", "item"))
+    )
+    crossing = workspace.save(crossing_pairs(entries), "crossing")
+    last = workspace.save(compared(crossing, contents), "answers")
+    return sets, components(near.unionByName(linked(last)), workspace, "all")
 
 
 def joined(documents: DataFrame, workspace: Workspace) -> DataFrame:

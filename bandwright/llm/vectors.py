@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bandwright.llm.components import components
-from bandwright.llm.groups import pairs_within, whole_groups
+from bandwright.llm.groups import joined_up, pairs_within, whole_groups
 from bandwright.llm.tables import Workspace
 
 THRESHOLD = 0.9
@@ -243,23 +243,6 @@ def links_of(
     )
 
 
-def joined_up(least: np.ndarray, i: np.ndarray, j: np.ndarray, items: np.ndarray) -> None:
-    """Let each row point to the row with the least item that it reaches by links."""
-    while True:
-        a, b = least[i], least[j]
-        if (a == b).all():
-            return
-        small = np.where(items[a] <= items[b], a, b)
-        large = np.where(items[a] <= items[b], b, a)
-        # Of several hooks of one row, the one to the least item holds.
-        order = np.argsort(-items[small], kind="stable")
-        hooks = np.arange(len(least))
-        hooks[large[order]] = small[order]
-        while not (hooks[hooks] == hooks).all():
-            hooks = hooks[hooks]
-        least[:] = hooks[least]
-
-
 def near_duplicates(
     embeddings: DataFrame, workspace: Workspace, threshold: float = THRESHOLD
 ) -> DataFrame:

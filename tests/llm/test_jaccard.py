@@ -58,11 +58,11 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize("rounds, list_rows, pairs", [(8, 1000, 4), (8, 3, 0), (1, 3, 0), (0, 3, 0)])
-def test_against_all_pairs(spark, monkeypatch, rounds, list_rows, pairs):
-    """However often leaders are asked and however lists are dealt, the links are the same."""
-    monkeypatch.setattr(jaccard, "ROUNDS", rounds)
+@pytest.mark.parametrize("pairs, list_rows, family_rows", [(4, 1000, 256), (0, 3, 2), (99, 3, 256)])
+def test_against_all_pairs(spark, monkeypatch, pairs, list_rows, family_rows):
+    """However many lists have leaders and however they are dealt, the links are the same."""
     monkeypatch.setattr(jaccard, "LIST_ROWS", list_rows)
+    monkeypatch.setattr(jaccard, "FAMILY_ROWS", family_rows)
     monkeypatch.setattr(jaccard, "PAIRS_PER_ENTRY", pairs)
     rows = corpus()
     assert found(spark, rows) == brute(rows)
