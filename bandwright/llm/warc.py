@@ -92,18 +92,22 @@ def write(pages: DataFrame, workspace: Workspace) -> None:
     )
     # Only the narrow list of repeats meets the payloads; these are not shuffled
     # unless the list is long.
+    # An id may have several payloads, so they are told apart by id and payload.
+    row = F.struct("page_id", F.xxhash64("key"))
     repeats = workspace.save(
-        typed.filter(F.col("page_id") != F.col("first_id")).select("page_id").distinct(), "repeats"
+        typed.filter(F.col("page_id") != F.col("first_id")).select(row.alias("row")).distinct(),
+        "repeats",
     )
-    payloads = known.select("page_id", "key", "payload")
-    kept = semi_join(payloads, repeats, "page_id", "left_anti")
+    payloads = known.select(row.alias("row"), "key", "payload")
+    kept = semi_join(payloads, repeats, "row", "left_anti")
     workspace.save(kept.select("key", "payload"), "payloads")
 
 
 def read(workspace: Workspace) -> DataFrame:
     """All records: ``page_id``, ``header`` and, joined back by key, the ``payload``.
 
-    Every stored payload is digested again; one that doesn't give its key fails.
+    Every stored payload is digested again; one that doesn't give its key fails, as
+    does a record whose payload is not stored.
     """
     spark = workspace.spark
     headers = spark.read.parquet(workspace.path("headers"))
@@ -115,7 +119,10 @@ def read(workspace: Workspace) -> DataFrame:
             F.raise_error(F.concat(F.lit("payload does not match "), F.col("key")))
         ),
     ).dropDuplicates(["key"])
-    return headers.join(checked, "key").select("page_id", "header", "payload")
+    missing = F.raise_error(F.concat(F.lit("no payload of "), F.col("key")))
+    return headers.join(checked, "key", "left").select(
+        "page_id", "header", F.coalesce("payload", missing.cast("binary")).alias("payload")
+    )
 
 
 def field(header_text: Column, name: str) -> Column:
