@@ -1,10 +1,11 @@
 """License scan: TF-IDF cosine to templates, then inheritance along directories.
 
-Sentences of headers and licence files become sparse term vectors; document
-frequencies count all sentences that hold a cue word, over all files. A sentence
-that is near enough to a template names its license. A file whose first or last sentence
-does is a licence file of its directory; files that name no license themselves
-take that of the nearest ancestor directory with a licence file.
+Sentences of single lines, and (``units``) sentences over wrapped lines, paragraphs,
+leading comments and whole files, become sparse term vectors; document frequencies count
+all sentences of lines that hold a cue word, over all files. A part that is near enough to a
+template names its license. A file whose first or last part does is a licence file of its
+directory; files that name no license themselves take that of the nearest ancestor
+directory with a licence file.
 """
 
 from __future__ import annotations
@@ -14,6 +15,9 @@ from pyspark.sql import functions as F
 
 from bandwright.llm.tables import Workspace
 
+MIT_GRANT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+GNU_GRANT = "This {0} is free software: you can redistribute it and/or modify it under the terms of the GNU {1} Public License as published by the Free Software Foundation, either version {2} of the License, or (at your option) any later version."
+
 # License ids, and sentences that grant each.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -34,6 +38,28 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work under CC0 1.0."),
     ("Proprietary", "All rights reserved."),
+    # Standard notices and texts.
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("MIT", MIT_GRANT),
+    ("MIT", "MIT License Copyright (c) " + MIT_GRANT + " The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007"),
+    ("GPL-3.0", GNU_GRANT.format("program", "General", "3")),
+    ("GPL-2.0", "GNU General Public License Version 2, June 1991"),
+    ("GPL-2.0", GNU_GRANT.format("program", "General", "2")),
+    ("LGPL-3.0", "GNU Lesser General Public License Version 3, 29 June 2007"),
+    ("LGPL-3.0", GNU_GRANT.format("library", "Lesser General", "3")),
+    ("AGPL-3.0", "GNU Affero General Public License Version 3, 19 November 2007"),
+    ("AGPL-3.0", GNU_GRANT.format("program", "Affero General", "3")),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    *(
+        (name, f"SPDX-License-Identifier: {name}{end}")
+        for name in ("Apache-2.0", "MIT", "BSD-3-Clause", "MPL-2.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC0-1.0")
+        + ("GPL-3.0", "GPL-2.0", "LGPL-3.0", "AGPL-3.0")
+        for end in (("", "-only", "-or-later") if "GPL" in name else ("",))
+    ),
 )
 
 # A sentence is looked at if it holds one of these words (fixed values).
@@ -50,6 +76,8 @@ CUES = (
 )
 LEAST_COSINE = 0.8
 SENTENCE_END = r"\n|(?<=[.!?])\s+"
+# Marks that a line of a comment begins with.
+MARK = r"(?:/\*+|\*+/?|//+|#+|--+|;+|%+|<!--+)"
 TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 
 
@@ -74,6 +102,65 @@ def sentences(files: DataFrame) -> DataFrame:
     )
 
 
+def units(files: DataFrame) -> DataFrame:
+    """``path, place, edge, sentence`` of the parts of a text over several lines.
+
+    Lines lose their comment marks and are joined: to paragraphs, which blank lines end,
+    to the sentences of these, to the leading comment, and to the whole text. Those
+    with a cue word are given. ``edge`` says whether a part begins or ends the text;
+    ``place`` comes after those of ``sentences``.
+    """
+    cue = rf"(?i)(?<![a-z0-9])({'|'.join(CUES)})(?![a-z0-9])"
+
+    def joined(text: Column) -> Column:
+        return F.trim(F.regexp_replace(text, r"\s+", " "))
+
+    def plain(text: Column) -> Column:
+        return F.regexp_replace(text, rf"(?m)^[ \t]*{MARK}|[ \t]*(?:\*+/|--+>)[ \t\r]*$", "")
+
+    def parts(texts: Column, first: int) -> Column:
+        return F.transform(
+            texts,
+            lambda t, k: F.struct(
+                (k + F.lit(first)).alias("place"),
+                ((k == 0) | (k == F.size(texts) - 1)).alias("edge"),
+                t.alias("sentence"),
+            ),
+        )
+
+    text = F.regexp_replace("text", r"^\s+|\s+$", "")
+    lines = F.split("whole", "\n")
+    code = F.array_position(F.transform(lines, lambda line: line.rlike(rf"^\s*(?:{MARK}|$)")), False)
+    comment = F.when(F.col("whole").startswith("/*"), F.substring_index("whole", "*/", 1)).when(
+        code > 1, F.array_join(F.slice(lines, F.lit(1), F.greatest(code - 1, F.lit(1)).cast("int")), "\n")
+    )
+    after = F.length("whole")
+    return (
+        files.filter(F.col("text").rlike(cue))
+        .select("path", text.alias("whole"))
+        .withColumn(
+            "blocks",
+            F.transform(F.split(F.trim(plain(F.col("whole"))), r"\n[ \t\r]*\n\s*"), joined),
+        )
+        .withColumn(
+            "said", F.flatten(F.transform("blocks", lambda b: F.split(b, r"(?<=[.!?])\s+")))
+        )
+        .withColumn(
+            "ends", F.array_compact(F.array(joined(plain(comment)), joined(plain(F.col("whole")))))
+        )
+        .withColumn("shift", after)
+        .select(
+            "path",
+            "shift",
+            F.explode(
+                F.concat(parts(F.col("said"), 1), parts(F.col("blocks"), 1), parts(F.col("ends"), 1))
+            ).alias("u"),
+        )
+        .select("path", (F.col("shift") + F.col("u.place")).cast("int").alias("place"), "u.edge", "u.sentence")
+        .filter(F.col("sentence").rlike(cue))
+    )
+
+
 def template_table(spark: SparkSession) -> DataFrame:
     rows = [(k, license, text) for k, (license, text) in enumerate(TEMPLATES)]
     return spark.createDataFrame(rows, "template int, license string, sentence string")
@@ -89,23 +176,27 @@ def counted(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def matches(files: DataFrame, workspace: Workspace, least: float = LEAST_COSINE) -> DataFrame:
-    """``path, place, edge, license, cosine``: the best template of each sentence near one.
+    """``path, place, edge, license, cosine``: the best template of each part near one.
 
-    Distinct sentences are compared once, however often they occur. Ties go to the
+    Distinct parts are compared once, however often they occur. Ties go to the
     first template.
     """
     spark = files.sparkSession
     found = workspace.save(
-        sentences(files).withColumn("key", F.sha2("sentence", 256)), "sentences"
+        sentences(files)
+        .withColumn("counts", F.lit(1))
+        .unionByName(units(files).withColumn("counts", F.lit(0)))
+        .withColumn("key", F.sha2("sentence", 256)),
+        "sentences",
     )
     kinds = workspace.save(
         found.groupBy("key").agg(
-            F.first("sentence").alias("sentence"), F.count(F.lit(1)).alias("times")
+            F.first("sentence").alias("sentence"), F.sum("counts").alias("times")
         ),
         "kinds",
     )
     of_kind = workspace.save(counted(kinds, "key", "times"), "terms")
-    total = found.count()
+    total = found.filter("counts = 1").count()
     seen = of_kind.groupBy("term").agg(F.sum("times").alias("held"))
     # Smoothed; a term in no sentence weighs the most.
     weight = F.log((F.lit(total) + 1) / (F.coalesce("held", F.lit(0)) + 1)) + 1
@@ -141,22 +232,24 @@ def parent(path: Column) -> Column:
 def scanned(files: DataFrame, workspace: Workspace, least: float = LEAST_COSINE) -> DataFrame:
     """``path, own_license, cosine, license, inherited_from`` for every file.
 
-    ``own_license`` is that of the file's best sentence (then the earliest),
-    null without one. ``license`` falls back to the nearest ancestor directory with
+    ``own_license`` is that of the file's best part (then the earliest), null without
+    one; reserved rights count only in a file that grants none. ``license`` falls back to the nearest ancestor directory with
     a licence file (of several files in one directory, the nearest to its template,
     then the least path), whose path is ``inherited_from``. A null or empty text
     names no license. Paths are relative with ``/`` between names; rows that repeat a
     path are one file each with the same result per path; a null path has no directory.
     """
     near = workspace.save(matches(files, workspace, least), "matches")
+    # Reserved rights stand in front of many grants.
+    granting = F.col("license") != "Proprietary"
     own = near.groupBy("path").agg(
-        F.max(F.struct("cosine", -F.col("place"), "license")).alias("own")
+        F.max(F.struct(granting, "cosine", -F.col("place"), "license")).alias("own")
     )
     own = own.select("path", F.col("own.license").alias("own_license"), F.col("own.cosine").alias("cosine"))
     granted = (
         near.filter("edge")
         .groupBy(parent(F.col("path")).alias("folder"))
-        .agg(F.min(F.struct(-F.col("cosine"), "path", "license")).alias("grant"))
+        .agg(F.min(F.struct(~granting, -F.col("cosine"), "path", "license")).alias("grant"))
         .select("folder", F.col("grant.license").alias("folder_license"))
     )
     # Directories, far fewer than files, look their ancestors up; files then look up
