@@ -9,15 +9,18 @@ from pyspark.sql import functions as F
 
 from bandwright.llm import (
     chat,
+    fim,
     jaccard,
     licenses,
     lines,
     mixing,
     packing,
     quality,
+    token_files,
     toxicity,
     vectors,
     warc,
+    whitening,
 )
 from bandwright.llm.tables import Workspace, table
 
@@ -110,6 +113,28 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.transformed(table(spark, sf_dir, "documents"))
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    workspace = Workspace(spark)
+    folder = workspace.path("tokens")
+    documents = table(spark, sf_dir, "documents")
+    token_files.write(documents, folder, token_files.public_path("byte_bpe_50k.json"))
+    sums = workspace.save(
+        token_files.read(spark, folder)
+        .withColumn("ids_crc32", F.crc32("ids"))
+        .select("file", "doc_id", "before", "n_tokens", "ids_crc32"),
+        "sums",
+    )
+    return token_files.placed(sums, sums).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"), Workspace(spark))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -122,4 +147,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": op8_line_dedup,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_mixing": op10_mixing,
+        "op11_fill_in_middle": op11_fill_in_middle,
+        "op12_token_files": op12_token_files,
+        "op13_embedding_whitening": op13_embedding_whitening,
     }

@@ -17,7 +17,7 @@ def test_query_matches_check(spark, star_folder, name, scale):
 
 def test_every_operator_is_registered():
     names = set(contract.queries())
-    assert {f"op{n}" for n in range(1, 11)} == {n.split("_")[0] for n in names if n.startswith("op")}
+    assert {f"op{n}" for n in range(1, 14)} == {n.split("_")[0] for n in names if n.startswith("op")}
     assert "pipeline" in names
 
 

@@ -1,0 +1,128 @@
+"""Token files against the tokenizer itself, and what a reader decompresses."""
+
+import glob
+import zlib
+
+import numpy as np
+import pytest
+import zstandard
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from bandwright.llm import token_files
+from bandwright.llm.queries import op12_token_files
+
+PATH = token_files.public_path("byte_bpe_50k.json")
+
+
+@pytest.fixture(scope="module")
+def known():
+    return Tokenizer.from_file(PATH)
+
+
+def ids_of(known, text):
+    return [*known.encode(text or "", add_special_tokens=False).ids, 0]
+
+
+def crc(ids):
+    return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+def written(spark, tmp_path, rows, **options):
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs = docs.withColumns({c: F.lit("clash") for c in ("tie", "part", "value", "file", "ids")})
+    folder = str(tmp_path / "tokens")
+    token_files.write(docs.repartition(3), folder, PATH, **options)
+    return folder
+
+
+TEXTS = [None, "", " ", "one", "two words", "é€𝄞\x00", "<|endoftext|> as text", "many words " * 3000, "\n" * 999]
+
+
+@pytest.mark.parametrize("frame_ids", [7, token_files.FRAME_IDS])
+def test_round_trip_of_odd_texts(spark, tmp_path, known, frame_ids):
+    rows = [(3 * i - 5, t) for i, t in enumerate(TEXTS)] + [(40, "again")] * 4
+    rows += [(50, "one"), (50, "other"), (None, "no id"), (None, "no id"), (None, None)]
+    folder = written(spark, tmp_path, rows, frame_ids=frame_ids)
+    found = token_files.read(spark, folder)
+    got = sorted(
+        ((r["doc_id"] is None, r["doc_id"] or 0, bytes(r["ids"])) for r in found.collect()),
+    )
+    wanted = sorted((i is None, i or 0, np.array(ids_of(known, t), "<u4").tobytes()) for i, t in rows)
+    assert got == wanted
+    placed = token_files.placed(found, found).orderBy("start").collect()
+    order = [(r["doc_id"] is None, r["doc_id"] or 0) for r in placed]
+    assert order == sorted(order)
+    start = 0
+    for row in placed:
+        assert row["start"] == start and len(row["ids"]) == 4 * row["n_tokens"]
+        start += row["n_tokens"]
+    listed = found.drop("ids").collect()
+    assert set(map(tuple, listed)) == set(map(tuple, token_files.entries(spark, folder).collect()))
+
+
+def test_whole_files_are_zstandard_frames(spark, tmp_path, known):
+    rows = [(i, t) for i, t in enumerate(TEXTS)]
+    folder = written(spark, tmp_path, rows)
+    content = b""
+    for name in sorted(glob.glob(f"{folder}/part-*")):
+        with open(name, "rb") as file:
+            reader = zstandard.ZstdDecompressor().stream_reader(file, read_across_frames=True)
+            content += reader.read()
+    assert np.frombuffer(content, "<u2").tolist() == [k for _, t in rows for k in ids_of(known, t)]
+
+
+def test_only_wanted_documents_are_decompressed(spark, tmp_path, known):
+    rows = [(i, f"text number {i} " * 50) for i in range(200)]
+    folder = written(spark, tmp_path, rows)
+    wanted = spark.createDataFrame([(3,), (150,), (150,), (9999,), (None,)], "doc_id long")
+    # Copies in which every other frame is spoilt: a reader that touched one would fail.
+    spoilt = tmp_path / "spoilt"
+    spoilt.mkdir()
+    for name in glob.glob(f"{folder}/part-*"):
+        with open(name, "rb") as file:
+            content = bytearray(file.read())
+        table, _ = token_files.seek_table(memoryview(bytes(content)))
+        for entry in table:
+            if entry["doc"] not in (3, 150):
+                content[entry["place"] + 6] ^= 0xFF
+        (spoilt / name.rsplit("/", 1)[1]).write_bytes(content)
+    got = token_files.read(spark, str(spoilt), wanted).collect()
+    assert {r["doc_id"]: crc(np.frombuffer(r["ids"], "<u4")) for r in got} == {
+        i: crc(ids_of(known, rows[i][1])) for i in (3, 150)
+    }
+    with pytest.raises(Exception, match="frame|decompress|checksum|corrupt"):
+        token_files.read(spark, str(spoilt)).collect()
+
+
+def test_a_list_too_long_to_send_is_joined(spark, tmp_path):
+    folder = written(spark, tmp_path, [(i, f"text {i}") for i in range(50)])
+    wanted = spark.range(0, 40, 2).withColumnRenamed("id", "doc_id")
+    few = token_files.read(spark, folder, wanted)
+    many = token_files.read(spark, folder, wanted, limit=5)
+    assert few.columns == many.columns
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
+    assert few.count() == 20
+
+
+def test_damage_is_an_error(spark, tmp_path):
+    content = token_files.SEPARATOR * 8
+    with pytest.raises(ValueError):
+        token_files.seek_table(memoryview(content))
+
+
+def test_no_rows(spark, tmp_path):
+    folder = written(spark, tmp_path, [])
+    found = token_files.read(spark, folder)
+    assert found.count() == 0 and token_files.placed(found, found).count() == 0
+
+
+def test_query_against_the_tokenizer(spark, star_folder, known):
+    folder = star_folder("0.001")
+    rows = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()
+    start, expected = 0, []
+    for doc_id, text in sorted(map(tuple, rows)):
+        ids = ids_of(known, text)
+        expected.append((doc_id, start, len(ids), crc(ids)))
+        start += len(ids)
+    assert sorted(map(tuple, op12_token_files(spark, folder).collect())) == expected
