@@ -26,9 +26,12 @@ documents. Only ``doc_id`` (a whole number) and ``text`` are read.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -78,25 +81,105 @@ def checksum(content: bytes) -> int:
     return xxhash.xxh64_intdigest(content) & 0xFFFFFFFF
 
 
-_TOKENIZERS: dict[str, object] = {}
+# Chunks a worker remembers, and the longest of them; when there are more it starts afresh.
+KEPT_CHUNKS, KEPT_CHARS = 600_000, 40
+# A byte-level tokenizer that splits words as GPT-2's does takes a run of letters, or of
+# signs, with one space before it, as a word if something else follows; it never joins
+# what stands on both sides of the start of white space, and looks no further than to the
+# first character behind it. So texts can be cut into such words, and, where others
+# come, from white space to white space.
+LETTERS, SIGNS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff", r".,;:!?)\"-"
+WORD = rf" ?(?:[{LETTERS}]+(?=[ \t-\r{SIGNS}]|\Z)|[{SIGNS}]+(?=[ \t-\r]|\Z))"
+CHUNK = re.compile(rf"{WORD}|[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
+ONE_WORD = re.compile(rf" ?(?:[{LETTERS}]+|[{SIGNS}]+)")
+# White space that not every engine counts as such. Texts with it are not cut.
+ODD_SPACE = (
+    *"\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008",
+    *"\u2009\u200a\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff",
+)
+
+
+class ChunkIds(dict):
+    """Ids by chunk of text, as bytes, asked of the tokenizer once for each that is remembered."""
+
+    def __init__(self, known):
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        super().__init__()
+        self.known = known
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        # The characters that stand for the bytes of words.
+        self.spelling = str.maketrans({chr(k): level.pre_tokenize_str(chr(k))[0][0] for k in range(32, 127)})
+        for lead in (0xC2, 0xC3):
+            for k in range(0x80, 0xC0):
+                spelled = level.pre_tokenize_str(bytes([lead, k]).decode())[0][0]
+                self.spelling[lead], self.spelling[k] = spelled
+
+    def __missing__(self, chunk: str) -> bytes:
+        if ONE_WORD.fullmatch(chunk):
+            spelled = chunk.replace(" ", self.spelling[32])
+            if not chunk.isascii():
+                spelled = chunk.encode().decode("latin-1").translate(self.spelling)
+            ids = [token.id for token in self.known.model.tokenize(spelled)]
+        else:
+            ids = self.known.encode(chunk, add_special_tokens=False).ids
+        ids = array("I", ids).tobytes()
+        if len(chunk) <= KEPT_CHARS:
+            if len(self) >= KEPT_CHUNKS:
+                self.clear()
+            self[chunk] = ids
+        return ids
+
+
+class Encoder:
+    """The ids of ``encode(text, add_special_tokens=False)``, each frequent chunk encoded once.
+
+    Texts are cut only for tokenizers that are known to allow it, and only if they hold
+    no added token and no odd white space; all others go through the tokenizer whole.
+    """
+
+    def __init__(self, path: str):
+        # A task keeps to its own core.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.known = Tokenizer.from_file(path)
+        self.by_chunk = ChunkIds(self.known)
+        with open(path, encoding="utf-8") as file:
+            said = json.load(file)
+        split = said["pre_tokenizer"] or {}
+        self.cuts = (
+            said["normalizer"] is None
+            and split.get("type") == "ByteLevel"
+            and split.get("use_regex", True)
+            and not split.get("add_prefix_space", True)
+            and said["model"]["type"] == "BPE"
+            and not said["model"].get("dropout")
+        )
+        self.uncut = (*ODD_SPACE, *(token["content"] for token in said["added_tokens"]))
+
+    def encode(self, text: str) -> np.ndarray:
+        if not self.cuts or any(odd in text for odd in self.uncut):
+            return np.array(self.known.encode(text, add_special_tokens=False).ids, np.uint32)
+        found = map(self.by_chunk.__getitem__, CHUNK.findall(text))
+        return np.frombuffer(b"".join(found), np.uint32)
+
 
+_ENCODERS: dict[str, Encoder] = {}
 
-def tokenizer(path: str):
-    """The tokenizer of a file, loaded once per worker; a task keeps to its own core."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
 
-    return _TOKENIZERS.get(path) or _TOKENIZERS.setdefault(path, Tokenizer.from_file(path))
+def encoder(path: str) -> Encoder:
+    """The encoder of a tokenizer's file, loaded once per worker."""
+    return _ENCODERS.get(path) or _ENCODERS.setdefault(path, Encoder(path))
 
 
 def encoded(batches: Iterator[pa.RecordBatch], path: str, end: int):
     """``doc_id, ids`` of every row, the end id included."""
-    known = tokenizer(path)
+    known = encoder(path)
     for batch in T.slices(batches, "text"):
         texts = pc.fill_null(batch.column("text"), "").to_pylist()
-        found = known.encode_batch_fast(texts, add_special_tokens=False)
-        for doc, encoding in zip(batch.column("doc_id").to_pylist(), found):
-            yield doc, np.array([*encoding.ids, end], np.uint32)
+        for doc, text in zip(batch.column("doc_id").to_pylist(), texts):
+            yield doc, np.append(known.encode(text), np.uint32(end))
 
 
 def write(
@@ -116,7 +199,7 @@ def write(
         import zstandard
 
         packer = zstandard.ZstdCompressor(level=LEVEL, write_checksum=True)
-        width = 2 if max(tokenizer(path).get_vocab_size(), end + 1) <= 1 << 16 else 4
+        width = 2 if max(encoder(path).known.get_vocab_size(), end + 1) <= 1 << 16 else 4
         table, run, written = bytearray(), bytearray(), 0
         for doc, ids in encoded(batches, path, end):
             for start in range(0, len(ids), frame_ids):

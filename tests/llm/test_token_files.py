@@ -6,6 +6,8 @@ import zlib
 import numpy as np
 import pytest
 import zstandard
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -39,6 +41,19 @@ def written(spark, tmp_path, rows, **options):
 TEXTS = [None, "", " ", "one", "two words", "é€𝄞\x00", "<|endoftext|> as text", "many words " * 3000, "\n" * 999]
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.text(st.sampled_from("ab'stÀÿ×÷!?)- \t\n\r\x0b\x0c\x1c\x85\xa0\u3000é语1.,<|>-𝄞\x00"), max_size=30))
+def test_cut_texts_have_the_ids_of_whole_ones(text):
+    known = token_files.encoder(PATH)
+    assert known.cuts
+    for one in (text, f"{text}<|endoftext|> {text}", f"it's  {text}\n\n '{text} "):
+        assert known.encode(one).tolist() == known.known.encode(one, add_special_tokens=False).ids
+
+
+def test_other_tokenizers_are_not_cut():
+    assert not token_files.encoder(token_files.public_path("word_bpe_49k.json")).cuts
+
+
 @pytest.mark.parametrize("frame_ids", [7, token_files.FRAME_IDS])
 def test_round_trip_of_odd_texts(spark, tmp_path, known, frame_ids):
     rows = [(3 * i - 5, t) for i, t in enumerate(TEXTS)] + [(40, "again")] * 4
