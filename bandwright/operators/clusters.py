@@ -1,9 +1,14 @@
 """Exact one-dimensional k-means centres per group, of any size.
 
 Values are first counted in bins, so a task sees a group as some thousand bins
-with their counts, never as its rows. The best cuts between bins are then sought
-again with the bins beside each cut taken apart, for every group alike, until the
-bins there are single steps of the grid on which values are told apart. Centres
+with their counts, never as its rows. Bounds then decide which bins matter. The
+best cut between bins is a lower bound of what cuts can gain. With every bin's
+values moved to its ends, count and mean kept, no centres gain less than before
+(what a value gains from fixed centres is convex in the value), so the best such
+split with a cut inside a bin is an upper bound for the best cuts of the values, if
+one of them is there. Bins whose upper bound falls short are closed for good; values
+inside the others are counted again in finer bins, down to single steps of the grid
+on which values are told apart. Most groups are settled by the first bins. Centres
 are means of the values themselves.
 """
 
@@ -18,15 +23,17 @@ from pyspark.sql import types as T
 
 from bandwright.config import ABOVE, BELOW
 from bandwright.functions import TICKS_PER_POINT, ticks
-from bandwright.operators.grains import GROUP_KEYS, join_on_keys
+from bandwright.operators.grains import GROUP_KEYS, join_on_keys, stack
 
 CENTRES = "centres"
 # Clusters of the values short of the goal, and of the others.
 CLUSTERS = {BELOW: 2, ABOVE: 3}
 HALF_KEYS = (*GROUP_KEYS, "side")
 
-# Bin widths in steps of the grid: 0.01, then 1e-6, then single steps.
-BIN_TICKS = (10**7, 10**3, 1)
+# Bin widths in steps of the grid, each a multiple of the next: 0.01 down to single steps.
+BIN_TICKS = (10**7, 10**5, 10**3, 10, 1)
+# Share of a gain that rounding may hide; a bin is closed only beyond it.
+NOISE = 1e-11
 
 
 def cluster_centres(counts: DataFrame, save: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
@@ -45,25 +52,23 @@ def cluster_centres(counts: DataFrame, save: Callable[[DataFrame, str], DataFram
         .groupBy(*HALF_KEYS)
         .agg(F.sum("n").alias("count"), (F.sum("goals") / F.sum("n")).alias("goal"))
     )
-    coarse, *finer = BIN_TICKS
-    points = save(binned(cells.withColumn("low", F.lit(0).cast("bigint")), coarse), "bins-0")
-    for level, width in enumerate(finer, start=1):
-        beside = (
-            solved(points)
-            .select(*HALF_KEYS, F.explode("solution.ranges").alias("range"))
-            .select(*HALF_KEYS, "range.low", "range.high")
-        )
-        beside = save(beside, f"cuts-{level}")
-        inside = join_on_keys(cells, beside, HALF_KEYS).filter(
-            F.col("point").between(F.col("low"), F.col("high"))
-        )
+    points = save(binned(cells, 0), "bins-0")
+    settled = []
+    for level, width in enumerate(BIN_TICKS):
+        cuts = save(solved(points, level), f"cuts-{level}")
+        settled.append(cuts.filter(F.size("open") == 0).select(*HALF_KEYS, F.col(CENTRES).alias("found")))
+        unsettled = cuts.filter(F.size("open") > 0)
+        if unsettled.isEmpty():
+            break
+        parted = unsettled.select(*HALF_KEYS, F.explode("open").alias("bin"))
+        inside = join_on_keys(cells.withColumn("bin", bin_number("point", width)), parted, (*HALF_KEYS, "bin"))
+        rest = join_on_keys(points, unsettled.select(*HALF_KEYS), HALF_KEYS, "left_semi")
         rest = join_on_keys(
-            points.withColumn("low", F.col("first")), beside, (*HALF_KEYS, "low"), "left_anti"
+            rest.withColumn("bin", bin_number("first", width)), parted, (*HALF_KEYS, "bin"), "left_anti"
         )
-        parted = rest.drop("low").unionByName(binned(inside, width))
-        points = save(parted, f"bins-{level}")
-    centres = solved(points).select(*HALF_KEYS, F.col("solution.centres").alias("found"))
-    joined = join_on_keys(sizes, centres, HALF_KEYS)
+        finer = rest.unionByName(binned(inside.drop("bin"), level + 1).withColumn("bin", F.lit(0)))
+        points = save(finer.drop("bin"), f"bins-{level + 1}")
+    joined = join_on_keys(sizes, stack(settled), HALF_KEYS)
     clusters = label_clusters()
     return joined.withColumn(CENTRES, F.when(F.col("count") > clusters, F.col("found"))).drop("found")
 
@@ -80,11 +85,14 @@ def percent_ticks() -> Column:
     ).cast("bigint").alias("point")
 
 
-def binned(cells: DataFrame, width: int) -> DataFrame:
-    """Cells counted in bins of ``width`` steps from ``low``."""
-    number = F.floor((F.col("point") - F.col("low")) / F.lit(width)).alias("bin")
+def bin_number(point: str, width: int) -> Column:
+    return F.floor(F.col(point) / F.lit(width))
+
+
+def binned(cells: DataFrame, level: int) -> DataFrame:
+    """Cells counted in the bins of a level."""
     return (
-        cells.groupBy(*HALF_KEYS, "low", number)
+        cells.groupBy(*HALF_KEYS, bin_number("point", BIN_TICKS[level]).alias("bin"))
         .agg(
             F.min("point").alias("first"),
             F.max("point").alias("last"),
@@ -92,34 +100,31 @@ def binned(cells: DataFrame, width: int) -> DataFrame:
             F.sum(F.col("point").cast("decimal(38,0)") * F.col("n")).cast("double").alias("steps"),
             F.sum("total").alias("total"),
         )
-        .drop("low", "bin")
+        .withColumn("level", F.lit(level))
+        .drop("bin")
     )
 
 
-def solved(points: DataFrame) -> DataFrame:
-    bins = F.array_sort(F.collect_list(F.struct("first", "last", "n", "steps", "total")))
+def solved(points: DataFrame, level: int) -> DataFrame:
+    """``centres`` of the best cuts between bins, and the bins of ``level`` left ``open``."""
+    fields = ("first", "last", "n", "steps", "total", "level")
+    bins = F.array_sort(F.collect_list(F.struct(*fields)))
+    columns = (F.col(f"bins.{name}") for name in fields)
     return (
         points.groupBy(*HALF_KEYS)
         .agg(bins.alias("bins"))
         .select(
             *HALF_KEYS,
-            best_cuts(
-                F.col("bins.first"),
-                F.col("bins.last"),
-                F.col("bins.n"),
-                F.col("bins.steps"),
-                F.col("bins.total"),
-                label_clusters(),
-            ).alias("solution"),
+            best_cuts(*columns, label_clusters(), F.lit(level), F.lit(BIN_TICKS[level])).alias("solution"),
         )
+        .select(*HALF_KEYS, f"solution.{CENTRES}", "solution.open")
     )
 
 
-RANGE = T.StructType([T.StructField("low", T.LongType()), T.StructField("high", T.LongType())])
 SOLUTION = T.StructType(
     [
-        T.StructField("centres", T.ArrayType(T.DoubleType())),
-        T.StructField("ranges", T.ArrayType(RANGE)),
+        T.StructField(CENTRES, T.ArrayType(T.DoubleType())),
+        T.StructField("open", T.ArrayType(T.LongType())),
     ]
 )
 
@@ -131,61 +136,118 @@ def best_cuts(
     n: pd.Series,
     steps: pd.Series,
     total: pd.Series,
+    level: pd.Series,
     k: pd.Series,
+    current: pd.Series,
+    width: pd.Series,
 ) -> pd.DataFrame:
-    """Centres of the best cuts between bins, and the bins beside the cuts.
+    """Centres of the best cuts between bins, and the numbers of the bins left open.
 
-    Centres are null with fewer bins than clusters; then all bins are to be parted.
+    Centres are null with fewer bins than clusters; then all bins are open.
     """
     import numpy as np
 
     found = []
-    for low, high, rows, sums, totals, clusters in zip(first, last, n, steps, total, k):
-        if len(low) < clusters:
-            centres, beside = None, range(len(low))
-        else:
-            # From the least value on, so that squares keep their last digits.
+    for low, high, rows, sums, totals, made, clusters, now, size in zip(
+        first, last, n, steps, total, level, k, current, width
+    ):
+        points = np.asarray(low)
+        wide = (points < np.asarray(high)) & (np.asarray(made) == now)
+        centres = None
+        if len(low) >= clusters:
             rows = np.asarray(rows, float)
-            edges = split_runs(rows, np.asarray(sums, float) - rows * low[0], clusters)
-            beside = sorted({e + side for e in edges[1:-1] for side in (-1, 0)})
-            centres = [
-                float(np.sum(totals[a:b]) / np.sum(rows[a:b])) for a, b in zip(edges, edges[1:])
-            ]
-        wide = [{"low": int(low[b]), "high": int(high[b])} for b in beside if low[b] < high[b]]
-        found.append((centres, wide))
-    return pd.DataFrame(found, columns=["centres", "ranges"])
+            # From the mean on, so that squares keep their last digits.
+            mean = np.sum(sums) / np.sum(rows)
+            low, high, sums = points - mean, high - mean, np.asarray(sums, float) - rows * mean
+            edges = split_runs(rows, sums, clusters)
+            runs = list(zip(edges, edges[1:]))
+            centres = [float(np.sum(totals[a:b]) / np.sum(rows[a:b])) for a, b in runs]
+            gained = sum(np.sum(sums[a:b]) ** 2 / np.sum(rows[a:b]) for a, b in runs)
+            if wide.any():
+                wide[wide] = inner_gains(low, high, rows, sums, clusters)[wide] >= gained * (1 - NOISE)
+        found.append((centres, [int(point) // int(size) for point in points[wide]]))
+    return pd.DataFrame(found, columns=[CENTRES, "open"])
+
+
+def inner_gains(low, high, n, sums, k: int):
+    """For every bin a bound of what the best ``k`` runs gain if one is cut inside it.
+
+    Each bin counts as two points at its ends with the bin's rows and sum; bins of one
+    value stay one point, and cannot be cut.
+    """
+    import numpy as np
+
+    wide = low < high
+    at_high = np.where(wide, (sums - n * low) / np.where(wide, high - low, 1.0), 0.0)
+    pairs = np.stack([n - at_high, at_high], axis=1)
+    of_pairs = np.stack([np.where(wide, pairs[:, 0] * low, sums), at_high * high], axis=1)
+    kept = np.stack([np.ones(len(n), bool), wide], axis=1).ravel()
+    weights, totals = pairs.ravel()[kept], of_pairs.ravel()[kept]
+    before = run_scores(weights, totals, k - 1)
+    after = [score[::-1] for score in run_scores(weights[::-1], totals[::-1], k - 1)]
+    best = np.max([a + b for a, b in zip(before, reversed(after))], axis=0)
+    places = np.cumsum(kept).reshape(-1, 2)[:, 0]
+    return np.where(wide, best[places], -np.inf)
+
+
+def run_scores(n, sums, k: int) -> list:
+    """Per number of runs up to ``k``, the most that the points before each end can gain."""
+    import numpy as np
+
+    weight = np.concatenate(([0.0], np.cumsum(n)))
+    total = np.concatenate(([0.0], np.cumsum(sums)))
+    scores = [first_scores(weight, total)]
+    for runs in range(2, k + 1):
+        scores.append(longer(scores[-1], weight, total, runs, (runs, len(n)))[0])
+    return scores
+
+
+def first_scores(weight, total):
+    import numpy as np
+
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(weight > 0, total**2 / weight, -np.inf)
+
+
+def longer(score, weight, total, runs: int, ends: tuple[int, int]):
+    """Scores of one run more at the given ends, and where the last run starts.
+
+    The best start of a last run does not go back as its end goes on, which halves
+    the search each time.
+    """
+    import numpy as np
+
+    size = len(weight) - 1
+    found, start = np.full(size + 1, -np.inf), np.zeros(size + 1, dtype="int64")
+    left = [(*ends, runs - 1, size - 1)]
+    while left:
+        a, b, lowest, highest = left.pop()
+        if a > b:
+            continue
+        end = (a + b) // 2
+        options = np.arange(lowest, min(highest, end - 1) + 1)
+        rest = total[end] - total[options]
+        values = score[options] + rest * rest / (weight[end] - weight[options])
+        best = int(values.argmax())
+        found[end], start[end] = values[best], options[best]
+        left.append((a, end - 1, lowest, int(start[end])))
+        left.append((end + 1, b, int(start[end]), highest))
+    return found, start
 
 
 def split_runs(n, sums, k: int) -> list[int]:
     """Edges of the ``k`` runs of points with the least squares; the first on ties.
 
-    Least squares within runs is most of sum**2 / n over runs. The best start of a
-    last run does not go back as its end goes on, which halves the search each time.
+    Least squares within runs is most of sum**2 / n over runs.
     """
     import numpy as np
 
     weight = np.concatenate(([0.0], np.cumsum(n)))
     total = np.concatenate(([0.0], np.cumsum(sums)))
     size = len(n)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        score = np.where(weight > 0, total**2 / weight, -np.inf)
-    starts = []
+    score, starts = first_scores(weight, total), []
     for runs in range(2, k + 1):
-        longer, start = np.full(size + 1, -np.inf), np.zeros(size + 1, dtype="int64")
-        ends = [(runs, size, runs - 1, size - 1)] if runs < k else [(size, size, runs - 1, size - 1)]
-        while ends:
-            a, b, lowest, highest = ends.pop()
-            if a > b:
-                continue
-            end = (a + b) // 2
-            options = np.arange(lowest, min(highest, end - 1) + 1)
-            rest = total[end] - total[options]
-            values = score[options] + rest * rest / (weight[end] - weight[options])
-            best = int(values.argmax())
-            longer[end], start[end] = values[best], options[best]
-            ends.append((a, end - 1, lowest, int(start[end])))
-            ends.append((end + 1, b, int(start[end]), highest))
-        score = longer
+        score, start = longer(score, weight, total, runs, (runs if runs < k else size, size))
         starts.append(start)
     edges = [size]
     for start in reversed(starts):

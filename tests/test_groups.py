@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bandwright.config import GRAINS
-from bandwright.operators.clusters import cluster_centres, split_runs
+from bandwright.operators.clusters import cluster_centres, inner_gains, split_runs
 from bandwright.operators.grains import value_counts
 from bandwright.operators.medians import approximate_median, exact_median
 from bandwright.operators.models import above_goal_summary, below_goal_summary, kmeans_thresholds
@@ -127,6 +127,12 @@ def test_centres_agree_with_brute_force(spark, clustered, side):
         f"U{n}": [round(draw.uniform(50, 100), draw.choice([0, 1, 2, 9])) for _ in range(n)]
         for n in range(1, 18)
     }
+    # The best cut lies in a bin that is not beside the best cut between bins.
+    samples["far bin"] = [50.0, 50.0098, 50.0101, 50.0102, 50.02]
+    samples |= {
+        f"few bins {seed}": [70 + draw.randint(0, 3) / 100 + draw.random() / 100 for _ in range(12)]
+        for seed in range(25)
+    }
     samples |= {f"near {n}": [80 + draw.random() * 0.03 for _ in range(n)] for n in range(4, 20, 3)}
     goal, k = (100.5, 2) if side == "below" else (0.0, 3)
     rows = [("R", u, str(i), v, goal) for u, vs in samples.items() for i, v in enumerate(vs)]
@@ -157,6 +163,53 @@ def test_runs_are_split_as_by_trying_all(spark):
                 assert means == pytest.approx(expected)
 
 
+@pytest.mark.parametrize("k", [2, 3])
+def test_bins_with_a_best_cut_inside_are_never_closed(k):
+    """The best of all cuts of random values against the bounds of bins of several values."""
+    draw = random.Random(k)
+    inside = 0
+    for _ in range(600):
+        values = sorted(draw.choice([draw.uniform(0, 40), draw.randint(0, 40)]) for _ in range(9))
+        bins = {}
+        for value in values:
+            bins.setdefault(value // 10, []).append(value)
+        held = list(bins.values())
+        if len(held) < k:
+            continue
+        low, high, n, sums = (np.array([f(v) for v in held], float) for f in (min, max, len, sum))
+        bounds = dict(zip(bins, inner_gains(low, high, n, sums, k)))
+
+        def gained(cuts):
+            runs = [values[a:b] for a, b in zip((0, *cuts), (*cuts, len(values)))]
+            return sum(sum(run) ** 2 / len(run) for run in runs)
+
+        best = max(combinations(range(1, len(values)), k - 1), key=gained)
+        for cut in best:
+            if values[cut - 1] // 10 == values[cut] // 10 and values[cut - 1] < values[cut]:
+                inside += 1
+                assert bounds[values[cut] // 10] >= gained(best) * (1 - 1e-12)
+    assert inside > 50
+
+
+def test_most_groups_are_settled_by_the_first_bins(spark):
+    """Values on a grid of 0.01 need one count of bins; of others few bins are read on in."""
+    draw = random.Random(1)
+    saved = {}
+
+    def save(df, name):
+        saved[name] = df.cache()
+        return saved[name]
+
+    rows = [("R", f"U{i % 40}", str(i), round(draw.uniform(50, 100), 2), 80.0) for i in range(4000)]
+    cluster_centres(value_counts(seen_of(spark, rows)), save).collect()
+    assert list(saved) == ["bins-0", "cuts-0"]
+    saved.clear()
+    rows = [("R", f"U{i % 8}", str(i), draw.uniform(79, 81), 80.0) for i in range(24_000)]
+    cluster_centres(value_counts(seen_of(spark, rows)), save).collect()
+    units = saved["cuts-0"].filter(F.col("grain_id") == UNIT_GRAIN.id)
+    assert 0 < units.select(F.sum(F.size("open"))).first()[0] < 50
+
+
 def test_large_groups_are_cut_fast():
     """As many bins as a task can see, with heavy counts."""
     n = np.full(40_000, 1e9) + np.arange(40_000) % 7
