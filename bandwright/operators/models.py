@@ -6,6 +6,8 @@ Every model returns ``grain_id``, the group keys, ``count``, ``level_1`` to
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,9 @@ from bandwright.functions import label_of, round_half_up, ticks
 from bandwright.operators.clusters import CENTRES
 from bandwright.operators.grains import GROUP_KEYS, join_on_keys
 
+# Column of a group's rubrics: one entry per model that has cuts for it.
+MODELS = "models"
+
 
 def goal_sd_thresholds(stats: DataFrame) -> DataFrame:
     """Half and whole standard deviations around the goal."""
@@ -78,6 +83,30 @@ def kmeans_thresholds(below: DataFrame, above: DataFrame) -> DataFrame:
     return complete.select(*GROUP_KEYS, "count", *LEVELS)
 
 
+def rubrics(
+    stats: DataFrame,
+    rules: Mapping[str, Callable[[DataFrame], DataFrame]],
+    tables: Mapping[str, DataFrame],
+    models: Sequence[str],
+) -> DataFrame:
+    """One row per group, its rubrics by all ``models`` in an array.
+
+    Models by rule are computed from the statistics; those with a table of their own
+    join it, as not every group is in it. An entry holds ``model``, ``count`` and the
+    levels.
+    """
+    found = stats.select(*stats.columns)
+    for place, model in enumerate(models):
+        entry = F.struct(F.lit(model).alias("model"), "count", *LEVELS).alias(f"entry_{place}")
+        if model in rules:
+            found = rules[model](found).select(*found.columns, entry)
+        else:
+            own = tables[model].select(*GROUP_KEYS, entry)
+            found = join_on_keys(found, own, GROUP_KEYS, "left")
+    entries = F.array_compact(F.array(*(f"entry_{place}" for place in range(len(models)))))
+    return found.select(*GROUP_KEYS, entries.alias(MODELS)).filter(F.size(MODELS) > 0)
+
+
 def apply_goal_rule(units: DataFrame) -> DataFrame:
     """Base rate, growth target and goal from a unit's counts and tier.
 

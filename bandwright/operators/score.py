@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from bandwright.config import GRAINS, KEYS, LEVELS, Grain
 from bandwright.functions import first_level, ticks
 from bandwright.operators.grains import grain_label, stack
+from bandwright.operators.models import MODELS
 
 GROUP_PREFIX = "group_"
 
@@ -23,8 +24,9 @@ def match_groups(
     observations: DataFrame,
     thresholds: Mapping[int, DataFrame],
     grains: Sequence[Grain] = GRAINS,
+    brought: Sequence[str] = LEVELS,
 ) -> DataFrame:
-    """One row per observation and grain, with its group's thresholds.
+    """One row per observation and grain, with the ``brought`` columns of its group.
 
     Each grain is an equi-join of its own against its own thresholds. The few
     groups of a coarse grain are broadcast where their measured size allows it;
@@ -35,7 +37,7 @@ def match_groups(
     values = observations.select(*KEYS, "value")
     types = {field.name: field.dataType.simpleString() for field in values.schema}
     return stack(
-        match_grain(values, thresholds[grain.id], grain, types) for grain in grains
+        match_grain(values, thresholds[grain.id], grain, types, brought) for grain in grains
     )
 
 
@@ -44,13 +46,14 @@ def match_grain(
     thresholds: DataFrame,
     grain: Grain,
     types: Mapping[str, str],
+    brought: Sequence[str],
 ) -> DataFrame:
     """``group_`` columns hold the group's own keys, null where it has none.
 
     The grain is a constant here, so a report on one grain skips the others.
     """
     groups = thresholds.select(
-        *(F.col(key).alias(f"right_{key}") for key in grain.keys), *LEVELS
+        *(F.col(key).alias(f"right_{key}") for key in grain.keys), *brought
     )
     same = " AND ".join(f"{key} <=> right_{key}" for key in grain.keys)
     own_keys = [
@@ -58,13 +61,20 @@ def match_grain(
         for key in KEYS
     ]
     return values.join(groups, F.expr(same)).selectExpr(
-        *KEYS, "value", f"{grain.id} AS grain_id", *own_keys, *LEVELS
+        *KEYS, "value", f"{grain.id} AS grain_id", *own_keys, *brought
     )
 
 
+def each_model(rows: DataFrame) -> DataFrame:
+    """A row per entry of ``models``, whose fields take the place of the array."""
+    others = [c for c in rows.columns if c != MODELS]
+    return rows.select(*others, F.inline(MODELS))
+
+
 def scored_rows(matched: DataFrame) -> DataFrame:
     """Observations with their level; the level is null where the group has no cuts."""
     level = first_level(ticks(F.col("value")), cuts())
+    model = [c for c in ("model",) if c in matched.columns]
     return matched.select(
-        *KEYS, "value", grain_label().alias("grain"), *LEVELS, level.alias("level")
+        *model, *KEYS, "value", grain_label().alias("grain"), *LEVELS, level.alias("level")
     )

@@ -24,22 +24,25 @@ def band_summary(matched: DataFrame, thresholds: DataFrame, kind: str = "sd") ->
     """Count and share of every band per group.
 
     Groups without thresholds are left out first. Rows bring their cuts alone; the
-    group's other attributes are joined to the counts, a row per group.
+    group's other attributes are joined to the counts, a row per group. Rows of several
+    models are told apart by ``model``, on both sides.
     """
     attributes = SUMMARY_ATTRIBUTES[kind]
+    model = [c for c in ("model",) if c in matched.columns]
     flags = band_flags(ticks(F.col("value")), cuts())
     tallied = (
         matched.filter(F.col("level_2").isNotNull())
-        .groupBy("grain_id", *(F.col(f"{GROUP_PREFIX}{key}").alias(key) for key in KEYS))
+        .groupBy(*model, "grain_id", *(F.col(f"{GROUP_PREFIX}{key}").alias(key) for key in KEYS))
         .agg(
             F.count(F.lit(1)).alias("rows"),
             *(F.count_if(flag).alias(f"count_level_{b}") for b, flag in zip(BANDS, flags)),
         )
     )
-    described = thresholds.select(*GROUP_KEYS, *attributes)
-    counted = join_on_keys(tallied, described, GROUP_KEYS)
+    keys = (*model, *GROUP_KEYS)
+    counted = join_on_keys(tallied, thresholds.select(*keys, *attributes), keys)
     shares = {f"percent_level_{b}": F.col(f"count_level_{b}") / F.col("rows") for b in BANDS}
     return counted.withColumns(shares).select(
+        *model,
         *KEYS,
         grain_label().alias("grain"),
         *attributes,

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import posixpath
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,9 +18,8 @@ from bandwright.config import (
     Measure,
 )
 from bandwright.functions import label_of
-from bandwright.operators.grains import stack
 from bandwright.operators.score import scored_rows
-from bandwright.operators.summary import model_rollup
+from bandwright.operators.summary import band_summary, model_rollup
 from bandwright.plans.pipeline import RubricRun
 from bandwright.sources.delimited import read_csv, write_csv
 
@@ -63,11 +62,10 @@ ROLLUP_COLUMNS = (
 )
 
 
-def labelled(df: DataFrame, model: str, measures: Sequence[Measure]) -> DataFrame:
-    """Model name and display names; an unknown code has a null display name."""
+def labelled(df: DataFrame, measures: Sequence[Measure]) -> DataFrame:
+    """Display names beside the codes; an unknown code has a null display name."""
     return df.withColumns(
         {
-            "model": F.lit(model),
             "grain_display": label_of(F.col("grain"), {g.label: g.display for g in GRAINS}),
             "measure_display": label_of(
                 F.col("measure_type"), {m.name: m.display for m in measures}
@@ -81,34 +79,18 @@ def published(df: DataFrame) -> DataFrame:
 
 
 def summaries_mart(
-    run: RubricRun, models: Iterable[str] = (MODEL_GOAL_SD,), once: bool = False
+    run: RubricRun, models: Sequence[str] = (MODEL_GOAL_SD,), once: bool = False
 ) -> DataFrame:
     """``once``: from matched rows that are written for the scored mart as well."""
-    return stack(
-        [
-            labelled(
-                run.summary(model, matched=run.matched_once(model) if once else None),
-                model,
-                run.measures,
-            ).select(*SUMMARY_COLUMNS)
-            for model in models
-        ]
-    )
+    counted = band_summary(run.matched_models(models, once), run.thresholds_of(models), "levels")
+    return labelled(counted, run.measures).select(*SUMMARY_COLUMNS)
 
 
 def scored_mart(
-    run: RubricRun, models: Iterable[str] = (MODEL_GOAL_SD,), once: bool = False
+    run: RubricRun, models: Sequence[str] = (MODEL_GOAL_SD,), once: bool = False
 ) -> DataFrame:
-    return stack(
-        [
-            labelled(
-                scored_rows(run.matched_once(model) if once else run.matched(model)),
-                model,
-                run.measures,
-            ).select(*SCORED_COLUMNS)
-            for model in models
-        ]
-    )
+    rows = scored_rows(run.matched_models(models, once))
+    return labelled(rows, run.measures).select(*SCORED_COLUMNS)
 
 
 def rollup_mart(summaries: DataFrame) -> DataFrame:

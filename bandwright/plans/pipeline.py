@@ -6,9 +6,11 @@ from collections.abc import Sequence
 from functools import cached_property
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from bandwright.config import (
     GRAINS,
+    LEVELS,
     MODEL_GOAL_SD,
     MODEL_KMEANS,
     MODEL_MEAN_SD,
@@ -19,14 +21,16 @@ from bandwright.operators.clusters import cluster_centres
 from bandwright.operators.grains import GROUP_KEYS, basic_stats, join_on_keys, value_counts
 from bandwright.operators.medians import approximate_median, exact_median
 from bandwright.operators.models import (
+    MODELS,
     above_goal_summary,
     below_goal_summary,
     goal_sd_thresholds,
     kmeans_thresholds,
     mean_sd_thresholds,
+    rubrics,
 )
 from bandwright.operators.observe import observations
-from bandwright.operators.score import match_groups
+from bandwright.operators.score import each_model, match_groups
 from bandwright.operators.summary import band_summary
 from bandwright.sources.workspace import Workspace
 
@@ -47,7 +51,8 @@ class RubricRun:
         self.measures = measures
         self.workspace = workspace
         self.floor = floor
-        self._matched: dict[str, DataFrame] = {}
+        self._rubrics: dict[tuple[str, ...], tuple[str, DataFrame]] = {}
+        self._matched: dict[tuple[str, ...], DataFrame] = {}
 
     @cached_property
     def observations(self) -> DataFrame:
@@ -104,15 +109,46 @@ class RubricRun:
         """Every observation with the levels of its group at every grain."""
         return match_groups(self.observations, self.thresholds_by_grain(model))
 
-    def matched_once(self, model: str) -> DataFrame:
-        """The same rows written, for summaries and scored rows to read."""
-        if model not in self._matched:
-            name = f"matched-{len(self._matched)}"
-            self._matched[model] = self.workspace.save(self.matched(model), name)
-        return self._matched[model]
-
-    def summary(
-        self, model: str, kind: str = "levels", matched: DataFrame | None = None
-    ) -> DataFrame:
-        rows = self.matched(model) if matched is None else matched
-        return band_summary(rows, self.thresholds(model, kind), kind)
+    def rubrics(self, models: Sequence[str]) -> tuple[str, DataFrame]:
+        """Name and rows of the written table of all models' rubrics, a row per group."""
+        key = tuple(models)
+        if key not in self._rubrics:
+            tables = {MODEL_KMEANS: self.kmeans} if MODEL_KMEANS in models else {}
+            name = f"rubrics-{len(self._rubrics)}"
+            found = rubrics(self.stats, SD_RULES, tables, models)
+            self._rubrics[key] = name, self.workspace.save(found, name, partition_by=["grain_id"])
+        return self._rubrics[key]
+
+    def thresholds_of(self, models: Sequence[str]) -> DataFrame:
+        """``model``, group keys, ``count`` and levels of all models."""
+        if len(models) == 1:
+            return self.thresholds(models[0]).withColumn("model", F.lit(models[0]))
+        return each_model(self.rubrics(models)[1])
+
+    def matched_arrays(self, models: Sequence[str]) -> DataFrame:
+        """Every observation with its group's levels by all models in one array.
+
+        As many joins as there are grains, whatever the number of models.
+        """
+        name, saved = self.rubrics(models)
+        levels = F.transform(MODELS, lambda m: F.struct(m["model"], *(m[c] for c in LEVELS)))
+        parts = self.workspace.parts(name, saved, "grain_id", [grain.id for grain in GRAINS])
+        bare = {grain_id: part.withColumn(MODELS, levels) for grain_id, part in parts.items()}
+        return match_groups(self.observations, bare, brought=[MODELS])
+
+    def matched_models(self, models: Sequence[str], once: bool = False) -> DataFrame:
+        """Rows of ``matched`` for every model, with ``model``.
+
+        ``once``: from a table that is written at the first call.
+        """
+        single = len(models) == 1
+        rows = self._matched.get(tuple(models))
+        if rows is None:
+            rows = self.matched(models[0]) if single else self.matched_arrays(models)
+            if once:
+                rows = self.workspace.save(rows, f"matched-{len(self._matched)}")
+                self._matched[tuple(models)] = rows
+        return rows.withColumn("model", F.lit(models[0])) if single else each_model(rows)
+
+    def summary(self, model: str, kind: str = "levels") -> DataFrame:
+        return band_summary(self.matched(model), self.thresholds(model, kind), kind)

@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from bandwright.config import GRAINS, SCHOOL_MEASURES
+from bandwright.config import GRAINS, MODEL_GOAL_SD, MODEL_KMEANS, MODEL_MEAN_SD, SCHOOL_MEASURES
 from bandwright.operators.grains import basic_stats, value_counts
 from bandwright.operators.medians import exact_median
 from bandwright.operators.models import goal_sd_thresholds
@@ -163,6 +163,39 @@ def test_both_marts_share_five_joins(spark, tmp_path, unbroadcast, monkeypatch):
     built["scored"].collect()
 
 
+def test_all_models_share_five_joins(spark, tmp_path, unbroadcast, monkeypatch):
+    goals = spark.createDataFrame(
+        [("R", "A", 80.0), ("S", "B", 70.0)], "region string, unit string, goal double"
+    )
+    draw = random.Random(2)
+    actuals = spark.createDataFrame(
+        [("2022", "LDOS", "AB"[i % 2], str(i % 3), 1, draw.uniform(50, 100)) for i in range(90)],
+        "period string, measure_type string, unit string, category string, "
+        "category_id int, result double",
+    )
+    workspace = Workspace(spark, str(tmp_path))
+    run = RubricRun(goals, actuals, SCHOOL_MEASURES, workspace)
+    plans = {}
+    real = workspace.save
+
+    def save(df, name, partition_by=()):
+        plans[name] = plan_of(df)
+        return real(df, name, partition_by)
+
+    monkeypatch.setattr(workspace, "save", save)
+    models = (MODEL_GOAL_SD, MODEL_MEAN_SD, MODEL_KMEANS)
+    built = marts.build_marts(run, models)
+    assert plans["matched-0"].count("SortMergeJoin") == 5
+    assert "SortMergeJoin" not in plan_of(built["scored"])
+    # A group that a model has no cuts for has no rows of that model; each model's
+    # rows are those of the model alone.
+    for model in models:
+        one = RubricRun(goals, actuals, SCHOOL_MEASURES, Workspace(spark, str(tmp_path)))
+        for name, mart in marts.build_marts(one, [model]).items():
+            among = built[name].filter(F.col("model") == model)
+            assert sorted(map(str, among.collect())) == sorted(map(str, mart.collect()))
+
+
 def test_hot_unit_is_one_row_in_the_coverage_join(spark, unbroadcast):
     goals = spark.createDataFrame([("R", "hot", 80.0), ("R", "cold", 80.0)], "region string, unit string, goal double")
     actuals = spark.range(1000).select(F.lit("hot").alias("unit"))
