@@ -60,6 +60,13 @@ class RubricRun:
         found = observations(self.goals, self.actuals, self.measures, self.floor)
         return self.workspace.save(found, "observations")
 
+    def only(self, periods: Sequence[str]) -> RubricRun:
+        """The run of some periods of the same observations; every group lies within one."""
+        workspace = Workspace(self.workspace.spark, self.workspace.root)
+        part = RubricRun(self.goals, self.actuals, self.measures, workspace, self.floor)
+        part.observations = self.observations.filter(F.col("period").isin(list(periods)))
+        return part
+
     @cached_property
     def stats(self) -> DataFrame:
         return self.workspace.save(

@@ -126,7 +126,7 @@ def summary(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def summaries(spark: SparkSession, folder: str) -> DataFrame:
-    return marts.published(marts.summaries_mart(star.star_run(spark, folder)))
+    return star.star_marts(spark, folder)["summaries"]
 
 
 def labelled_summary(spark: SparkSession, folder: str) -> DataFrame:
@@ -134,8 +134,8 @@ def labelled_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def model_rollup(spark: SparkSession, folder: str) -> DataFrame:
-    rollup = marts.rollup_mart(marts.summaries_mart(star.star_run(spark, folder)))
-    return marts.published(rollup).orderBy("model", "persistence_type", "grouped_by")
+    rollup = star.star_marts(spark, folder)["rollup"]
+    return rollup.orderBy("model", "persistence_type", "grouped_by")
 
 
 def overview_table(spark: SparkSession, folder: str) -> DataFrame:
@@ -157,7 +157,7 @@ def percent_display(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def scored_published(spark: SparkSession, folder: str) -> DataFrame:
-    return marts.published(marts.scored_mart(star.star_run(spark, folder)))
+    return star.star_marts(spark, folder)["scored"]
 
 
 def slice_scored(spark: SparkSession, folder: str) -> DataFrame:

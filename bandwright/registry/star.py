@@ -16,8 +16,9 @@ from bandwright.config import EXEMPT_GOAL, EXEMPT_TIER, Measure
 from bandwright.functions import round_half_up
 from bandwright.operators.models import apply_goal_rule
 from bandwright.operators.observe import ACTUAL_COLUMNS, observations
+from bandwright.plans.catalogue import MartCatalogue
 from bandwright.plans.pipeline import RubricRun
-from bandwright.sources.workspace import Workspace
+from bandwright.sources.workspace import Workspace, kept_while_running
 
 TIERS = 4
 
@@ -44,6 +45,8 @@ INDICATORS = {
     "SMALL": "Persistence 3",
     "STANDARD": "All Persistence",
 }
+# Tables that goals and results are made from.
+READ_TABLES = ("lineitem", "orders", "part", "supplier", "nation")
 # Lines of a cell below which the relational tables report 0.
 FEW_LINES = 10
 # Source of each measure's metrics in the relational tables.
@@ -243,3 +246,10 @@ def star_run(spark: SparkSession, folder: str) -> RubricRun:
     return RubricRun(
         goals(spark, folder, cells), actuals(cells), STAR_MEASURES, Workspace(spark)
     )
+
+
+def star_marts(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The published marts, from the application's catalogue if they are there."""
+    catalogue = MartCatalogue(spark, kept_while_running(spark, "bandwright-marts"))
+    paths = [posixpath.join(folder, f"{name}.parquet") for name in READ_TABLES]
+    return catalogue.refreshed(paths, lambda: star_run(spark, folder), parameters=STAR_MEASURES)

@@ -37,7 +37,7 @@ class Workspace:
         """Write ``df`` and return it as read back, with the same columns."""
         df.write.partitionBy(*partition_by).parquet(self.path(name))
         if not self.leaves_at_exit:
-            location, system = self.located(self.root)
+            location, system = located(self.spark, self.root)
             self.leaves_at_exit = system.deleteOnExit(location)
         return self.load(name, df)
 
@@ -63,21 +63,64 @@ class Workspace:
                 found[value] = like.limit(0)
         return found
 
-    def located(self, path: str):
-        """A path and the file system that holds it, as the cluster knows them."""
-        location = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return location, location.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
     def exists(self, path: str) -> bool:
-        location, system = self.located(path)
+        location, system = located(self.spark, path)
         return system.exists(location)
 
     def remove(self) -> None:
         """Delete the folder once nothing reads its tables any more."""
-        location, system = self.located(self.root)
+        location, system = located(self.spark, self.root)
         system.delete(location, True)
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's checkpoint folder, or else its warehouse, which is shared as well."""
     return spark.conf.get(CHECKPOINT_DIR, None) or spark.conf.get(WAREHOUSE_DIR)
+
+
+def located(spark: SparkSession, path: str):
+    """A path and the file system that holds it, as the cluster knows them."""
+    location = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return location, location.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def files_below(spark: SparkSession, path: str, deep: bool = True) -> list[str]:
+    """``path``, size and time, tab-separated, of every file below a path; none if it is missing."""
+    location, system = located(spark, path)
+    found = []
+    if system.exists(location):
+        left = system.listFiles(location, deep)
+        while left.hasNext():
+            file = left.next()
+            found.append(f"{file.getPath().toString()}\t{file.getLen()}\t{file.getModificationTime()}")
+    return found
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    [row] = spark.read.text(path, wholetext=True).collect()
+    return row["value"]
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, whole or not at all: it gets its name when it is written."""
+    location, system = located(spark, path)
+    made, _ = located(spark, posixpath.join(posixpath.dirname(path), f".{uuid.uuid4().hex}"))
+    out = system.create(made)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if not system.rename(made, location):
+        raise OSError(f"not written: {path}")
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    location, system = located(spark, path)
+    system.delete(location, True)
+
+
+def kept_while_running(spark: SparkSession, name: str) -> str:
+    """A shared folder of the application, by name, that goes when the application ends."""
+    path = posixpath.join(shared_folder(spark), f"{name}-{spark.sparkContext.applicationId}")
+    location, system = located(spark, path)
+    system.mkdirs(location)
+    system.deleteOnExit(location)
+    return path
