@@ -81,7 +81,7 @@ class RubricRun:
     @cached_property
     def exact_stats(self) -> DataFrame:
         """Statistics with the exact median."""
-        return join_on_keys(self.stats, exact_median(self.counts), GROUP_KEYS, "left")
+        return join_on_keys(self.stats, exact_median(self.counts, self.workspace.save), GROUP_KEYS, "left")
 
     def approximate_stats(self, accuracy: int = 10_000) -> DataFrame:
         """Opt-in: the median within 1/accuracy of its rank, in one pass."""

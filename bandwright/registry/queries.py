@@ -106,7 +106,8 @@ def grain_stats(spark: SparkSession, folder: str) -> DataFrame:
 
 def grain_median_located(spark: SparkSession, folder: str) -> DataFrame:
     """The median as it is located, without the other statistics."""
-    return with_grain(exact_median(star.star_run(spark, folder).counts))
+    run = star.star_run(spark, folder)
+    return with_grain(exact_median(run.counts, run.workspace.save))
 
 
 def thresholds_sd(spark: SparkSession, folder: str) -> DataFrame:

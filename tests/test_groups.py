@@ -54,12 +54,39 @@ def expected_by_group(rows, function):
     return {key: function(values) for key, values in groups.items()}
 
 
-@pytest.mark.parametrize("scales", [(1e2, 1e6), (1e2,), (0.01,)])
-def test_median_agrees_with_brute_force(skewed, scales):
+@pytest.mark.parametrize(("sorted_values", "bins"), [(10_000, 10_000), (100, 50), (1, 2), (3, 7)])
+def test_median_agrees_with_brute_force(spark, tmp_path, skewed, sorted_values, bins):
     rows, seen = skewed
     expected = expected_by_group(rows, statistics.median)
-    found = by_group(exact_median(value_counts(seen), scales), "median")
-    assert found == pytest.approx(expected, abs=1e-12)
+    save = Workspace(spark, str(tmp_path)).save
+    found = exact_median(save(value_counts(seen), "counts"), save, sorted_values, bins)
+    assert by_group(found, "median") == pytest.approx(expected, abs=1e-12)
+
+
+@pytest.mark.parametrize("scale", [1e9, 1e-9, 1.0, 1e300])
+@pytest.mark.parametrize("shape", ["even", "spread out", "one far off"])
+def test_medians_of_any_scale_take_few_bins_and_steps(spark, tmp_path, scale, shape):
+    draw = random.Random(f"{scale}{shape}")
+    make = {
+        "even": lambda: draw.uniform(-1, 1),
+        "spread out": lambda: draw.choice([-1, 1]) * 10 ** draw.uniform(-6, 0),
+        "one far off": lambda: draw.choice([1.0] + 500 * [1e-7]) * draw.random(),
+    }[shape]
+    rows = [("R", f"U{i % 2}", "1", scale * make(), None) for i in range(6000)]
+    workspace, parts = Workspace(spark, str(tmp_path)), {}
+
+    def save(df, name):
+        parts[name] = workspace.save(df, name)
+        return parts[name]
+
+    counts = workspace.save(value_counts(seen_of(spark, rows)), "counts")
+    found = by_group(exact_median(counts, save, sorted_values=60, bins=100), "median")
+    for key, value in expected_by_group(rows, statistics.median).items():
+        assert found[key] == pytest.approx(value, rel=1e-12)
+    # Data decide the bins: at most 101 of them, and the part shrinks from step to step.
+    most = [parts[f"medians-{k}"].select(F.max("values")).first()[0] for k in range(len(parts))]
+    assert most[0] > 60 >= most[-1] and len(most) <= 6
+    assert most == sorted(most, reverse=True)
 
 
 def test_small_medians_ties_and_signed_zeros(spark):
