@@ -469,6 +469,14 @@ def oracle_sql() -> dict[str, str]:
         + f"SELECT {GROUP_COLUMNS}, count, {LEVEL_COLUMNS} FROM kmeans",
         "kmeans_rollup": with_ctes("summary_kmeans") + rollup("kmeans"),
         "csv_roundtrip": "SELECT * FROM documents",
+        "csv_rejects": """
+            SELECT CASE WHEN fits THEN p_partkey::INT END AS key, CASE WHEN fits THEN p_size::INT END AS size,
+                   CASE WHEN fits THEN p_type END AS kind,
+                   CASE WHEN NOT fits THEN concat_ws(',', key, size, p_type) END AS record
+            FROM (SELECT *, p_partkey % 7 <> 0 AND p_partkey % 5 <> 0 AS fits,
+                         CASE WHEN p_partkey % 7 = 0 THEN 'no. ' ELSE '' END || p_partkey AS key,
+                         CASE WHEN p_partkey % 5 = 0 THEN 'size ' ELSE '' END || p_size AS size
+                  FROM part)""",
         "delimited_load": f"""
             SELECT s_suppkey, replace(s_name, '#', ' No ') AS s_name, s_nationkey,
                    {r6('s_acctbal')} AS s_acctbal, dataset

@@ -29,7 +29,7 @@ from bandwright.operators.observe import (
 from bandwright.operators.score import scored_rows
 from bandwright.plans import marts, report
 from bandwright.registry import star
-from bandwright.sources import delimited, relational
+from bandwright.sources import delimited, rejects, relational
 from bandwright.sources.preview import preview_all
 from bandwright.sources.workspace import Workspace
 
@@ -38,6 +38,13 @@ ONE_MEASURE = star.STAR_MEASURES[0]
 PLACES = 6
 # The one school year that the relational query asks for.
 SOURCE_YEAR = "1997"
+PART_FILE = T.StructType(
+    [
+        T.StructField("key", T.IntegerType()),
+        T.StructField("size", T.IntegerType()),
+        T.StructField("kind", T.StringType()),
+    ]
+)
 PREVIEWED = {"customer": "c_custkey", "orders": "o_orderkey", "part": "p_partkey"}
 
 
@@ -218,6 +225,24 @@ def csv_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     return delimited.read_csv(spark, path, documents.schema, line_breaks=True)
 
 
+def csv_rejects(spark: SparkSession, folder: str) -> DataFrame:
+    """Parts whose key or size is spoilt, apart from those that can be read."""
+    broken = F.col("p_partkey") % 7 == 0
+    size = F.when(F.col("p_partkey") % 5 == 0, F.concat(F.lit("size "), "p_size"))
+    parts = star.table(spark, folder, "part").select(
+        F.when(broken, F.concat(F.lit("no. "), "p_partkey")).otherwise(F.col("p_partkey").cast("string")).alias("key"),
+        F.coalesce(size, F.col("p_size").cast("string")).alias("size"),
+        F.col("p_type").alias("kind"),
+    )
+    workspace = Workspace(spark)
+    path = workspace.path("parts.csv")
+    delimited.write_csv(parts, path)
+    rows, unfit = rejects.read_csv_kept(spark, path, PART_FILE, workspace.save)
+    kept = rows.select("key", "size", "kind", F.lit(None).cast("string").alias("record"))
+    none = (F.lit(None).cast(kind).alias(c) for c, kind in (("key", "int"), ("size", "int"), ("kind", "string")))
+    return kept.unionByName(unfit.select(*none, "record"))
+
+
 def delimited_load(spark: SparkSession, folder: str) -> DataFrame:
     """One table in every separator and compression, loaded back as a folder."""
     suppliers = star.table(spark, folder, "supplier").withColumn(
@@ -319,6 +344,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "kmeans_thresholds": kmeans_thresholds,
         "kmeans_rollup": kmeans_rollup,
         "csv_roundtrip": csv_roundtrip,
+        "csv_rejects": csv_rejects,
         "delimited_load": delimited_load,
         "header_normalise": header_normalise,
         "preview": preview_tables,

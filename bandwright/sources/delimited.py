@@ -85,7 +85,11 @@ def read_csv(
 
 
 def read_goals(spark: SparkSession, path: str) -> DataFrame:
-    raw = normalise_headers(read_csv(spark, path, GOAL_FILE))
+    return school_goals(normalise_headers(read_csv(spark, path, GOAL_FILE)))
+
+
+def school_goals(raw: DataFrame) -> DataFrame:
+    """Goals under their school column names as goals of the results' next period."""
     return raw.select(
         F.col("academic_year").alias("period"),
         "region",
