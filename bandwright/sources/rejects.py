@@ -55,12 +55,14 @@ def read_csv_kept(
             mode="PERMISSIVE",
             columnNameOfCorruptRecord=text,
             multiLine=line_breaks,
+            # Else a row is judged by the columns that happen to be used.
+            columnPruning=False,
         )
         .csv(path)
     )
     columns = [F.col(f"`{c}`") for c in schema.names]
-    # With the text of a reject all columns are read, whichever are used. Spark refuses to
-    # read it alone, as a count of the rows would; so the filter looks at a column as well.
+    # Spark refuses to read the text of rejects alone, as a count of the rows would; so
+    # the filter looks at a column as well.
     length = F.length(F.coalesce(columns[0].cast("string"), F.lit("")))
     rows = parsed.filter(F.col(text).isNull() & (length >= 0)).select(*columns)
     unfit = parsed.filter(F.col(text).isNotNull()).select(
