@@ -55,15 +55,13 @@ def read_csv_kept(
             mode="PERMISSIVE",
             columnNameOfCorruptRecord=text,
             multiLine=line_breaks,
-            # Else a row is judged by the columns that happen to be used.
-            columnPruning=False,
         )
         .csv(path)
     )
     columns = [F.col(f"`{c}`") for c in schema.names]
-    # Spark refuses to read the text of rejects alone, as a count of the rows would; so
-    # the filter looks at a column as well.
-    length = F.length(F.coalesce(columns[0].cast("string"), F.lit("")))
+    # Spark converts only columns that are used, and would judge a row by them; so the
+    # filter looks at all of them.
+    length = F.length(F.concat_ws("", *(c.cast("string") for c in columns)))
     rows = parsed.filter(F.col(text).isNull() & (length >= 0)).select(*columns)
     unfit = parsed.filter(F.col(text).isNotNull()).select(
         F.col("_metadata.file_path").alias("file"),
