@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from bandwright.sources.workspace import Workspace
 
-__all__ = ["Workspace", "fits", "semi_join", "table"]
+__all__ = ["Workspace", "fits", "free", "semi_join", "table"]
 
 # Ids that a broadcast may hold; beyond it the same join is shuffled.
 BROADCAST_IDS = 1_000_000
@@ -19,6 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(posixpath.join(sf_dir, f"{name}.parquet"))
 
 
+def free(rows: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``rows`` doesn't have, in any case of letters."""
+    taken = {c.lower() for c in rows.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def fits(ids: DataFrame, limit: int = BROADCAST_IDS) -> bool:
     """Whether a written table is counted at ``limit`` rows or fewer."""
     return ids.count() <= limit

@@ -1,11 +1,13 @@
 """Words, lines and shingles of a column of texts, as arrays over its UTF-8 bytes.
 
 Everything here works on one Arrow batch inside a task. Hashes are 64-bit and
-depend on bytes only, so every task and every run gets the same ones.
+depend on bytes only, so every task and every run gets the same ones. Where equality
+itself is decided, use digests.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -149,9 +151,26 @@ class Prefixes:
         return mixed((self.sums[ends] - self.sums[starts]) * self.inverse[starts])
 
 
+# Longer runs can be made to agree in running sums modulo a power of two, so they are
+# told apart by a digest.
+LONG_RUN = 64
+
+
 def run_hashes(data: np.ndarray, found: Runs) -> np.ndarray:
     """A hash of each run's bytes."""
-    return Prefixes(data).hash(found.starts, found.ends)
+    hashes = Prefixes(data).hash(found.starts, found.ends)
+    long = np.flatnonzero(found.ends - found.starts > LONG_RUN)
+    if len(long):
+        hashes[long] = run_digests(data, found.starts[long], found.ends[long])[:, 0]
+    return hashes
+
+
+def run_digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The two halves of a 128-bit digest of each run's bytes."""
+    raw = data.tobytes()
+    spans = zip(starts.tolist(), ends.tolist())
+    found = b"".join(hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in spans)
+    return np.frombuffer(found, U64).reshape(-1, 2)
 
 
 def shingles(hashes: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
