@@ -6,10 +6,23 @@ all sentences of lines that hold a cue word, over all files. A part that is near
 template names its license. A file whose first or last part does is a licence file of its
 directory; files that name no license themselves take that of the nearest ancestor
 directory with a licence file.
+
+Bounds keep most texts out of the comparison, and lose no part. Terms without which a
+template cannot be reached are known from its weights (``telling``): a text with none of
+them is not cut into parts. Of a part, the weights of its template terms are known in
+the scan, and its other terms weigh no less than the commonest of them (``can_reach``).
+What is left, short texts like the templates, is shuffled and compared exactly.
 """
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,7 +75,7 @@ TEMPLATES = (
     ),
 )
 
-# A sentence is looked at if it holds one of these words (fixed values).
+# Sentences with one of these words are what document frequencies count (fixed values).
 CUES = (
     "license",
     "licensed",
@@ -79,6 +92,11 @@ SENTENCE_END = r"\n|(?<=[.!?])\s+"
 # Marks that a line of a comment begins with.
 MARK = r"(?:/\*+|\*+/?|//+|#+|--+|;+|%+|<!--+)"
 TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
+CUE = rf"(?i)(?<![a-z0-9])({'|'.join(CUES)})(?![a-z0-9])"
+# What rounding may add to a bound.
+SLACK = 1e-6
+# A term of every sentence, which counts them.
+ANY = ""
 
 
 def terms(text: Column) -> Column:
@@ -86,31 +104,34 @@ def terms(text: Column) -> Column:
 
 
 def sentences(files: DataFrame) -> DataFrame:
-    """``path, place, edge, sentence`` of the sentences with a cue word; place from 0.
+    """``path, place, edge, sentence`` of all sentences of single lines; place from 0.
 
     ``edge`` says whether it is the first or the last sentence.
     """
-    cue = rf"(?i)(?<![a-z0-9])({'|'.join(CUES)})(?![a-z0-9])"
-    # Most texts have no cue at all and are not cut into sentences.
     return (
-        files.filter(F.col("text").rlike(cue))
-        .select("path", F.split(F.regexp_replace("text", r"^\s+|\s+$", ""), SENTENCE_END).alias("all"))
+        files.select("path", F.split(F.regexp_replace("text", r"^\s+|\s+$", ""), SENTENCE_END).alias("all"))
         .select("path", F.size("all").alias("n"), F.posexplode("all").alias("place", "sentence"))
-        .filter(F.col("sentence").rlike(cue))
         .withColumn("edge", (F.col("place") == 0) | (F.col("place") == F.col("n") - 1))
-        .drop("n")
+        .select("path", "place", "edge", "sentence")
     )
 
 
+def frequencies(files: DataFrame) -> DataFrame:
+    """``term, held``: sentences with a cue word that hold the term; ANY counts them all."""
+    # Most texts have no cue at all and are not cut into sentences.
+    said = sentences(files.filter(F.col("text").rlike(CUE))).filter(F.col("sentence").rlike(CUE))
+    held = F.array_append(F.array_distinct(terms(F.col("sentence"))), ANY)
+    return said.select(F.explode(held).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("held"))
+
+
 def units(files: DataFrame) -> DataFrame:
     """``path, place, edge, sentence`` of the parts of a text over several lines.
 
     Lines lose their comment marks and are joined: to paragraphs, which blank lines end,
-    to the sentences of these, to the leading comment, and to the whole text. Those
-    with a cue word are given. ``edge`` says whether a part begins or ends the text;
-    ``place`` comes after those of ``sentences``.
+    to the sentences of these, to the leading comment, and to the whole text.
+    ``edge`` says whether a part begins or ends the text; ``place`` comes after those of
+    ``sentences``.
     """
-    cue = rf"(?i)(?<![a-z0-9])({'|'.join(CUES)})(?![a-z0-9])"
 
     def joined(text: Column) -> Column:
         return F.trim(F.regexp_replace(text, r"\s+", " "))
@@ -136,8 +157,7 @@ def units(files: DataFrame) -> DataFrame:
     )
     after = F.length("whole")
     return (
-        files.filter(F.col("text").rlike(cue))
-        .select("path", text.alias("whole"))
+        files.select("path", text.alias("whole"))
         .withColumn(
             "blocks",
             F.transform(F.split(F.trim(plain(F.col("whole"))), r"\n[ \t\r]*\n\s*"), joined),
@@ -157,7 +177,6 @@ def units(files: DataFrame) -> DataFrame:
             ).alias("u"),
         )
         .select("path", (F.col("shift") + F.col("u.place")).cast("int").alias("place"), "u.edge", "u.sentence")
-        .filter(F.col("sentence").rlike(cue))
     )
 
 
@@ -175,6 +194,82 @@ def counted(rows: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+@dataclass(frozen=True)
+class Bounds:
+    """Weights of the templates' terms, each template's share of them, and of others the least."""
+
+    weights: dict[str, float]
+    templates: list[dict[str, float]]
+    others: float
+    least: float
+
+    def telling(self) -> set[str]:
+        """Terms of which a part must hold one to reach any template.
+
+        The cosine is no more than the root of what the part's terms hold of the
+        template's squares; so of its heaviest terms, those that leave too little.
+        """
+        found = set()
+        for shares in self.templates:
+            left = 1.0
+            for term in sorted(shares, key=lambda t: (-shares[t], t)):
+                if math.sqrt(max(left, 0.0)) + SLACK < self.least:
+                    break
+                found.add(term)
+                left -= shares[term] ** 2
+        return found
+
+    def can_reach(self, text: str) -> bool:
+        """Whether some template may be near enough; its cosine counts other terms too light."""
+        held = Counter(re.findall(TERM, text.lower()))
+        own = {term: n * self.weights[term] for term, n in held.items() if term in self.weights}
+        square = sum(w * w for w in own.values())
+        square += sum((n * self.others) ** 2 for term, n in held.items() if term not in self.weights)
+        reach = (self.least - SLACK) * math.sqrt(square)
+        return bool(own) and any(
+            sum(w * shares[term] for term, w in own.items() if term in shares) >= reach
+            for shares in self.templates
+        )
+
+
+def bounds(seen: DataFrame, total: int, least: float) -> Bounds:
+    """From the frequencies of the templates' terms, a few hundred rows, and one more."""
+    counts = [Counter(re.findall(TERM, text.lower())) for _, text in TEMPLATES]
+    known = sorted(set().union(*counts))
+    held = {r["term"]: r["held"] for r in seen.filter(F.col("term").isin(known)).collect()}
+    most = seen.filter(~F.col("term").isin([*known, ANY])).agg(F.max("held")).first()[0] or 0
+
+    def weight(n: int) -> float:
+        return math.log((total + 1) / (n + 1)) + 1
+
+    weights = {term: weight(held.get(term, 0)) for term in known}
+    templates = []
+    for count in counts:
+        length = math.sqrt(sum((n * weights[term]) ** 2 for term, n in count.items()))
+        templates.append({term: n * weights[term] / length for term, n in count.items()})
+    return Bounds(weights, templates, weight(most), least)
+
+
+def filtered(rows: DataFrame, column: str, keep) -> DataFrame:
+    """Rows whose text, a null one as an empty one, is kept."""
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([keep(t or "") for t in batch.column(column).to_pylist()], pa.bool_()))
+
+    return rows.mapInArrow(chosen, rows.schema)
+
+
+def parts_in_reach(files: DataFrame, limit: Bounds, workspace: Workspace) -> DataFrame:
+    """``path, place, edge, sentence`` of the parts that may be near a template."""
+    told = re.compile("|".join(re.escape(t) for t in sorted(limit.telling())) or r"(?!)")
+    # A term is found inside longer words as well; that keeps more texts, never fewer.
+    texts = workspace.save(
+        filtered(files.select("path", "text"), "text", lambda t: told.search(t.lower()) is not None), "told"
+    )
+    return filtered(sentences(texts).unionByName(units(texts)), "sentence", limit.can_reach)
+
+
 def matches(files: DataFrame, workspace: Workspace, least: float = LEAST_COSINE) -> DataFrame:
     """``path, place, edge, license, cosine``: the best template of each part near one.
 
@@ -182,22 +277,12 @@ def matches(files: DataFrame, workspace: Workspace, least: float = LEAST_COSINE)
     first template.
     """
     spark = files.sparkSession
-    found = workspace.save(
-        sentences(files)
-        .withColumn("counts", F.lit(1))
-        .unionByName(units(files).withColumn("counts", F.lit(0)))
-        .withColumn("key", F.sha2("sentence", 256)),
-        "sentences",
-    )
-    kinds = workspace.save(
-        found.groupBy("key").agg(
-            F.first("sentence").alias("sentence"), F.sum("counts").alias("times")
-        ),
-        "kinds",
-    )
-    of_kind = workspace.save(counted(kinds, "key", "times"), "terms")
-    total = found.filter("counts = 1").count()
-    seen = of_kind.groupBy("term").agg(F.sum("times").alias("held"))
+    seen = workspace.save(frequencies(files), "seen")
+    total = seen.filter(F.col("term") == ANY).agg(F.sum("held")).first()[0] or 0
+    parts = parts_in_reach(files, bounds(seen, total, least), workspace)
+    found = workspace.save(parts.withColumn("key", F.sha2("sentence", 256)), "sentences")
+    kinds = workspace.save(found.groupBy("key").agg(F.first("sentence").alias("sentence")), "kinds")
+    of_kind = workspace.save(counted(kinds, "key"), "terms")
     # Smoothed; a term in no sentence weighs the most.
     weight = F.log((F.lit(total) + 1) / (F.coalesce("held", F.lit(0)) + 1)) + 1
     template_terms = counted(template_table(spark), "template", "license")
@@ -207,7 +292,7 @@ def matches(files: DataFrame, workspace: Workspace, least: float = LEAST_COSINE)
     templates = F.broadcast(
         weighed.join(norms, "template").select("template", "license", "term", (F.col("w") / F.col("length")).alias("t"))
     )
-    vectors = of_kind.join(seen, "term").withColumn("w", F.col("n") * weight)
+    vectors = of_kind.join(seen, "term", "left").withColumn("w", F.col("n") * weight)
     lengths = vectors.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
     best = (
         vectors.join(templates, "term")
@@ -288,19 +373,22 @@ def scanned(files: DataFrame, workspace: Workspace, least: float = LEAST_COSINE)
 
 
 def document_files(documents: DataFrame) -> DataFrame:
-    """Documents as files: source, language, a directory of 100 ids, the id.
+    """Documents as files below ``source/language``, by the hundreds and tens of their ids.
 
-    A null part of a path is the name ``none``.
+    Ids that end in 00 stand in the language's directory, others that end in 0 in that of
+    their hundred, the rest in that of their ten. A null part of a path is the name ``none``.
     """
     part = lambda column: F.coalesce(column.cast("string"), F.lit("none"))
+    doc = F.col("doc_id")
     return documents.select(
         "doc_id",
         F.concat_ws(
             "/",
             part(F.col("source")),
             part(F.col("lang")),
-            part(F.floor(F.col("doc_id") / 100)),
-            part(F.col("doc_id")),
+            F.when((doc % 100 != 0) | doc.isNull(), part(F.floor(doc / 100))),
+            F.when((doc % 10 != 0) | doc.isNull(), part(F.floor(doc / 10))),
+            part(doc),
         ).alias("path"),
         "text",
     )
