@@ -7,9 +7,8 @@ template names its license. A file whose first or last part does is a licence fi
 directory; files that name no license themselves take that of the nearest ancestor
 directory with a licence file.
 
-Bounds keep most texts out of the comparison, and lose no part. Terms without which a
-template cannot be reached are known from its weights (``telling``): a text with none of
-them is not cut into parts. Of a part, the weights of its template terms are known in
+Bounds keep most texts out of the comparison, and lose no part. A text whose terms hold
+too little of every template is not cut into parts (``may_hold``). Of a part, the weights of its template terms are known in
 the scan, and its other terms weigh no less than the commonest of them (``can_reach``).
 What is left, short texts like the templates, is shuffled and compared exactly.
 """
@@ -203,21 +202,17 @@ class Bounds:
     others: float
     least: float
 
-    def telling(self) -> set[str]:
-        """Terms of which a part must hold one to reach any template.
+    def may_hold(self, text: str) -> bool:
+        """Whether a part of a text may be near some template, by the terms that it has at all.
 
-        The cosine is no more than the root of what the part's terms hold of the
-        template's squares; so of its heaviest terms, those that leave too little.
+        A cosine is no more than the root of what the part's terms hold of the
+        template's squares, and the text's terms hold no less.
         """
-        found = set()
-        for shares in self.templates:
-            left = 1.0
-            for term in sorted(shares, key=lambda t: (-shares[t], t)):
-                if math.sqrt(max(left, 0.0)) + SLACK < self.least:
-                    break
-                found.add(term)
-                left -= shares[term] ** 2
-        return found
+        held = self.weights.keys() & re.findall(TERM, text.lower())
+        enough = (self.least - SLACK) ** 2
+        return any(
+            sum(shares[term] ** 2 for term in held if term in shares) >= enough for shares in self.templates
+        )
 
     def can_reach(self, text: str) -> bool:
         """Whether some template may be near enough; its cosine counts other terms too light."""
@@ -262,11 +257,7 @@ def filtered(rows: DataFrame, column: str, keep) -> DataFrame:
 
 def parts_in_reach(files: DataFrame, limit: Bounds, workspace: Workspace) -> DataFrame:
     """``path, place, edge, sentence`` of the parts that may be near a template."""
-    told = re.compile("|".join(re.escape(t) for t in sorted(limit.telling())) or r"(?!)")
-    # A term is found inside longer words as well; that keeps more texts, never fewer.
-    texts = workspace.save(
-        filtered(files.select("path", "text"), "text", lambda t: told.search(t.lower()) is not None), "told"
-    )
+    texts = workspace.save(filtered(files.select("path", "text"), "text", limit.may_hold), "texts")
     return filtered(sentences(texts).unionByName(units(texts)), "sentence", limit.can_reach)
 
 
