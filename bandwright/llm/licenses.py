@@ -7,8 +7,10 @@ template names its license. A file whose first or last part does is a licence fi
 directory; files that name no license themselves take that of the nearest ancestor
 directory with a licence file.
 
-Bounds keep most texts out of the comparison, and lose no part. A text whose terms hold
-too little of every template is not cut into parts (``may_hold``). Of a part, the weights of its template terms are known in
+Parts without a cue word name no license: weights come from sentences that have one, and
+by those a bare "By." would be near "Licensed under CC BY 4.0.". Of the others, bounds keep
+most out of the comparison, and lose none. A text whose terms hold too little of every
+template is not cut into parts (``may_hold``). Of a part, the weights of its template terms are known in
 the scan, and its other terms weigh no less than the commonest of them (``can_reach``).
 What is left, short texts like the templates, is shuffled and compared exactly.
 """
@@ -74,7 +76,7 @@ TEMPLATES = (
     ),
 )
 
-# Sentences with one of these words are what document frequencies count (fixed values).
+# Parts are compared, and sentences counted, if they hold one of these words (fixed values).
 CUES = (
     "license",
     "licensed",
@@ -115,11 +117,14 @@ def sentences(files: DataFrame) -> DataFrame:
     )
 
 
+def cued(rows: DataFrame, column: str) -> DataFrame:
+    return rows.filter(F.col(column).rlike(CUE))
+
+
 def frequencies(files: DataFrame) -> DataFrame:
     """``term, held``: sentences with a cue word that hold the term; ANY counts them all."""
-    # Most texts have no cue at all and are not cut into sentences.
-    said = sentences(files.filter(F.col("text").rlike(CUE))).filter(F.col("sentence").rlike(CUE))
     held = F.array_append(F.array_distinct(terms(F.col("sentence"))), ANY)
+    said = cued(sentences(files), "sentence")
     return said.select(F.explode(held).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("held"))
 
 
@@ -255,10 +260,10 @@ def filtered(rows: DataFrame, column: str, keep) -> DataFrame:
     return rows.mapInArrow(chosen, rows.schema)
 
 
-def parts_in_reach(files: DataFrame, limit: Bounds, workspace: Workspace) -> DataFrame:
+def parts_in_reach(files: DataFrame, limit: Bounds) -> DataFrame:
     """``path, place, edge, sentence`` of the parts that may be near a template."""
-    texts = workspace.save(filtered(files.select("path", "text"), "text", limit.may_hold), "texts")
-    return filtered(sentences(texts).unionByName(units(texts)), "sentence", limit.can_reach)
+    texts = filtered(files, "text", limit.may_hold)
+    return filtered(cued(sentences(texts).unionByName(units(texts)), "sentence"), "sentence", limit.can_reach)
 
 
 def matches(files: DataFrame, workspace: Workspace, least: float = LEAST_COSINE) -> DataFrame:
@@ -268,9 +273,11 @@ def matches(files: DataFrame, workspace: Workspace, least: float = LEAST_COSINE)
     first template.
     """
     spark = files.sparkSession
-    seen = workspace.save(frequencies(files), "seen")
+    # Most texts have no cue at all.
+    texts = workspace.save(cued(files.select("path", "text"), "text"), "texts")
+    seen = workspace.save(frequencies(texts), "seen")
     total = seen.filter(F.col("term") == ANY).agg(F.sum("held")).first()[0] or 0
-    parts = parts_in_reach(files, bounds(seen, total, least), workspace)
+    parts = parts_in_reach(texts, bounds(seen, total, least))
     found = workspace.save(parts.withColumn("key", F.sha2("sentence", 256)), "sentences")
     kinds = workspace.save(found.groupBy("key").agg(F.first("sentence").alias("sentence")), "kinds")
     of_kind = workspace.save(counted(kinds, "key"), "terms")
