@@ -22,23 +22,30 @@ SELECT conv_id, n_turns, turns AS turns_sha256, length(loss)::BIGINT AS loss_cha
 FROM learned
 """
 
-WARC = """
+WARC = r"""
 WITH hashed AS (
-  SELECT page_id, encode(coalesce(html, '')) AS payload,
-         upper(sha1(coalesce(html, ''))) AS hex
-  FROM pages WHERE page_id IS NOT NULL
+  SELECT page_id, encode(coalesce(html, '')) AS payload, upper(sha1(coalesce(html, ''))) AS hex,
+         sha256(regexp_replace(coalesce(url, ''), '[\r\n]+', ' ', 'g') || chr(10)
+                || sha256(coalesce(html, ''))) AS content
+  FROM pages
 ), firsts AS (
-  SELECT payload, min(page_id) AS first_id FROM hashed GROUP BY payload
+  SELECT payload, any_value(hex) AS hex, min(page_id) AS first_id,
+         min(content) FILTER (page_id IS NULL) AS first_content
+  FROM hashed GROUP BY payload
 ), digits AS (
-  SELECT page_id, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  SELECT payload, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
            1 + ((('0x' || substr(hex, 1 + 10 * (k // 8), 10))::BIGINT >> (5 * (7 - k % 8))) & 31)::INT,
            1), '' ORDER BY k) AS digest
-  FROM hashed, range(32) r(k) GROUP BY page_id
+  FROM firsts, range(32) r(k) GROUP BY payload
+), typed AS (
+  SELECT *, CASE WHEN page_id IS NULL THEN first_id IS NULL AND content = first_content
+                 ELSE page_id = first_id END AS own
+  FROM hashed JOIN firsts USING (payload)
 )
 SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, digest AS payload_digest,
-       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
-FROM hashed JOIN firsts USING (payload) JOIN digits USING (page_id)
+       CASE WHEN own THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN NOT own THEN first_id END AS refers_to
+FROM typed JOIN digits USING (payload)
 """
 
 MIXING = r"""

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import re
 
 import pytest
 
@@ -73,9 +74,43 @@ def test_damaged_payload_is_noticed(spark):
 def test_repeated_rows_rows_without_id_and_no_rows(spark):
     rows = [(1, "u", "a"), (1, "u", "a"), (None, "u", "a"), (2, "u", "a")]
     found = warc.parsed(warc.read(archive(spark, rows))).collect()
-    assert sorted((r["page_id"], r["record_type"]) for r in found) == [
-        (1, "response"),
-        (1, "response"),
-        (2, "revisit"),
+    assert sorted((r["page_id"] or 9, r["record_type"], r["refers_to"] or 0) for r in found) == [
+        (1, "response", 0),
+        (1, "response", 0),
+        (2, "revisit", 1),
+        (9, "revisit", 1),
     ]
     assert warc.read(archive(spark, [])).count() == 0
+
+
+def test_rows_without_id_are_records_named_by_their_content(spark):
+    rows = [(None, "u", "a"), (None, "v", "a"), (None, "v", "a"), (None, None, "b"), (None, "u", None)]
+    records = warc.read(archive(spark, rows))
+    found = warc.parsed(records).collect()
+    assert {r["page_id"] for r in found} == {r["refers_to"] for r in found} == {None}
+    kinds = {(r["url"] or "", r["payload_bytes"]): r["record_type"] for r in found}
+    assert len(found) == 5 and kinds["", 1] == kinds["u", 0] == "response"
+    # Of the two urls of one payload one is the response, the other revisits it.
+    heads = [bytes(r["header"]).decode() for r in records.collect()]
+    ids = {re.search(r"WARC-Record-ID: (\S+)", h)[1]: re.search(r"WARC-Type: (\S+)", h)[1] for h in heads}
+    assert len(ids) == 4 and sorted(ids.values()) == ["response", "response", "response", "revisit"]
+    [referred] = {m[1] for h in heads if (m := re.search(r"WARC-Refers-To: (\S+)", h))}
+    assert ids[referred] == "response"
+
+
+def test_every_record_is_dated(spark):
+    workspace = Workspace(spark)
+    warc.write(spark.createDataFrame([(1, "u", "a")], "page_id long, url string, html string"), workspace, "2024-05-06T07:08:09Z")
+    [row] = warc.read(workspace).collect()
+    assert b"\r\nWARC-Date: 2024-05-06T07:08:09Z\r\n" in bytes(row["header"])
+
+
+def test_a_header_that_states_another_digest_is_noticed(spark):
+    workspace = archive(spark, [(1, "u", "a"), (2, "u", "b")])
+    headers = spark.read.parquet(workspace.path("headers")).collect()
+    keys = {r["page_id"]: r["key"] for r in headers}
+    swapped = [(r["page_id"], keys[3 - r["page_id"]], bytes(r["header"])) for r in headers]
+    frame = spark.createDataFrame(swapped, "page_id long, key string, header binary")
+    frame.write.mode("overwrite").parquet(workspace.path("headers"))
+    with pytest.raises(Exception, match="states another digest"):
+        warc.read(workspace).collect()
