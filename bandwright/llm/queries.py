@@ -70,8 +70,8 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     learned = F.col("learned")
     return (
-        formatted.withColumn("read", chat.parsed(F.col("formatted")))
-        .withColumn("learned", chat.loss_text(F.col("formatted"), F.col("loss_spans")))
+        chat.read_back(formatted)
+        .withColumn("read", chat.parsed(F.col("formatted")))
         .select(
             "conv_id",
             F.size(turns).cast("long").alias("n_turns"),

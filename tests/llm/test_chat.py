@@ -93,13 +93,11 @@ def test_round_trip_of_control_strings(spark, seed):
     ]
     table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, message int")
     formatted = chat.rendered(chat.folded(chat.turn_events(table)))
-    found = formatted.select(
-        "conv_id",
-        "formatted",
-        chat.parsed(F.col("formatted")).alias("turns"),
-        chat.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"),
-    ).collect()
+    read = chat.read_back(formatted).withColumn("turns", chat.parsed(F.col("formatted")))
+    found = read.withColumnRenamed("learned", "loss").collect()
     assert len(found) == 60
+    texts = {r["conv_id"]: r["formatted"] for r in formatted.collect()}
+    assert texts == {r["conv_id"]: r["formatted"] for r in found}
     for r in found:
         own = sorted(row[1:4] for row in rows if row[0] == r["conv_id"])
         assert [(t["role"], t["text"]) for t in r["turns"]] == [x[1:] for x in own]
@@ -117,6 +115,41 @@ def test_nulls_repeats_and_no_rows(spark):
     assert empty.count() == 0
 
 
+def test_a_conversation_of_many_turns(spark):
+    """Work grows with the turns: 20 000 of them in one conversation finish."""
+    turns = spark.range(20_000).select(
+        F.lit(1).alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") % 2 == 1, "assistant").otherwise("user").alias("role"),
+        F.concat(F.lit("[INST] turn "), F.col("id")).alias("text"),
+    )
+    formatted = chat.rendered(chat.folded(chat.turn_events(turns)))
+    [row] = chat.read_back(formatted).withColumn("turns", chat.parsed(F.col("formatted"))).collect()
+    assert [t["text"] for t in row["turns"]] == [f"[INST] turn {k}" for k in range(20_000)]
+    assert row["learned"] == "".join(f"[INST] turn {k}" for k in range(1, 20_000, 2))
+
+
+def test_drafts_are_answered_before_they_are_thrown_away(spark):
+    rows = [(1, 0, "user", "question"), (1, 1, "assistant", "an answer"), (1, 2, "user", "thanks")]
+    events = chat.turn_events(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    log = events.orderBy("seq").collect()
+    again = next(e for e in log if e["kind"] == "regenerate")
+    assert any(e["seq"] < again["seq"] and e["message"] > again["message"] for e in log)
+    [row] = chat.folded(events).collect()
+    assert [(t["role"], t["text"]) for t in row["turns"]] == [r[2:] for r in rows]
+
+
+def test_events_without_a_number_or_a_place(spark):
+    events = [
+        (1, None, 0, "start", "user", None),
+        (1, 3, 0, "delta", None, "kept"),
+        (1, None, 0, "regenerate", None, None),
+        (1, 4, None, "delta", "user", "nowhere"),
+        (1, 4, None, "edit", None, "x"),
+    ]
+    assert turns_of(spark, events) == {1: [("", ""), ("user", "kept")]}
+
+
 def test_no_python_in_the_plan(spark, star_folder):
     from bandwright.llm import queries
 
