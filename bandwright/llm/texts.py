@@ -167,7 +167,7 @@ def run_hashes(data: np.ndarray, found: Runs) -> np.ndarray:
 
 def run_digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The two halves of a 128-bit digest of each run's bytes."""
-    raw = data.tobytes()
+    raw = memoryview(np.ascontiguousarray(data))
     spans = zip(starts.tolist(), ends.tolist())
     found = b"".join(hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in spans)
     return np.frombuffer(found, U64).reshape(-1, 2)
