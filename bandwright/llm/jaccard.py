@@ -6,8 +6,9 @@ all shingles. The order begins with a fixed sample of the shingles, those first
 that no two texts share: bit maps, of one size for any corpus, say how often the
 shared ones of the sample occur, by hash class. A sampled shingle whose class is
 blank is in one text only and needs no list. Lists of items by prefix shingle are
-skipped as a whole when they hold one component, and in blocks of size and
-position when no pair of two blocks can reach the overlap it needs.
+skipped as a whole when they hold one component, and in blocks of size when no pair
+of two blocks can reach the overlap it needs; of pairs that meet, positions tell which
+can.
 
 In lists with many pairs to answer, answers are derived from a leader's. Each item
 there is compared with one leader of its lists, and keeps only what it has more and
