@@ -11,7 +11,8 @@ from bandwright.sources.workspace import Workspace
 
 __all__ = ["Workspace", "fits", "free", "semi_join", "table"]
 
-# Ids that a broadcast may hold; beyond it the same join is shuffled.
+# Ids that a broadcast may hold; beyond it the same join is shuffled. Ids are numbers,
+# structs of them or digests, so their number bounds their bytes as well.
 BROADCAST_IDS = 1_000_000
 
 

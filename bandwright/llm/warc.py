@@ -108,7 +108,8 @@ def write(pages: DataFrame, workspace: Workspace, date: str = UNDATED) -> None:
     # Only the narrow list of repeats meets the payloads; these are not shuffled
     # unless the list is long. An id may have several payloads, so records are told
     # apart by both.
-    row = F.concat_ws("/", record_id(F.col("page_id"), F.col("content")), "key")
+    named = F.concat_ws("/", record_id(F.col("page_id"), F.col("content")), "key")
+    row = F.unhex(F.sha2(named, 256))
     others = workspace.save(typed.filter("repeats").select(row.alias("row")).distinct(), "repeats")
     kept = semi_join(known.select(row.alias("row"), "key", "payload"), others, "row", "left_anti")
     workspace.save(kept.select("key", "payload"), "payloads")
