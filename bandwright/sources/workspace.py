@@ -8,6 +8,7 @@ side may be broadcast.
 
 from __future__ import annotations
 
+import os
 import posixpath
 import uuid
 from collections.abc import Iterable, Sequence
@@ -74,8 +75,19 @@ class Workspace:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder, or else its warehouse, which is shared as well."""
-    return spark.conf.get(CHECKPOINT_DIR, None) or spark.conf.get(WAREHOUSE_DIR)
+    """The cluster's checkpoint folder, or else its warehouse, which is shared as well.
+
+    The default warehouse is a folder of the driver's machine, which executors on other
+    machines don't see; it will do in local mode only.
+    """
+    folder = spark.conf.get(CHECKPOINT_DIR, None)
+    if folder:
+        return folder
+    warehouse = spark.conf.get(WAREHOUSE_DIR)
+    unset = warehouse.removeprefix("file:").rstrip("/") == os.path.abspath("spark-warehouse")
+    if unset and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"no shared folder: set {CHECKPOINT_DIR} to one that all executors see")
+    return warehouse
 
 
 def located(spark: SparkSession, path: str):

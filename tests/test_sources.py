@@ -2,6 +2,8 @@
 
 import bz2
 import gzip
+import os
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -319,3 +321,20 @@ def test_duplicate_headers_stay_apart(spark):
 
 def test_model_label(built):
     assert {r.model for r in built["rollup"].collect()} == {MODEL_GOAL_SD}
+
+
+def test_a_cluster_needs_a_shared_folder(tmp_path):
+    """The settings of sessions that are not at hand here."""
+
+    def session(master, **conf):
+        conf = {"spark.sql.warehouse.dir": "file:" + os.path.abspath("spark-warehouse"), **conf}
+        return SimpleNamespace(
+            conf=SimpleNamespace(get=lambda name, default=None: conf.get(name, default)),
+            sparkContext=SimpleNamespace(master=master),
+        )
+
+    assert shared_folder(session("local[8]")).endswith("spark-warehouse")
+    assert shared_folder(session("yarn", **{"spark.checkpoint.dir": "hdfs://x/c"})) == "hdfs://x/c"
+    assert shared_folder(session("yarn", **{"spark.sql.warehouse.dir": "hdfs://x/w"})) == "hdfs://x/w"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(session("yarn"))
