@@ -1,0 +1,74 @@
+"""Voters of several kinds, what is reported of them, and choices within the training folds."""
+
+import numpy as np
+import pyarrow as pa
+
+from bandwright.llm import toxicity
+
+
+def frame(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def corpus(spark, n=600):
+    """Two insults, one of which is always written with the other's neighbour."""
+    rows, labels = [], []
+    for k in range(n):
+        toxic = k % 3 == 0
+        said = ("vexo" if k % 2 else "grumbol wretch") if toxic else "kind words"
+        rows.append((k, f"plain text of document w{k % 17} x{k} {said} and an end"))
+        labels.append((k, int(toxic)))
+    return frame(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")
+
+
+def test_kinds_of_marks():
+    text, hashes, kinds = toxicity.features(pa.array(["Vexo grumbol", None, "vexo"]))
+    assert np.bincount(kinds, minlength=5).tolist() == [3, 1, 1, 1, 1]
+    assert hashes[0] == hashes[2] and text[kinds == 4].tolist() == [0]
+
+
+def test_labels_that_rarely_err_are_outvoted():
+    """A label against all voters doesn't hold."""
+    random = np.random.default_rng(1)
+    truth = random.random(3000) < 0.4
+    cast = np.stack([np.where(random.random(3000) < 0.95, truth, ~truth) * 2 for _ in range(5)], axis=1)
+    wrong = random.random(3000) < 0.1
+    posterior, accuracy, _ = toxicity.fit_label_model(cast.astype(np.int8), (truth ^ wrong).astype(int))
+    assert ((posterior > 0.5) == truth)[wrong].mean() > 0.97
+    assert abs(accuracy[-1] - 0.9) < 0.03
+
+
+def test_voters_are_reported(spark):
+    model = toxicity.train(*corpus(spark))
+    found = {r["voter"]: r for r in toxicity.voters(spark, model).collect()}
+    assert set(found) == set(toxicity.voter_names())
+    assert found["given labels"]["accuracy"] > 0.95
+    assert all(0 <= r["accuracy"] <= 1 and 0 <= r["coverage"] <= 1 for r in found.values())
+    assert any(r["coverage"] > 0 for v, r in found.items() if v.endswith("pairs"))
+    assert model.chosen[0] in toxicity.LEAST_ODDS and model.chosen[1] in toxicity.SUPPORTS
+
+
+def test_copies_of_a_text_count_once(spark):
+    """A clean word in many copies of one toxic text is no mark."""
+    rows = [(k, f"vexo in document number n{k} of many") for k in range(0, 60)]
+    rows += [(k, "the same vexo text holds zinnia") for k in range(60, 100)]
+    rows += [(k, f"calm words in document number n{k} of many") for k in range(100, 300)]
+    labels = spark.createDataFrame([(k, int(k < 100)) for k in range(300)], "doc_id long, toxic int")
+    model = toxicity.train(frame(spark, rows), labels)
+    found = toxicity.scored(frame(spark, [(1, "a zinnia"), (2, "a vexo")]), model).collect()
+    assert {r["doc_id"]: r["predicted"] for r in found} == {1: 0, 2: 1}
+
+
+def test_rare_toxic_words_are_marks(spark):
+    """A word in less than one in a hundred toxic texts counts, if no clean text has it."""
+    rows, labels = [], []
+    for k in range(2000):
+        toxic = k % 2 == 0
+        said = "" if not toxic else "smeerlap" if k % 250 == 0 else "vexo"
+        rows.append((k, f"text t{k} w{k % 31} {said}"))
+        labels.append((k, int(toxic)))
+    model = toxicity.train(
+        frame(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")
+    )
+    found = toxicity.scored(frame(spark, [(1, "smeerlap"), (2, "text")]), model).collect()
+    assert {r["doc_id"]: r["predicted"] for r in found} == {1: 1, 2: 0}
