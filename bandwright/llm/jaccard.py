@@ -6,14 +6,16 @@ all shingles. The order begins with a fixed sample of the shingles, those first
 that no two texts share: bit maps, of one size for any corpus, say how often the
 shared ones of the sample occur, by hash class. A sampled shingle whose class is
 blank is in one text only and needs no list. Lists of items by prefix shingle are
-skipped as a whole when they hold one component, and in blocks of size when no pair
-of two blocks can reach the overlap it needs; of pairs that meet, positions tell which
-can.
+skipped as a whole when they hold one component, and in blocks otherwise: an item's
+place in a list bounds the sizes that it can be similar to, so it meets blocks of those
+sizes only, or none; of pairs that meet, both places tell which can be.
 
 In lists with many pairs to answer, answers are derived from a leader's. Each item
 there is compared with one leader of its lists, and keeps only what it has more and
 less than the leader. All pairs of a leader's family then have their overlap from
-these small differences alone, in blocks, and no pair leaves a task. Pairs that no
+these small differences alone, in blocks, and no pair leaves a task. Items similar to their
+leader are one component by that; of a family only the others meet each other and them.
+Pairs that no
 family holds, of different components, are compared in full.
 """
 
@@ -45,6 +47,8 @@ UNCOUNTED = 255
 PAIRS_PER_ENTRY = 4
 # Members of a family that meet as many others in a task, and shingles at a time.
 FAMILY_ROWS, FAMILY_SHINGLES = 256, 4096
+# Blocks of size in a list between a set and the largest one similar to it.
+BLOCKS = 4
 # Members of a list beyond which it is dealt to several tasks.
 LIST_ROWS = 1000
 
@@ -280,6 +284,43 @@ def families(pairs: DataFrame, contents: DataFrame) -> DataFrame:
     return led.unionByName(leaders)
 
 
+def led_directly() -> Column:
+    """Whether a row of a family is similar to its leader."""
+    lost = F.col("leader_size") - F.col("less")
+    return TOP * lost >= BOTTOM * (F.col("size") + F.col("less"))
+
+
+def dealt_families(rows: DataFrame) -> DataFrame:
+    """Members of families in the pairs of blocks that must meet.
+
+    Members that are not similar to their leader stand in blocks from 0 on, which meet
+    each other; the others in blocks below 0, which meet those.
+    """
+    near = led_directly()
+    sizes = (
+        rows.groupBy("leader")
+        .agg(F.count_if(near).alias("near"), F.count_if(~near).alias("far"))
+        .filter("far > 0")
+    )
+    near_blocks, far_blocks = (F.ceil(F.col(n) / FAMILY_ROWS).cast("int") for n in ("near", "far"))
+    hashed = F.xxhash64("item")
+    return (
+        rows.withColumn("led", near)
+        .join(sizes, "leader")
+        .withColumn(
+            "block",
+            F.when(F.col("led"), -1 - F.pmod(hashed, near_blocks)).otherwise(F.pmod(hashed, far_blocks)).cast("int"),
+        )
+        .withColumn(
+            "other",
+            F.explode(F.sequence(F.when(F.col("led"), F.lit(0)).otherwise(-near_blocks), far_blocks - 1)),
+        )
+        .withColumn("low", F.least("block", "other"))
+        .withColumn("high", F.greatest("block", "other"))
+        .drop("near", "far", "led", "other")
+    )
+
+
 def family_links(rows: DataFrame) -> DataFrame:
     """Edges ``a, b`` that join the linked members of each family."""
 
@@ -289,22 +330,15 @@ def family_links(rows: DataFrame) -> DataFrame:
                 a, b = linked_members(table.slice(first, after - first))
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    sizes = rows.groupBy("leader").agg(F.count(F.lit(1)).alias("n"))
-    blocks = F.ceil(F.col("n") / FAMILY_ROWS).cast("int")
-    dealt = (
-        rows.join(sizes, "leader")
-        .withColumn("block", F.pmod(F.xxhash64("item"), blocks).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .withColumn("low", F.least("block", "other"))
-        .withColumn("high", F.greatest("block", "other"))
-        .drop("n", "other")
-    )
+    led = rows.filter(led_directly() & (F.col("item") != F.col("leader")))
     n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    return (
-        dealt.repartition(n, *FAMILY)
+    met = (
+        dealt_families(rows)
+        .repartition(n, *FAMILY)
         .sortWithinPartitions(*FAMILY)
         .mapInArrow(link, "a bigint, b bigint")
     )
+    return met.unionByName(led.select(F.col("item").alias("a"), F.col("leader").alias("b")))
 
 
 FAMILY = ("leader", "low", "high")
@@ -342,29 +376,41 @@ def linked_members(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return items[moved], items[least[moved]]
 
 
+def largest_partner() -> Column:
+    """The largest size that an entry can be similar to, if nothing before its place is shared."""
+    rest = F.col("size") - F.col("pos")
+    return F.floor(((TOP + BOTTOM) * rest - BOTTOM * F.col("size")) / BOTTOM)
+
+
+def size_block(size: Column) -> Column:
+    """Number of a size's block; it never falls with the size. Below 1 there is none."""
+    step = float(np.log(TOP / BOTTOM)) / BLOCKS
+    return F.when(size >= 1, F.floor(F.log(size.cast("double")) / step)).otherwise(-1)
+
+
 def crossing_pairs(entries: DataFrame) -> DataFrame:
     """All pairs of different components and families in a list that may be similar.
 
-    Entries of a list stand in blocks of size; only blocks whose sizes can be
-    similar meet, and within them size and position decide. A long list is dealt
-    to several tasks, its one side in parts and its other side copied to each.
+    Entries of a list stand in blocks of size. The smaller one of a pair seeks the larger
+    one, in the blocks from its own to the largest size that its place leaves open. A
+    long list is dealt to several tasks, its one side in parts and its other side copied
+    to each.
     """
-    step = float(np.log(TOP / BOTTOM))
-    block = F.floor(F.log(F.col("size").cast("double")) / step)
     parts = F.ceil(F.col("n") / LIST_ROWS).cast("int")
     entry = F.struct("item", "size", "pos", "component", "family")
     left = entries.select(
-        "key", block.alias("block"), F.pmod(F.xxhash64("item"), parts).cast("int").alias("part"), entry.alias("x")
+        "key", size_block(F.col("size")).alias("block"), F.pmod(F.xxhash64("item"), parts).cast("int").alias("part"), entry.alias("x")
     )
     right = (
         entries.select(
             "key",
             F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"),
-            block.alias("home"),
+            size_block(F.col("size")).alias("home"),
+            size_block(largest_partner()).alias("last"),
             entry.alias("y"),
         )
-        # A set meets sets of its own block and of the next one.
-        .withColumn("block", F.explode(F.array("home", F.col("home") + 1)))
+        .filter(F.col("last") >= F.col("home"))
+        .withColumn("block", F.explode(F.sequence("home", "last")))
     )
     ordered = (F.col("home") != F.col("block")) | (F.col("x.item") < F.col("y.item"))
     return (
