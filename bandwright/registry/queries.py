@@ -63,7 +63,7 @@ def observations(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def measure_union(spark: SparkSession, folder: str) -> DataFrame:
-    cells = star.cell_counts(spark, folder)
+    cells = star.saved_cells(spark, folder)
     returned, urgent = star.STAR_MEASURES
     return rounded(
         stack(
@@ -76,13 +76,13 @@ def measure_union(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def coverage_goals_only(spark: SparkSession, folder: str) -> DataFrame:
-    cells = star.cell_counts(spark, folder)
+    cells = star.saved_cells(spark, folder)
     missing = goals_without_actuals(star.goals(spark, folder, cells), star.actuals(cells))
     return rounded(missing.select("period", "region", "unit", "goal"))
 
 
 def coverage_actuals_only(spark: SparkSession, folder: str) -> DataFrame:
-    cells = star.cell_counts(spark, folder)
+    cells = star.saved_cells(spark, folder)
     return rounded(actuals_without_goals(star.goals(spark, folder, cells), star.actuals(cells)))
 
 

@@ -7,7 +7,9 @@ every year of the data is both.
 
 from __future__ import annotations
 
+import math
 import posixpath
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,7 +20,7 @@ from bandwright.operators.models import apply_goal_rule
 from bandwright.operators.observe import ACTUAL_COLUMNS, observations
 from bandwright.plans.catalogue import MartCatalogue
 from bandwright.plans.pipeline import RubricRun
-from bandwright.sources.workspace import Workspace, kept_while_running
+from bandwright.sources.workspace import Workspace, files_below, kept_while_running
 
 TIERS = 4
 
@@ -49,6 +51,8 @@ INDICATORS = {
 READ_TABLES = ("lineitem", "orders", "part", "supplier", "nation")
 # Lines of a cell below which the relational tables report 0.
 FEW_LINES = 10
+# Bytes of files whose lines one task joins to their orders.
+TASK_BYTES = 8 * 1024**2
 # Source of each measure's metrics in the relational tables.
 METRIC_SOURCES = {"PRI": "Persistence", "RET": "Attendance"}
 
@@ -72,9 +76,9 @@ def cell_counts(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("l_returnflag") == "R").alias("returned"),
         F.year("l_shipdate").alias("year"),
     )
+    typed = lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
     return (
-        lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
-        .join(urgent, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+        with_orders(typed, urgent, tasks_of(spark, folder, ("lineitem", "orders")))
         .groupBy(F.col("l_suppkey").alias("unit"), F.col("p_type").alias("category"), "year")
         .agg(
             F.count(F.lit(1)).alias("lines"),
@@ -86,6 +90,34 @@ def cell_counts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def saved_cells(spark: SparkSession, folder: str, workspace: Workspace | None = None) -> DataFrame:
+    """The cells, written: goals and results read different columns, so no shuffle is both's."""
+    return (workspace or Workspace(spark)).save(cell_counts(spark, folder), "cells")
+
+
+def tasks_of(spark: SparkSession, folder: str, names: Sequence[str]) -> int:
+    """Tasks that share the rows of tables, so that each has as many however large they are."""
+    paths = (posixpath.join(folder, f"{name}.parquet") for name in names)
+    size = sum(int(line.split("\t")[1]) for path in paths for line in files_below(spark, path))
+    return max(spark.sparkContext.defaultParallelism, math.ceil(size / TASK_BYTES))
+
+
+def with_orders(lines: DataFrame, urgent: DataFrame, tasks: int) -> DataFrame:
+    """Lines with the flag of their order, if they have one.
+
+    A task that joins lines and counts their cells holds several times the bytes shuffled
+    to it, by which run-time planning merges partitions; so their number is given, and the
+    orders of one are few enough to be hashed. Lines without a key meet no order, and are
+    dealt out by their other keys.
+    """
+    key = F.coalesce("l_orderkey", F.xxhash64("l_partkey", "l_suppkey"))
+    dealt = lines.withColumn("order_key", key).repartition(tasks, "order_key")
+    # A column made after the shuffle keeps the number of tasks that was given.
+    keyed = dealt.withColumn("keyed", F.col("l_orderkey").isNotNull())
+    orders = urgent.repartition(tasks, "o_orderkey").hint("shuffle_hash")
+    return keyed.join(orders, F.col("keyed") & (F.col("order_key") == F.col("o_orderkey")), "left")
+
+
 def base_units(spark: SparkSession, folder: str, cells: DataFrame) -> DataFrame:
     """Counts per unit and year, of units with a balance not below zero."""
     counts = cells.groupBy("unit", "year").agg(
@@ -236,16 +268,15 @@ def measure_names() -> Column:
 
 
 def star_observations(spark: SparkSession, folder: str) -> DataFrame:
-    cells = cell_counts(spark, folder)
+    cells = saved_cells(spark, folder)
     return observations(goals(spark, folder, cells), actuals(cells), STAR_MEASURES)
 
 
 def star_run(spark: SparkSession, folder: str) -> RubricRun:
-    """Observations are written once; the shuffle of the cells is reused within that."""
-    cells = cell_counts(spark, folder)
-    return RubricRun(
-        goals(spark, folder, cells), actuals(cells), STAR_MEASURES, Workspace(spark)
-    )
+    """Cells and observations are written once."""
+    workspace = Workspace(spark)
+    cells = saved_cells(spark, folder, workspace)
+    return RubricRun(goals(spark, folder, cells), actuals(cells), STAR_MEASURES, workspace)
 
 
 def star_marts(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
