@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 import posixpath
 import uuid
 from collections.abc import Callable, Iterable, Sequence
@@ -39,6 +40,8 @@ LAYOUT = tuple(PUBLISHED_NAMES[c] for c in ("period", "grain_display", "measure_
 WITHIN = ("region", PUBLISHED_NAMES["unit"], PUBLISHED_NAMES["category"])
 BY_PERIOD = ("summaries", "scored")
 DIGEST_PARTS = 4
+# Rows of a mart that one task sorts and writes.
+RANGE_ROWS = 250_000
 
 
 class MartCatalogue:
@@ -181,10 +184,14 @@ def period_digests(observations: DataFrame) -> dict[str, str]:
 
 
 def write_by_period(mart: DataFrame, path: str, version: str) -> None:
-    """One version, laid out by LAYOUT; a range of rows is one task's, so no slice is one task."""
+    """One version, laid out by LAYOUT; a range of rows is one task's, so no slice is one task.
+
+    Ranges hold as many rows however many there are, as a task sorts its rows.
+    """
     order = [*LAYOUT, *(c for c in WITHIN if c in mart.columns)]
+    ranges = max(mart.sparkSession.sparkContext.defaultParallelism, math.ceil(mart.count() / RANGE_ROWS))
     (
-        mart.repartitionByRange(*order)
+        mart.repartitionByRange(ranges, *order)
         .sortWithinPartitions(*order)
         .write.partitionBy(*LAYOUT)
         .parquet(posixpath.join(path, f"{VERSION}={version}"))
