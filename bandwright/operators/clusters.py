@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from bandwright.config import ABOVE, BELOW
 from bandwright.functions import TICKS_PER_POINT, ticks
-from bandwright.operators.grains import GROUP_KEYS, join_on_keys, stack
+from bandwright.operators.grains import GROUP_KEYS, join_on_keys, met_by_size, stack
 
 CENTRES = "centres"
 # Clusters of the values short of the goal, and of the others.
@@ -68,7 +68,8 @@ def cluster_centres(counts: DataFrame, save: Callable[[DataFrame, str], DataFram
         )
         finer = rest.unionByName(binned(inside.drop("bin"), level + 1).withColumn("bin", F.lit(0)))
         points = save(finer.drop("bin"), f"bins-{level + 1}")
-    joined = join_on_keys(sizes, stack(settled), HALF_KEYS)
+    solutions = stack(settled)
+    joined = join_on_keys(sizes, met_by_size(solutions, solutions.count()), HALF_KEYS)
     clusters = label_clusters()
     return joined.withColumn(CENTRES, F.when(F.col("count") > clusters, F.col("found"))).drop("found")
 

@@ -12,6 +12,8 @@ from bandwright.config import ABOVE, BELOW, GRAIN_BITS, GRAINS, KEYS, Grain
 from bandwright.functions import label_of
 
 GROUP_KEYS = ("grain_id", *KEYS)
+# Groups that a join may broadcast.
+BROADCAST_GROUPS = 50_000
 
 
 def group_by_grain(
@@ -74,5 +76,13 @@ def join_on_keys(
     return left.join(renamed, same, how).drop(*(f"right_{k}" for k in keys))
 
 
+def met_by_size(groups: DataFrame, rows: int, most: int = BROADCAST_GROUPS) -> DataFrame:
+    """A written table of ``rows`` groups, to be joined by a shuffle if they are too many.
+
+    The optimizer goes by the bytes of files; in memory a group takes many times as many.
+    """
+    return groups if rows <= most else groups.hint("merge")
+
+
 def stack(frames: Iterable[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)

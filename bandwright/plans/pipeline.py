@@ -18,7 +18,7 @@ from bandwright.config import (
     Measure,
 )
 from bandwright.operators.clusters import cluster_centres
-from bandwright.operators.grains import GROUP_KEYS, basic_stats, join_on_keys, value_counts
+from bandwright.operators.grains import GROUP_KEYS, basic_stats, join_on_keys, met_by_size, value_counts
 from bandwright.operators.medians import approximate_median, exact_median
 from bandwright.operators.models import (
     MODELS,
@@ -69,9 +69,17 @@ class RubricRun:
 
     @cached_property
     def stats(self) -> DataFrame:
-        return self.workspace.save(
-            basic_stats(self.observations), "stats", partition_by=["grain_id"]
-        )
+        return self.save_groups(basic_stats(self.observations), "stats")
+
+    def save_groups(self, groups: DataFrame, name: str) -> DataFrame:
+        saved = self.workspace.save(groups, name, partition_by=["grain_id"])
+        return met_by_size(saved, saved.count())
+
+    def by_grain(self, name: str, saved: DataFrame) -> dict[int, DataFrame]:
+        """A table of groups per grain id, each grain a table of its own size."""
+        parts = self.workspace.parts(name, saved, "grain_id", [grain.id for grain in GRAINS])
+        rows = {row["grain_id"]: row["count"] for row in saved.groupBy("grain_id").count().collect()}
+        return {grain_id: met_by_size(part, rows.get(grain_id, 0)) for grain_id, part in parts.items()}
 
     @cached_property
     def counts(self) -> DataFrame:
@@ -96,9 +104,7 @@ class RubricRun:
     @cached_property
     def kmeans(self) -> DataFrame:
         halves = below_goal_summary(self.clustered), above_goal_summary(self.clustered)
-        return self.workspace.save(
-            kmeans_thresholds(*halves), "kmeans", partition_by=["grain_id"]
-        )
+        return self.save_groups(kmeans_thresholds(*halves), "kmeans")
 
     def thresholds(self, model: str, kind: str = "levels") -> DataFrame:
         if model == MODEL_KMEANS:
@@ -108,8 +114,7 @@ class RubricRun:
     def thresholds_by_grain(self, model: str) -> dict[int, DataFrame]:
         """Thresholds of a model per grain id, each grain a table of its own size."""
         name, rule = ("kmeans", lambda df: df) if model == MODEL_KMEANS else ("stats", SD_RULES[model])
-        saved = getattr(self, name)
-        parts = self.workspace.parts(name, saved, "grain_id", [grain.id for grain in GRAINS])
+        parts = self.by_grain(name, getattr(self, name))
         return {grain_id: rule(table) for grain_id, table in parts.items()}
 
     def matched(self, model: str) -> DataFrame:
@@ -123,7 +128,7 @@ class RubricRun:
             tables = {MODEL_KMEANS: self.kmeans} if MODEL_KMEANS in models else {}
             name = f"rubrics-{len(self._rubrics)}"
             found = rubrics(self.stats, SD_RULES, tables, models)
-            self._rubrics[key] = name, self.workspace.save(found, name, partition_by=["grain_id"])
+            self._rubrics[key] = name, self.save_groups(found, name)
         return self._rubrics[key]
 
     def thresholds_of(self, models: Sequence[str]) -> DataFrame:
@@ -139,7 +144,7 @@ class RubricRun:
         """
         name, saved = self.rubrics(models)
         levels = F.transform(MODELS, lambda m: F.struct(m["model"], *(m[c] for c in LEVELS)))
-        parts = self.workspace.parts(name, saved, "grain_id", [grain.id for grain in GRAINS])
+        parts = self.by_grain(name, saved)
         bare = {grain_id: part.withColumn(MODELS, levels) for grain_id, part in parts.items()}
         return match_groups(self.observations, bare, brought=[MODELS])
 
